@@ -128,7 +128,7 @@ def exact_quantiles(
         joined = stats.withColumn("_one", F.lit(1)).join(
             found.withColumn("_one", F.lit(1)), "_one", "left"
         )
-    kept = [c for c in stats.columns if not c.startswith("_")]
+    kept = [c for c in stats.columns if c in by or not c.startswith("_")]
     return joined.withColumns(out).select(*kept, *probs)
 
 

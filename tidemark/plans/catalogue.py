@@ -17,12 +17,19 @@ from tidemark.operators import explain as X
 from tidemark.operators import features as FT
 from tidemark.operators import folds as FO
 from tidemark.operators import guards as G
+from tidemark.operators import models as M
+from tidemark.operators import prep as P
 from tidemark.operators import quality as Q
 from tidemark.operators import score as SC
 from tidemark.operators import windows as WN
 from tidemark.plans import bindings as B
-from tidemark.schema import TARGETS
-from tidemark.session import durable
+from tidemark.plans import pipeline as PL
+from tidemark.schema import TABLES, TARGETS
+from tidemark.session import durable, scratch_path
+from tidemark.sources import files as FS
+from tidemark.sources import readers as RD
+from tidemark.sources import sinks as SK
+from tidemark.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 A = B.ANCHOR_DAY
@@ -663,3 +670,268 @@ def clipped_rounding(spark: SparkSession, sf: str) -> DataFrame:
     li = B.table(spark, sf, "lineitem")
     x = half_even_int(clip(F.col("l_quantity") / 2, 1.0, 15.0))
     return li.groupBy(x.alias("day")).agg(F.count("*").alias("lines"))
+
+
+# --- preprocessing ----------------------------------------------------------
+
+
+@query
+def impute_median(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ["calories", "very_active_minutes", "fairly_active_minutes"]
+    d = B.daily_activity(spark, sf).select("athlete_id", "date", *cols)
+    return rounded(P.impute_median(d, cols), 4)
+
+
+@query
+def standardise(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ["calories", "steps"]
+    d = B.daily_activity(spark, sf).select("athlete_id", "date", *cols)
+    return rounded(P.standardise(d, cols), 8)
+
+
+@query
+def one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return P.one_hot(c, ["c_mktsegment"])
+
+
+# --- sources and sinks ------------------------------------------------------
+
+
+def _write_raw(spark: SparkSession, sf: str) -> str:
+    """The seven canonical tables as header CSV files under other accepted spellings."""
+    folder = scratch_path(spark, "raw")
+    t = B.bundle(spark, sf)
+    files = {
+        "daily_activity": ("dailyactivity_merged.csv", {"athlete_id": "Id", "date": "ActivityDate",
+                                                        "steps": "TotalSteps"}),
+        "hourly_heartrate": ("hourlyHeartrate_merged.csv", {"athlete_id": "Id",
+                                                            "datetime": "ActivityHour",
+                                                            "heart_rate": "AvgHeartRate"}),
+        "sleep_day": ("sleepDay_merged.csv", {"athlete_id": "ATHLETE_ID", "date": "SleepDay",
+                                              "sleep_minutes": "TotalMinutesAsleep"}),
+        "training_sessions": ("training_sessions.csv", {"sport_session_type": "type"}),
+        "weight_logs": ("weightLogInfo_merged.csv", {"weight": "WeightKg"}),
+        "athlete_metadata": ("athlete_metadata.csv", {}),
+        "train_labels": ("train_labels.csv", {"injured_in_risk_window": "injured"}),
+    }
+    for name, (file, renames) in files.items():
+        df = t[name].drop("date") if name == "hourly_heartrate" else t[name]
+        SK.write_csv(df.withColumnsRenamed(renames), f"{folder}/{file}")
+    return folder
+
+
+@query
+def csv_source_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw CSV files in mixed header spellings, read back and combined to features."""
+    raw = RD.load_raw(spark, _write_raw(spark, sf))
+    wide = FT.combine_features(raw, None, weights=B.EVENT_WEIGHTS, patterns=B.EVENT_PATTERNS)
+    return rounded(wide, 9, **COARSE)
+
+
+@query
+def raw_table_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of the expected raw files exist, and rows and columns of the loaded tables."""
+    folder = _write_raw(spark, sf)
+    have = FS.presence(spark, folder)
+    parts = []
+    for name, df in RD.load_raw(spark, folder).items():
+        file_key = TABLES[name].file_key
+        parts.append(
+            df.agg(F.lit(file_key).alias("table"), F.count("*").alias("rows"),
+                   F.lit(len(df.columns)).alias("columns"))
+        )
+    sizes = reduce(lambda a, b: a.unionByName(b), parts)
+    found = have.select("table", "exists").join(sizes, "table", "left")
+    # The daily file was written under another case: not at its exact name, yet loaded.
+    return found.select("table", "exists", "rows", "columns")
+
+
+@query
+def feature_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Features written to Parquet partitioned by anchor, found again as precomputed source."""
+    path = f"{scratch_path(spark, 'store')}/features"
+    SK.write_features(_combined(spark, sf, True), path, ["obs_window_end"])
+    wide = RD.feature_source(spark, _no_build, precomputed=path)
+    return rounded(wide.select("athlete_id", "obs_window_end", *RATIOS, *TARGETS), 9, **COARSE)
+
+
+def _no_build(raw: dict[str, DataFrame]) -> DataFrame:
+    raise AssertionError("precomputed features must be used")
+
+
+@query
+def oof_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold table written as CSV and read back with its schema."""
+    path = scratch_path(spark, "oof")
+    SK.write_csv(rounded(E.oof_wide(B.oof_scores(spark, sf), MODELS), 8), path)
+    return RD.read_oof(spark, path, MODELS)
+
+
+@query
+def benchmark_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaderboard with threshold curves to JSON and back; the curves unfolded again."""
+    curves = E.threshold_curve(_all_scores(spark, sf), by=["model"])
+    path = scratch_path(spark, "board")
+    SK.write_json(SK.benchmark_payload(_board(spark, sf), curves), path)
+    back = SK.read_benchmark(spark, path).where(F.col("task") == "classification")
+    c = F.col("threshold_curve")
+    zipped = F.arrays_zip(
+        c["thresholds"].alias("threshold"), c["f1_scores"].alias("f1"),
+        c["precisions"].alias("precision"), c["recalls"].alias("recall"),
+    )
+    return rounded(back.select("model", "score", F.inline(zipped)), 9)
+
+
+# --- models -----------------------------------------------------------------
+
+# Small estimators: the queries show the data flow, callers choose full sizes.
+LIGHT = {
+    "GBT": {"maxIter": 3, "maxDepth": 3},
+    "RandomForest": {"numTrees": 8, "maxDepth": 4},
+    "LogisticRegression": {"maxIter": 50},
+}
+
+
+def _training_features(spark: SparkSession, sf: str) -> DataFrame:
+    return durable(_combined(spark, sf, True))
+
+
+def _zoo(*names: str) -> list[M.Candidate]:
+    return [c for c in M.classifiers(42, LIGHT) if c.name in names]
+
+
+@query
+def train_oof_classification(spark: SparkSession, sf: str) -> DataFrame:
+    f = _training_features(spark, sf)
+    out = M.train_classification(
+        f, FT.feature_columns(f), TARGETS[0], M.classifiers(42, LIGHT), k=3
+    )
+    return out.oof
+
+
+@query
+def train_oof_regression(spark: SparkSession, sf: str) -> DataFrame:
+    f = _training_features(spark, sf)
+    out = M.train_regression(
+        f, FT.feature_columns(f), "recovery_duration", M.regressors(42, LIGHT),
+        SC.RECOVERY_BOUNDS, k=3,
+    )
+    return out.oof
+
+
+@query
+def ridge_oof(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold ridge on one feature: small enough for a closed form in SQL."""
+    labels = B.train_labels(spark, sf)
+    hr = FT.heart_rate_features(B.hourly_heartrate(spark, sf), A).select(
+        "athlete_id", "avg_hr_7d"
+    )
+    f = durable(FT.attach_labels(FT.merge_groups(labels.select("athlete_id"), [hr]), labels))
+    ridge = [c for c in M.regressors() if c.name == "Ridge"]
+    out = M.train_regression(
+        f, ["avg_hr_7d"], "recovery_duration", ridge, SC.RECOVERY_BOUNDS, k=3
+    )
+    return rounded(out.oof, 6)
+
+
+@query
+def importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Top 20 importances of the bagged trees, mean over members and folds."""
+    f = _training_features(spark, sf)
+    out = M.train_classification(f, FT.feature_columns(f), TARGETS[0], _zoo("RandomForest"), k=2)
+    return M.feature_importance(spark, out.models["RandomForest"], out.stats).limit(20)
+
+
+@query
+def tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled Shapley values of the bagged trees over the three trend ratios."""
+    t = ratio_table(spark, sf)
+    out = M.train_classification(t, RATIOS, TARGETS[0], _zoo("RandomForest"), k=2)
+    folds = out.models["RandomForest"]
+    background = out.stats[0].medians
+    return X.sampled_shapley(
+        t.select("athlete_id", *RATIOS), RATIOS, background,
+        lambda df: M.score_probability(df, folds), samples=4,
+    )
+
+
+@query
+def submission_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job: features, benchmark, stored models, submission."""
+    settings = PL.Settings(
+        k=2, overrides=LIGHT, classifiers=["RandomForest", "LogisticRegression"],
+        regressors=["Ridge"],
+    )
+    return PL.run_pipeline(
+        spark, B.bundle(spark, sf), scratch_path(spark, "run"), A, settings=settings,
+        weights=B.EVENT_WEIGHTS, patterns=B.EVENT_PATTERNS, tiebreak=["log_id"],
+    )
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = B.table(spark, sf, "events").schema
+    s = ST.read_stream(spark, sf, "events.parquet", schema)
+    return s.select(F.col("user_id").alias("athlete_id"), "ts", "event_type", "value")
+
+
+def _sink(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "stream")
+    ST.run_available(df, f"{path}/out", f"{path}/log")
+    return spark.read.parquet(f"{path}/out")
+
+
+def _closed(df: DataFrame) -> DataFrame:
+    """Windows in date form, comparable between engines."""
+    return rounded(
+        df.select(
+            "athlete_id", F.col("start").cast("date").alias("start"),
+            F.col("end").cast("date").alias("end"), "n", "mean", "total", "low", "high",
+        ),
+        9,
+        total=4,
+    )
+
+
+@query
+def stream_daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return _closed(_sink(spark, ST.daily_rollup(_event_stream(spark, sf), "value")))
+
+
+@query
+def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return _closed(_sink(spark, ST.sliding_features(_event_stream(spark, sf), "value", 7)))
+
+
+@query
+def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per side of the gate, by event type."""
+    path = scratch_path(spark, "gate")
+    s = _event_stream(spark, sf).withColumn("date", F.col("ts").cast("date"))
+    ST.gate(s, A, f"{path}/ok", f"{path}/late", f"{path}/log")
+    sides = [
+        spark.read.parquet(f"{path}/{p}").groupBy(F.lit(p).alias("side"), "event_type").agg(
+            F.count("*").alias("rows"), F.max("date").alias("latest")
+        )
+        for p in ("ok", "late")
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+@query
+def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Fold models of the logistic candidate applied to a stream of stored feature rows."""
+    t = ratio_table(spark, sf)
+    out = M.train_classification(t, RATIOS, TARGETS[0], _zoo("LogisticRegression"), k=2)
+    folds = out.models["LogisticRegression"]
+    path = scratch_path(spark, "scored")
+    SK.write_features(t.select("athlete_id", *RATIOS), f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    rows = spark.readStream.schema(schema).parquet(f"{path}/in")
+    ST.score_stream(
+        rows, lambda df: M.score_probability(df, folds), 0.3, f"{path}/out", f"{path}/log"
+    )
+    return spark.read.parquet(f"{path}/out")

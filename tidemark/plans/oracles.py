@@ -671,3 +671,66 @@ Q["top10_attribution"] = _ctes(DAILY, ACTIVITY) + " SELECT athlete_id, " \
   QUALIFY row_number() OVER w <= 10"""
 Q["clipped_rounding"] = """SELECT round_even(greatest(least(l_quantity / 2, 15), 1), 0)::INT AS day,
   count(*) AS lines FROM lineitem GROUP BY 1"""
+_FILL = ["calories", "very", "fairly"]
+Q["impute_median"] = _ctes(DAILY) + ", m AS (SELECT " + ", ".join(
+    f"median({c}) AS m_{c}" for c in _FILL) + " FROM daily) SELECT athlete_id, date, " + ", ".join(
+    f"round(coalesce({c}, m_{c}), 4) AS {n}" for c, n in zip(
+        _FILL, ["calories", "very_active_minutes", "fairly_active_minutes"])) + " FROM daily, m"
+Q["standardise"] = _ctes(DAILY) + """, f AS (SELECT athlete_id, date, steps,
+    coalesce(calories, (SELECT median(calories) FROM daily)) AS calories FROM daily),
+  z AS (SELECT avg(calories) AS mc, stddev_pop(calories) AS sc, avg(steps) AS ms,
+    stddev_pop(steps) AS ss FROM f)
+  SELECT athlete_id, date, round((calories - mc) / sc, 8) AS calories,
+    round((steps - ms) / ss, 8) AS steps FROM f, z"""
+Q["one_hot"] = "SELECT c_custkey, " + ", ".join(
+    f"""(c_mktsegment = '{v}')::INT AS "c_mktsegment_{v}\""""
+    for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer"
+Q["csv_source_features"] = _COMBINED_CTES + " " + _r(
+    _COMBINED, _PLAIN + " injured_in_risk_window", 9,
+    _ALL_DOUBLES + " onset_day_offset recovery_duration", **COARSE)
+Q["raw_table_overview"] = _ctes(DAILY, HOURLY, SLEEP, LABELS) + """
+  SELECT 'daily_activity' AS "table", false AS "exists", count(*) AS rows, 9 AS columns FROM daily
+  UNION ALL SELECT 'hourly_heartrate', true, count(*), 6 FROM hourly
+  UNION ALL SELECT 'sleep_day', true, count(*), 4 FROM sleep
+  UNION ALL SELECT 'training_sessions', true, count(*), 6 FROM events
+  UNION ALL SELECT 'weight_log', true, count(*), 3 FROM orders
+  UNION ALL SELECT 'athlete_metadata', true, count(*), 4 FROM customer
+  UNION ALL SELECT 'train_labels', true, count(*), 5 FROM labelled
+  UNION ALL SELECT unnest(['hourly_steps', 'hourly_calories', 'hourly_intensities']), false,
+    NULL, NULL"""
+Q["feature_store_roundtrip"] = _COMBINED_CTES + " " + _r(
+    _COMBINED, "athlete_id obs_window_end injured_in_risk_window", 9,
+    RATIOS + " onset_day_offset recovery_duration", **COARSE)
+Q["oof_csv_roundtrip"] = Q["oof_wide"]
+Q["benchmark_json_roundtrip"] = BOARD_CTES + """ SELECT model, round(score, 9) AS score,
+  round(threshold, 9) AS threshold, round(f1, 9) AS f1, round("precision", 9) AS "precision",
+  round(recall, 9) AS recall FROM curve JOIN (SELECT model, score FROM board
+  WHERE task = 'classification') USING (model)"""
+_WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM events)"
+Q["stream_daily_rollup"] = f"""SELECT user_id AS athlete_id, CAST(ts AS DATE) AS start,
+  CAST(ts AS DATE) + 1 AS "end", count(value) AS n, round(avg(value), 9) AS mean,
+  round(sum(value), 4) AS total, round(min(value), 9) AS low, round(max(value), 9) AS high
+  FROM events GROUP BY 1, 2, 3 HAVING CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= {_WATERMARK}"""
+Q["stream_sliding"] = f"""SELECT user_id AS athlete_id, CAST(ts AS DATE) - back AS start,
+  CAST(ts AS DATE) - back + 7 AS "end", count(value) AS n, round(avg(value), 9) AS mean,
+  round(sum(value), 4) AS total, round(min(value), 9) AS low, round(max(value), 9) AS high
+  FROM events CROSS JOIN (SELECT i::INT AS back FROM range(0, 7) r(i)) GROUP BY 1, 2, 3
+  HAVING CAST(CAST(ts AS DATE) - back + 7 AS TIMESTAMP) <= {_WATERMARK}"""
+Q["stream_quarantine"] = f"""SELECT CASE WHEN CAST(ts AS DATE) > {ANCHOR} THEN 'late' ELSE 'ok' END
+  AS side, event_type, count(*) AS rows, max(CAST(ts AS DATE)) AS latest
+  FROM events GROUP BY 1, 2"""
+# Ridge with penalty 1 on one median-filled, standardised feature, fold by fold.
+Q["ridge_oof"] = _ctes(LABELS, HOURLY, HEART) + """, base AS (
+    SELECT athlete_id, recovery_duration AS y, avg_hr_7d AS x,
+      ((row_number() OVER (ORDER BY athlete_id) - 1) % 3)::INT AS fold
+    FROM labelled LEFT JOIN heart USING (athlete_id) WHERE injured_in_risk_window = 1),
+  side AS (SELECT k.f, median(x) AS med FROM base JOIN (SELECT i::INT AS f FROM range(0, 3) r(i)) k
+    ON base.fold <> k.f GROUP BY 1),
+  scale AS (SELECT f, avg(coalesce(x, med)) AS m, stddev_pop(coalesce(x, med)) AS s,
+    avg(y) AS ym FROM base JOIN side ON fold <> f GROUP BY 1),
+  fit AS (SELECT f, sum((coalesce(x, med) - m) / s * (y - ym))
+      / (sum(pow((coalesce(x, med) - m) / s, 2)) + 1) AS w
+    FROM base JOIN side ON fold <> f JOIN scale USING (f) GROUP BY 1)
+  SELECT 'Ridge' AS model, athlete_id, round(y, 6) AS actual,
+    round(greatest(ym + w * (coalesce(x, med) - m) / s, 0), 6) AS predicted, fold
+  FROM base JOIN side ON fold = side.f JOIN scale ON fold = scale.f JOIN fit ON fold = fit.f"""
