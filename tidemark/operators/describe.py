@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import cell, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.session import durable, join_checked
+from tidemark.session import durable, join_checked, settle
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 WIDE_PAIRS = 45  # beyond this many column pairs, correlate over (pair, x, y) rows instead
@@ -198,9 +198,9 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier counts per class."""
-    q = durable(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
+    q = settle(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
     x = cell(value)
-    rows = join_checked(df.select(*by, x), q, by, ready=True)
+    rows = join_checked(df.select(*by, x), q, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ok = x.between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.groupBy(*by).agg(

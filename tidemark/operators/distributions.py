@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import cell
-from tidemark.session import durable, join_checked
+from tidemark.session import join_checked, settle
 
 
 def histogram(
@@ -66,7 +66,7 @@ def density_curve(
         F.max("_x").alias("_hi"),
         F.stddev_samp("_x").alias("_s"),
     )
-    spec = durable(
+    spec = settle(
         spec.where(F.col("_s") > 0).select(
             *by, "_n", "_lo", "_hi",
             (F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"),
@@ -75,14 +75,14 @@ def density_curve(
     )
     slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
     binned = (
-        join_checked(rows, spec, by, ready=True)
+        join_checked(rows, spec, by)
         .groupBy(*by, slot.alias("_b"))
         .agg(F.count("*").alias("_c"))
     )
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     centre = F.col("_lo") + (F.col("_b") + 0.5) * F.col("_w")
-    met = join_checked(binned, spec, by, ready=True).select("*", centre.alias("_m"), step)
+    met = join_checked(binned, spec, by).select("*", centre.alias("_m"), step)
     at = start + F.col("point") * (stop - start) / (points - 1)
     z = (at - F.col("_m")) / F.col("_h")
     return (

@@ -41,13 +41,15 @@ def threshold_curve(
     by = list(by or [])
     p, y = cell(score), cell(truth)
     if grid is None:
-        cuts = [i / 100 for i in range(FIRST_STEP, LAST_STEP + 1)]
-        slot = _default_slot(p) - (FIRST_STEP - 1)
+        first, steps = FIRST_STEP, LAST_STEP - FIRST_STEP + 1
+        cuts = f"transform(sequence({first}, {LAST_STEP}), i -> i / 100.0D)"
+        slot = _default_slot(p) - (first - 1)
     else:
-        cuts = sorted(set(float(g) for g in grid))
-        array = F.array(*[F.lit(c) for c in cuts])
-        slot = F.size(F.filter(array, lambda c: c <= p))
-    slot = F.least(F.greatest(slot, F.lit(0)), F.lit(len(cuts))).cast("int")
+        own = sorted(set(float(g) for g in grid))
+        steps = len(own)
+        cuts = f"array({', '.join(f'{c!r}D' for c in own)})"
+        slot = F.size(F.filter(F.expr(cuts), lambda c: c <= p))
+    slot = F.least(F.greatest(slot, F.lit(0)), F.lit(steps)).cast("int")
     pos, neg = (y == 1).cast("long"), (y != 1).cast("long")
     counts = (
         df.where(y.isNotNull())
@@ -67,14 +69,11 @@ def threshold_curve(
             lambda acc, s: acc + s[field],
         )
 
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(c).alias("t")) for i, c in enumerate(cuts, 1)]
-    )
-    rows = packed.select("*", F.inline(steps)).select(
+    rows = packed.select("*", F.posexplode(F.expr(cuts)).alias("i", "t")).select(
         *by,
         F.col("t").alias("threshold"),
-        reach(F.col("b"), F.col("i"), "pos").alias("tp"),
-        reach(F.col("b"), F.col("i"), "neg").alias("fp"),
+        reach(F.col("b"), F.col("i") + 1, "pos").alias("tp"),
+        reach(F.col("b"), F.col("i") + 1, "neg").alias("fp"),
         "positives",
     )
     tp, fp = F.col("tp"), F.col("fp")

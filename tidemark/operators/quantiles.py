@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cell
 from tidemark.operators.ordering import running_totals
-from tidemark.session import durable, join_checked
+from tidemark.session import join_checked, settle
 
 ACCURACY = 10_000
 SMALL_GROUP = 20 * ACCURACY  # such groups are bracketed by their own minimum and maximum
@@ -28,6 +28,14 @@ def _plus(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def _rejoin(stats: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Groups back to their first-pass numbers; without groups, one row to one row."""
+    if by:
+        return stats.join(found, by, "left")
+    one = F.lit(1)
+    return stats.withColumn("_one", one).join(found.withColumn("_one", one), "_one", "left")
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -70,15 +78,26 @@ def exact_quantiles(
         edges[f"_hi{i}"] = F.when(small | F.lit(hi >= 1.0), F.col("_max")).otherwise(
             F.col("_q")[k + i]
         )
-    stats = durable(stats.withColumns(edges).drop("_q", "_min", "_max"))
-    largest = stats.agg(F.max("_n")).first()[0] or 0
-
-    bounds = stats.select(*by, *edges)
+    settled = settle(stats.withColumns(edges).drop("_q", "_min", "_max"))
+    stats = settled.df
+    if settled.rows is not None:
+        largest = max((r["_n"] for r in settled.rows), default=0)
+    else:
+        largest = stats.agg(F.max("_n")).first()[0] or 0
+    kept = [c for c in stats.columns if c in by or not c.startswith("_")]
     vals = slim.where(F.col("_x").isNotNull()).select(*by, "_x")
+
+    if largest <= small_group:
+        # Every group's buffer is now known to be bounded: one built-in aggregate will do.
+        quick = vals.groupBy(*by).agg(
+            *[F.percentile("_x", p).alias(n) for n, p in probs.items()]
+        )
+        return _rejoin(stats, quick, by).select(*kept, *probs)
+
     if by:
-        vals = join_checked(vals, bounds, by, ready=True)
+        vals = join_checked(vals, settled.select(*by, *edges), by)
     else:
-        row = bounds.first()
+        row = settled.rows[0]
         vals = vals.withColumns({e: F.lit(row[e]).cast("double") for e in edges})
     opened = _plus([(F.col("_x") >= F.col(f"_lo{i}")).cast("int") for i in range(k)])
     closed = _plus([(F.col("_x") > F.col(f"_hi{i}")).cast("int") for i in range(k)])
@@ -102,7 +121,7 @@ def exact_quantiles(
     n = F.col("_n")
     picks = []
     if by:
-        ranked = join_checked(ranked, stats.select(*by, "_n"), by, ready=True)
+        ranked = join_checked(ranked, settled.select(*by, "_n"), by)
     else:
         ranked = ranked.withColumn("_n", F.lit(largest).cast("long"))
     for i, p in enumerate(probs.values()):
@@ -122,14 +141,7 @@ def exact_quantiles(
         out[name] = F.when(
             missed, F.raise_error(F.lit("quantile outside its bracket: raise the accuracy"))
         ).otherwise(lo + (hi - lo) * share)
-    if by:
-        joined = stats.join(found, by, "left")
-    else:
-        joined = stats.withColumn("_one", F.lit(1)).join(
-            found.withColumn("_one", F.lit(1)), "_one", "left"
-        )
-    kept = [c for c in stats.columns if c in by or not c.startswith("_")]
-    return joined.withColumns(out).select(*kept, *probs)
+    return _rejoin(stats, found, by).withColumns(out).select(*kept, *probs)
 
 
 def median(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:

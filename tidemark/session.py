@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOCAL_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 
 
@@ -42,24 +44,43 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass(frozen=True)
+class Settled:
+    """A per-group table computed once: how large it is has been looked at.
+
+    ``rows`` holds its rows when there are few; the DataFrame is then a local
+    relation, so later joins know its size.  ``small`` says it may be broadcast.
+    """
+
+    df: DataFrame
+    rows: list | None
+    small: bool
+
+    def select(self, *columns: str) -> Settled:
+        return Settled(self.df.select(*columns), self.rows, self.small)
+
+
+def settle(df: DataFrame) -> Settled:
+    """Make a per-group table durable and find out its size."""
+    kept = durable(df)
+    rows = kept.limit(LOCAL_ROWS + 1).collect()
+    if len(rows) <= LOCAL_ROWS:
+        return Settled(df.sparkSession.createDataFrame(rows, kept.schema), rows, True)
+    return Settled(kept, None, kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
+
+
 def join_checked(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    ready: bool = False,
+    big: DataFrame, small: Settled | DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join a per-group table to raw rows, broadcast only after counting it.
+    """Join a per-group table to raw rows, broadcast only after its size was checked.
 
-    The small side is made durable once, counted, and broadcast when it holds at
-    most ``max_rows`` rows.  Beyond that the join is left to shuffle with salted
-    keys, so one heavy key is spread over several tasks.
+    Beyond the bound the join shuffles with salted keys, so one heavy key is spread
+    over several tasks.
     """
-    side = small if ready else durable(small)
-    if side.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(side), on, how)
-    return salted_join(big, side, on, how)
+    side = small if isinstance(small, Settled) else settle(small)
+    if side.small:
+        return big.join(F.broadcast(side.df), on, how)
+    return salted_join(big, side.df, on, how)
 
 
 def salted_join(
