@@ -28,6 +28,7 @@ __all__ = [
     "ratio",
     "round4",
     "safe_div",
+    "same_entity",
     "session_hours",
     "weekly_share",
 ]
@@ -57,6 +58,20 @@ def weekly_share(load_30d: Column | str) -> Column:
     return col(load_30d) / F.lit(30.0) * F.lit(7.0)
 
 
+def same_entity(df: DataFrame, key: str, entity: str | int) -> Column:
+    """Rows whose key reads as the given text.
+
+    For whole-number keys the comparison stays on the stored type, so it reaches the
+    scan; text that is no such number matches nothing.
+    """
+    text = str(entity)
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        digits = text[1:] if text.startswith("-") else text
+        plain = digits.isascii() and digits.isdigit() and str(int(text)) == text
+        return cell(key) == F.lit(int(text)) if plain else F.lit(False)
+    return cell(key).cast("string") == F.lit(text)
+
+
 def session_hours(
     start: Column | None, end: Column | None, floor: float = MIN_SESSION_HOURS
 ) -> Column:

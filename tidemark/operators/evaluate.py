@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cell, meets, round4
 from tidemark.operators.ordering import running_totals
 from tidemark.schema import KEY
+from tidemark.session import join_checked
 
 FIRST_STEP, LAST_STEP = 5, 95  # default grid: 0.05, 0.06, ..., 0.95
 
@@ -232,14 +233,15 @@ def regression_metrics(
         F.avg(e * e).alias("_mse"),
         F.sum(e * e).alias("_sse"),
         (F.var_pop(both) * F.count(both)).alias("_sst"),
+        F.count(both).alias("_n"),
     )
     r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))
-    flat = F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)
+    flat = F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)  # a constant truth
     return agg.select(
         *(by or []),
         round4(F.col("_mae")).alias("mae"),
         round4(F.sqrt("_mse")).alias("rmse"),
-        round4(F.coalesce(r2, F.when(F.col("_sst").isNotNull(), flat))).alias("r2"),
+        round4(F.when(F.col("_n") > 1, F.coalesce(r2, flat))).alias("r2"),
     )
 
 
@@ -307,6 +309,12 @@ def board_kpis(board: DataFrame) -> DataFrame:
     )
 
 
+def model_comparison(board: DataFrame) -> DataFrame:
+    """Scores side by side: one row per model, one column per task."""
+    tasks = ["classification", "onset", "recovery"]
+    return board.groupBy("model").pivot("task", tasks).agg(F.first("score"))
+
+
 def ranked_board(board: DataFrame) -> DataFrame:
     """Rank within each task, F1 falling and errors rising (a few rows per task)."""
     value = F.when(F.col("metric") == "F1", -F.col("score")).otherwise(F.col("score"))
@@ -316,5 +324,5 @@ def ranked_board(board: DataFrame) -> DataFrame:
 
 def apply_cutoffs(scores: DataFrame, cutoffs: DataFrame, on: list[str]) -> DataFrame:
     """Attach each model's tuned cutoff (one row per model) and the 0/1 decision."""
-    met = scores.join(F.broadcast(cutoffs.select(*on, "best_threshold")), on)
+    met = join_checked(scores, cutoffs.select(*on, "best_threshold"), on)
     return met.withColumn("predicted", meets(F.col("prob"), F.col("best_threshold")))

@@ -179,17 +179,16 @@ def session_type_counts(
     return window_agg(df, anchor, measures, key, date)
 
 
-def training_features(
+def training_block(
     df: DataFrame,
     anchor: Anchor,
-    spine: DataFrame | None = None,
     weights: dict[str, float] | None = None,
     patterns: dict[str, str] | None = None,
     kind: str = "sport_session_type",
     key: str = KEY,
     date: str = DATE,
 ) -> DataFrame:
-    """Counts, minutes, loads and load ratios.  Entities without sessions get zeros."""
+    """Counts, minutes, loads and load ratios of the entities that have sessions."""
     rows = with_session_load(df, weights, kind)
     minutes, load = F.col("duration_minutes"), F.col("training_load")
     words = patterns or {f"{p}_sessions_30d": p for p in SESSION_PATTERNS}
@@ -198,7 +197,6 @@ def training_features(
         Measure("training_sessions_30d", DAYS_30, "count", minutes),
         Measure("training_minutes_30d", DAYS_30, "sum", minutes),
         Measure("training_load_30d", DAYS_30, "sum", load),
-        Measure("_std_load_30d", DAYS_30, "std", load),
         *[Measure(n, DAYS_30, "hits", has_text(text, w)) for n, w in words.items()],
         Measure("training_sessions_14d", DAYS_14, "count", minutes),
         Measure("training_minutes_14d", DAYS_14, "sum", minutes),
@@ -206,23 +204,43 @@ def training_features(
         Measure("training_sessions_7d", DAYS_7, "count", minutes),
         Measure("training_minutes_7d", DAYS_7, "sum", minutes),
         Measure("training_load_7d", DAYS_7, "sum", load),
+        Measure("_std_load_30d", DAYS_30, "std", load),
         Measure("_load_prev_7d", WEEK_BEFORE, "sum", load),
     ]
-    out = on_spine(spine, window_agg(rows, anchor, measures, key, date), key)
-    filled = {m.name: F.coalesce(F.col(m.name).cast("double"), F.lit(0.0)) for m in measures}
+    out = window_agg(rows, anchor, measures, key, date)
+    counts = [m.name for m in measures if m.how in ("count", "hits")]
     weekly = weekly_share("training_load_30d")
     recent = F.col("training_load_7d")
-    return (
-        out.withColumns(filled)
-        .withColumns(
-            {
-                "training_load_change_7d_vs_30d": ratio(recent, weekly),
-                "training_load_change_7d_vs_previous_7d": ratio(recent, "_load_prev_7d"),
-                "training_load_zscore": ratio(recent - weekly, "_std_load_30d"),
-            }
-        )
-        .drop("_load_prev_7d", "_std_load_30d")
-    )
+    return out.withColumns(
+        {
+            **{c: F.col(c).cast("double") for c in counts},
+            "training_load_change_7d_vs_30d": ratio(recent, weekly),
+            "training_load_change_7d_vs_previous_7d": ratio(recent, "_load_prev_7d"),
+            "training_load_zscore": ratio(recent - weekly, "_std_load_30d"),
+        }
+    ).drop("_load_prev_7d", "_std_load_30d")
+
+
+def zero_training(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Entities without sessions: every load column, ratios included, is zero."""
+    names = TRAINING_COLUMNS if columns is None else columns
+    return df.withColumns({c: F.coalesce(cell(c), F.lit(0.0)) for c in names if c in df.columns})
+
+
+def training_features(
+    df: DataFrame,
+    anchor: Anchor,
+    spine: DataFrame | None = None,
+    weights: dict[str, float] | None = None,
+    patterns: dict[str, str] | None = None,
+    kind: str = "sport_session_type",
+    key: str = KEY,
+    date: str = DATE,
+) -> DataFrame:
+    """The training block on a spine, zeros where an entity has no sessions."""
+    block = training_block(df, anchor, weights, patterns, kind, key, date)
+    out = on_spine(spine, block, key)
+    return zero_training(out, [c for c in out.columns if c != key])
 
 
 def one_per_key(
@@ -245,20 +263,19 @@ def one_per_key(
     )
 
 
-def weight_features(
+WEIGHT_COLUMNS = [
+    "latest_weight", "average_weight_30d", "latest_bmi", "latest_body_fat", "weight_change_30d",
+]
+
+
+def weight_block(
     df: DataFrame,
-    profile: DataFrame | None,
     anchor: Anchor,
-    spine: DataFrame | None = None,
     tiebreak: list[str] | None = None,
-    profile_order: list[str] | None = None,
     key: str = KEY,
     date: str = DATE,
 ) -> DataFrame:
-    """Latest and mean weight with profile fallbacks, weight change, BMI and body fat.
-
-    ``tiebreak`` columns order readings of one day, newest last.
-    """
+    """Latest known readings and mean weight of the last 30 days, where there are any."""
     newest = F.struct(cell(date), *[cell(c) for c in (tiebreak or [])])
     weight = _value(df, "weight")
     measures = [
@@ -267,43 +284,46 @@ def weight_features(
         Measure("latest_bmi", DAYS_30, "latest", _value(df, "bmi"), newest),
         Measure("latest_body_fat", DAYS_30, "latest", _value(df, "body_fat"), newest),
     ]
-    out = on_spine(spine, window_agg(df, anchor, measures, key, date), key)
-    if profile is None:
-        out = out.withColumns(
-            {"_base": F.lit(None).cast("double"), "_height": F.lit(None).cast("double")}
-        )
-    else:
-        known = profile.select(
-            key,
-            _value(profile, "weight_kg_baseline").alias("_base"),
-            _value(profile, "height_cm").alias("_height"),
-            *[c for c in (profile_order or []) if c != key],
-        )
-        base = one_per_key(known, key, profile_order).select(key, "_base", "_height")
-        out = out.join(base, key, "left")
-    latest = F.coalesce(F.col("latest_weight"), F.col("_base"))
-    return (
-        out.withColumn("latest_weight", latest)
-        .withColumns(
-            {
-                "average_weight_30d": F.coalesce(
-                    F.col("average_weight_30d"), F.col("latest_weight")
-                ),
-                "weight_change_30d": F.coalesce(
-                    F.col("latest_weight") - F.col("_base"), F.lit(0.0)
-                ),
-                "latest_bmi": F.coalesce(
-                    F.col("latest_bmi"), bmi_from(F.col("latest_weight"), F.col("_height"))
-                ),
-            }
-        )
-        .select(
-            key, "latest_weight", "average_weight_30d", "latest_bmi", "latest_body_fat",
-            "weight_change_30d",
-        )
+    return window_agg(df, anchor, measures, key, date)
+
+
+def weight_fallbacks(df: DataFrame, baseline: Column, height: Column) -> DataFrame:
+    """Latest weight falls back to the baseline, the mean to the latest, BMI to a computed one."""
+    latest = F.coalesce(F.col("latest_weight"), baseline)
+    return df.withColumns(
+        {
+            "latest_weight": latest,
+            "average_weight_30d": F.coalesce(F.col("average_weight_30d"), latest),
+            "latest_bmi": F.coalesce(F.col("latest_bmi"), bmi_from(latest, height)),
+            "weight_change_30d": F.coalesce(latest - baseline, F.lit(0.0)),
+        }
     )
 
 
+def weight_features(
+    df: DataFrame,
+    profile: DataFrame | None,
+    anchor: Anchor,
+    spine: DataFrame | None = None,
+    tiebreak: list[str] | None = None,
+    profile_order: list[str] | None = None,
+    key: str = KEY,
+    date: str = DATE,
+) -> DataFrame:
+    """Latest and mean weight with profile fallbacks, weight change, BMI and body fat.
+
+    ``tiebreak`` columns order readings of one day, newest last.
+    """
+    out = on_spine(spine, weight_block(df, anchor, tiebreak, key, date), key)
+    base, height = F.lit(None).cast("double"), F.lit(None).cast("double")
+    if profile is not None:
+        wanted = ["weight_kg_baseline", "height_cm"]
+        known = profile_features(profile, None, profile_order, wanted, key)
+        out = out.join(known, key, "left")
+        base, height = F.col("weight_kg_baseline"), F.col("height_cm")
+    return weight_fallbacks(out, base, height).select(key, *WEIGHT_COLUMNS)
+
+
 def profile_features(
     df: DataFrame,
     spine: DataFrame | None = None,
@@ -395,30 +415,31 @@ def combine_features(
     entities = spine if spine is not None else entity_spine(labels, profile, activity, key)
     at = anchor_of(labels, anchor)
 
-    groups = []
-    if activity is not None:
-        groups.append(activity_features(activity, at, key=key))
-    if raw.get("hourly_heartrate") is not None:
-        groups.append(heart_rate_features(raw["hourly_heartrate"], at, key=key))
-    if raw.get("sleep_day") is not None:
-        groups.append(sleep_features(raw["sleep_day"], at, key=key))
-    if raw.get("training_sessions") is not None:
-        groups.append(
-            training_features(
-                raw["training_sessions"], at, entities, weights, patterns, key=key
-            )
-        )
-    if raw.get("weight_logs") is not None:
-        groups.append(
-            weight_features(
-                raw["weight_logs"], profile, at, entities, tiebreak, profile_order, key=key
-            )
-        )
-    if profile is not None:
-        groups.append(profile_features(profile, order=profile_order, key=key))
-
+    builders = {
+        "daily_activity": lambda d: activity_features(d, at, key=key),
+        "hourly_heartrate": lambda d: heart_rate_features(d, at, key=key),
+        "sleep_day": lambda d: sleep_features(d, at, key=key),
+        "training_sessions": lambda d: training_block(d, at, weights, patterns, key=key),
+        "weight_logs": lambda d: weight_block(d, at, tiebreak, key),
+        "athlete_metadata": lambda d: profile_features(d, order=profile_order, key=key),
+    }
+    groups = [build(raw[name]) for name, build in builders.items() if raw.get(name) is not None]
     base = entities.select(key).withColumn(ANCHOR, as_anchor(at))
     wide = merge_groups(base, groups, key)
+
+    # Fills that need the spine are plain expressions on the joined rows.
+    if raw.get("training_sessions") is not None:
+        made = patterns or {}
+        wide = zero_training(wide, [*TRAINING_COLUMNS, *made])
+    if raw.get("weight_logs") is not None:
+        none = F.lit(None).cast("double")
+        held = {c: cell(c).cast("double") if c in wide.columns else none
+                for c in ("weight_kg_baseline", "height_cm")}
+        place = wide.columns.index("latest_weight")
+        own = [c for c in wide.columns if c not in WEIGHT_COLUMNS]
+        filled = weight_fallbacks(wide, held["weight_kg_baseline"], held["height_cm"])
+        order = [*own[:place], *WEIGHT_COLUMNS, *own[place:]]
+        wide = filled.select(*[cell(c) for c in order])
     guard_columns(wide, allowed=[ANCHOR, *TARGETS])
     if include_labels and labels is not None:
         wide = attach_labels(wide, labels, key=key)

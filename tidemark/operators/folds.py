@@ -10,7 +10,7 @@ from tidemark.functions import cell
 from tidemark.operators.guards import LeakageError
 from tidemark.operators.ordering import running_totals
 from tidemark.schema import KEY
-from tidemark.session import durable
+from tidemark.session import durable, join_checked
 
 SHARES = 200  # a group above total / (folds * SHARES) rows is placed on its own
 
@@ -48,7 +48,9 @@ def group_folds(
     sizes = durable(
         df.where(cell(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
     )
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    total, groups = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    if groups < k:
+        raise ValueError(f"{k} folds need at least {k} groups, found {groups}")
     bar = F.lit(total / float(k * shares))
     heavy = sizes.where(F.col("rows") > bar)
     light = sizes.where(F.col("rows") <= bar)
@@ -81,7 +83,8 @@ def group_folds(
 
 
 def with_folds(df: DataFrame, folds: DataFrame, key: str = KEY) -> DataFrame:
-    return df.join(folds.select(key, "fold"), key)
+    """Rows with their group's fold; the fold table has one row per group."""
+    return join_checked(df, folds.select(key, "fold"), [key])
 
 
 def fold_report(tagged: DataFrame, k: int = 5, key: str = KEY) -> DataFrame:

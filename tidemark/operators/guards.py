@@ -78,8 +78,12 @@ def within_boundary(
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
-    """Keys found on both sides; empty for disjoint sets."""
-    return left.select(key).join(right.select(key), key, "left_semi").distinct()
+    """Keys found on both sides; empty for disjoint sets.
+
+    Both sides are reduced to distinct keys before they meet, so a key held by many
+    rows reaches the join once.
+    """
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")
 
 
 def assert_disjoint(left: DataFrame, right: DataFrame, key: str = KEY) -> None:
@@ -91,12 +95,13 @@ def assert_disjoint(left: DataFrame, right: DataFrame, key: str = KEY) -> None:
 def assert_unique(df: DataFrame, key: str = KEY) -> DataFrame:
     """The same rows; the job fails where a key comes twice.
 
-    Duplicates are found by a grouped count joined back on the same key, so the
-    check shares its partitioning with the join that needs unique keys.
+    One grouped count on the key, whose partitioning the following join reuses.  A
+    group that passes has one row, so each column's minimum is simply its value.
     """
     rest = [c for c in df.columns if c != key]
-    first = [F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r")] if rest else []
-    once = df.groupBy(key).agg(F.count("*").alias("_n"), *first)
+    once = df.groupBy(key).agg(
+        F.count("*").alias("_n"), *[F.min(col(c)).alias(c) for c in rest]
+    )
     fail = F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string")))
     checked = F.when(F.col("_n") > 1, fail.cast(df.schema[key].dataType)).otherwise(F.col(key))
-    return once.select(checked.alias(key), *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    return once.select(checked.alias(key), *[col(c) for c in rest])

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import cell, clip, half_even_int, meets, round4
+from tidemark.functions import cell, clip, half_even_int, meets, round4, same_entity
 from tidemark.operators.ordering import global_rank
 from tidemark.schema import DEFAULT_CUTOFF, KEY
 
@@ -167,7 +167,7 @@ def top_risks(
 def entity_card(scored: DataFrame, entity: str | int, cutoff: float = DEFAULT_CUTOFF,
                 key: str = KEY, **names: str | None) -> DataFrame:
     """The card of one entity, found by the text of its key."""
-    one = scored.where(cell(key).cast("string") == F.lit(str(entity)))
+    one = scored.where(same_entity(scored, key, entity))
     names.setdefault("recovery", "recovery")
     return risk_view(one, cutoff, None, key, **names)
 

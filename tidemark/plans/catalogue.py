@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import clip, half_even_int, meets
+from tidemark.functions import clip, half_even_int, meets, same_entity
 from tidemark.operators import describe as D
 from tidemark.operators import distributions as H
 from tidemark.operators import evaluate as E
@@ -403,7 +403,7 @@ def share_beyond(spark: SparkSession, sf: str) -> DataFrame:
 def entity_timeline(spark: SparkSession, sf: str) -> DataFrame:
     """Daily value of one metric for one entity, looked up by the text of its key."""
     d = B.daily_activity(spark, sf)
-    one = d.where(F.col("athlete_id").cast("string") == "7")
+    one = d.where(same_entity(d, "athlete_id", "7"))
     return rounded(one.select("athlete_id", "date", "steps").orderBy("date"), 4)
 
 
@@ -417,6 +417,37 @@ def rolling_7d_every_day(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(WN.rolling_daily(li, "l_extendedprice", 7), 7, sum_7d=3)
 
 
+@query
+def window_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and entities inside each window of the raw events."""
+    e = B.table(spark, sf, "events").select("user_id", F.col("ts").cast("date").alias("date"))
+    cuts = {f"{d}d": WN.window_slice(e, A, d) for d in (30, 14, 7)}
+    cuts["prev_7d"] = WN.previous_week(e, A)
+    parts = [
+        c.agg(F.lit(n).alias("span"), F.count("*").alias("rows"),
+              F.count_distinct("user_id").alias("entities"))
+        for n, c in cuts.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def first_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's first order: date, then order key."""
+    o = B.table(spark, sf, "orders").select(
+        "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"
+    )
+    return FT.one_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@query
+def key_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys with orders as well as events: what a disjointness check reports."""
+    o = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("athlete_id"))
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("athlete_id"))
+    return G.shared_keys(o, e)
+
+
 # --- folds ------------------------------------------------------------------
 
 
@@ -524,7 +555,7 @@ def _all_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(E.ensemble_mean(B.oof_scores(spark, sf), MODELS), 8)
+    return rounded(E.ensemble_mean(B.oof_scores(spark, sf), MODELS), 10)
 
 
 def _board(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,6 +579,16 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return _board(spark, sf)
 
 
+@query
+def board_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return E.board_kpis(_board(spark, sf))
+
+
+@query
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return E.model_comparison(_board(spark, sf))
+
+
 @query
 def best_model_per_task(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_per_task(_board(spark, sf))
@@ -567,7 +608,7 @@ def top3_models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def oof_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(E.oof_wide(B.oof_scores(spark, sf), MODELS), 8)
+    return rounded(E.oof_wide(B.oof_scores(spark, sf), MODELS), 9)
 
 
 # --- scoring with fixed scores ----------------------------------------------
@@ -655,7 +696,7 @@ def top10_attribution(spark: SparkSession, sf: str) -> DataFrame:
     coef = {c: (i + 1) / 10 for i, c in enumerate(cols)}
     means = {c: 0.0 for c in cols}
     filled = a.na.fill(0.0, subset=cols)
-    return rounded(X.top_attributions(X.linear_attribution(filled, coef, means), 10), 6)
+    return rounded(X.top_attributions(X.linear_attribution(filled, coef, means), 10), 9)
 
 
 @query
@@ -764,7 +805,7 @@ def _no_build(raw: dict[str, DataFrame]) -> DataFrame:
 def oof_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold table written as CSV and read back with its schema."""
     path = scratch_path(spark, "oof")
-    SK.write_csv(rounded(E.oof_wide(B.oof_scores(spark, sf), MODELS), 8), path)
+    SK.write_csv(rounded(E.oof_wide(B.oof_scores(spark, sf), MODELS), 9), path)
     return RD.read_oof(spark, path, MODELS)
 
 

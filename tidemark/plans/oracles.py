@@ -264,7 +264,8 @@ REGRESSION = """reg AS (
   FROM labelled l JOIN scores s USING (athlete_id) WHERE l.injured_in_risk_window = 1)"""
 REG_METRICS = """SELECT model, round_even(avg(abs(e)), 4)::DOUBLE AS mae,
     round_even(sqrt(avg(e * e)), 4)::DOUBLE AS rmse,
-    round_even(1 - sum(e * e) / nullif(var_pop(recovery_duration) * count(*), 0), 4)::DOUBLE AS r2
+    CASE WHEN count(*) > 1 THEN round_even(coalesce(
+      1 - sum(e * e) / nullif(var_pop(recovery_duration) * count(*), 0), 0), 4)::DOUBLE END AS r2
   FROM (SELECT *, recovery_duration - predicted AS e FROM reg) GROUP BY 1"""
 BOARD_CTES = (
     _ctes(LABELS, SCORES, ALL_SCORES, REGRESSION)
@@ -604,7 +605,7 @@ Q["residual_pairs"] = _REG_CTES + " " + _r(
   predicted - recovery_duration AS residual FROM reg WHERE model = 'w30'""",
     "athlete_id", 7, "actual predicted residual")
 Q["ensemble_mean"] = _SCORE_CTES + """ SELECT 'Top3_Ensemble' AS model, athlete_id, y_true,
-  round(avg(prob), 8) AS prob FROM scores GROUP BY athlete_id, y_true"""
+  round(avg(prob), 10) AS prob FROM scores GROUP BY athlete_id, y_true"""
 Q["leaderboard"] = BOARD_CTES + " SELECT * FROM board"
 Q["best_model_per_task"] = BOARD_CTES + """ SELECT task, model, metric, score FROM board
   QUALIFY row_number() OVER (PARTITION BY task
@@ -613,9 +614,9 @@ Q["top3_models"] = _SCORE_CTES + ",\n" + _curve("scores") + """
   SELECT row_number() OVER (ORDER BY best_f1 DESC,
       list_position(['w7', 'w14', 'w30'], model))::INT AS place, model, best_f1 FROM best"""
 Q["oof_wide"] = _SCORE_CTES + """ SELECT athlete_id, y_true AS y_true_injured,
-  round(max(prob) FILTER (model = 'w7'), 8) AS prob_w7,
-  round(max(prob) FILTER (model = 'w14'), 8) AS prob_w14,
-  round(max(prob) FILTER (model = 'w30'), 8) AS prob_w30 FROM scores GROUP BY 1, 2"""
+  round(max(prob) FILTER (model = 'w7'), 9) AS prob_w7,
+  round(max(prob) FILTER (model = 'w14'), 9) AS prob_w14,
+  round(max(prob) FILTER (model = 'w30'), 9) AS prob_w30 FROM scores GROUP BY 1, 2"""
 Q["submission_from_scores"] = SCORED_CTES + f""" SELECT athlete_id,
   (prob >= 0.5)::INT AS injured_in_risk_window, {_DAY} AS onset_day_offset,
   {_DAYS} AS recovery_duration FROM scored"""
@@ -663,7 +664,7 @@ Q["linear_attribution"] = RATIO_CTES + " " + _r(_CONTRIB, "athlete_id feature",
 Q["global_attribution"] = RATIO_CTES + f""" SELECT feature,
   round(avg(abs(contribution)), 8) AS mean_abs FROM ({_CONTRIB}) GROUP BY 1"""
 Q["top10_attribution"] = _ctes(DAILY, ACTIVITY) + " SELECT athlete_id, " \
-    "row_number() OVER w::INT AS rank, feature, round(contribution, 6) AS contribution FROM (" + (
+    "row_number() OVER w::INT AS rank, feature, round(contribution, 9) AS contribution FROM (" + (
     " UNION ALL ".join(
         f"SELECT athlete_id, '{c}' AS feature, {(i + 1) / 10}::DOUBLE * coalesce({c}, 0) "
         "AS contribution FROM act" for i, c in enumerate(ACT_COLS.split()[:12]))
@@ -734,3 +735,17 @@ Q["ridge_oof"] = _ctes(LABELS, HOURLY, HEART) + """, base AS (
   SELECT 'Ridge' AS model, athlete_id, round(y, 6) AS actual,
     round(greatest(ym + w * (coalesce(x, med) - m) / s, 0), 6) AS predicted, fold
   FROM base JOIN side ON fold = side.f JOIN scale ON fold = scale.f JOIN fit ON fold = fit.f"""
+Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
+  max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
+Q["model_comparison"] = BOARD_CTES + """ SELECT model,
+  max(score) FILTER (task = 'classification') AS classification, CAST(NULL AS DOUBLE) AS onset,
+  max(score) FILTER (task = 'recovery') AS recovery FROM board GROUP BY 1"""
+Q["key_intersection"] = """SELECT DISTINCT o_custkey AS athlete_id FROM orders
+  WHERE o_custkey IN (SELECT user_id FROM events)"""
+Q["first_per_key"] = """SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"""
+Q["window_slices"] = f"""WITH {EV} SELECT '30d' AS span, count(*) AS rows,
+    count(DISTINCT user_id) AS entities FROM ev WHERE {D30}
+  UNION ALL SELECT '14d', count(*), count(DISTINCT user_id) FROM ev WHERE {D14}
+  UNION ALL SELECT '7d', count(*), count(DISTINCT user_id) FROM ev WHERE {D7}
+  UNION ALL SELECT 'prev_7d', count(*), count(DISTINCT user_id) FROM ev WHERE {PREV}"""
