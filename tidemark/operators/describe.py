@@ -198,9 +198,10 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier counts per class."""
-    q = settle(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
     x = cell(value)
-    rows = join_checked(df.select(*by, x), q, by)
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = settle(exact_quantiles(df, value, quarters, by, extra=[F.count("*").alias("_rows")]))
+    rows = join_checked(df.select(*by, x), q, by, sizes="_rows")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ok = x.between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.groupBy(*by).agg(

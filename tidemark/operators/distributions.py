@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import cell
-from tidemark.session import join_checked, settle
+from tidemark.session import Settled, join_checked, settle
 
 
 def histogram(
@@ -73,16 +73,17 @@ def density_curve(
             ((F.col("_hi") - F.col("_lo")) / bins).alias("_w"),
         )
     )
+    with_size = Settled(spec.df.withColumn("_rows", F.col("_n")), None, spec.small)
     slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
     binned = (
-        join_checked(rows, spec, by)
+        join_checked(rows, with_size, by, sizes="_rows")
         .groupBy(*by, slot.alias("_b"))
         .agg(F.count("*").alias("_c"))
     )
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     centre = F.col("_lo") + (F.col("_b") + 0.5) * F.col("_w")
-    met = join_checked(binned, spec, by).select("*", centre.alias("_m"), step)
+    met = join_checked(binned, spec, by, even=True).select("*", centre.alias("_m"), step)
     at = start + F.col("point") * (stop - start) / (points - 1)
     z = (at - F.col("_m")) / F.col("_h")
     return (

@@ -84,6 +84,9 @@ def group_folds(
 
 def with_folds(df: DataFrame, folds: DataFrame, key: str = KEY) -> DataFrame:
     """Rows with their group's fold; the fold table has one row per group."""
+    if "rows" in folds.columns:
+        side = folds.select(key, "fold", F.col("rows").alias("_rows"))
+        return join_checked(df, side, [key], sizes="_rows")
     return join_checked(df, folds.select(key, "fold"), [key])
 
 

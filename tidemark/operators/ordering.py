@@ -58,7 +58,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_s{x}").over(earlier), F.lit(0)).alias(f"_o{x}") for x in inputs],
     )
     inside = W.partitionBy(*by, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    out = join_checked(rows, starts, [*by, "_part"])
+    out = join_checked(rows, starts, [*by, "_part"], even=True)
     return out.withColumns(
         {n: F.col(f"_o{x}") + F.sum(x).over(inside) for n, x in zip(totals, inputs)}
     ).drop("_part", "_at", *inputs, *[f"_o{x}" for x in inputs])

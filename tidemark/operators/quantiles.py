@@ -84,7 +84,8 @@ def exact_quantiles(
         largest = max((r["_n"] for r in settled.rows), default=0)
     else:
         largest = stats.agg(F.max("_n")).first()[0] or 0
-    kept = [c for c in stats.columns if c in by or not c.startswith("_")]
+    own = {"_n", *edges}
+    kept = [c for c in stats.columns if c not in own or c in by]
     vals = slim.where(F.col("_x").isNotNull()).select(*by, "_x")
 
     if largest <= small_group:
@@ -95,7 +96,7 @@ def exact_quantiles(
         return _rejoin(stats, quick, by).select(*kept, *probs)
 
     if by:
-        vals = join_checked(vals, settled.select(*by, *edges), by)
+        vals = join_checked(vals, settled.select(*by, *edges, "_n"), by, sizes="_n")
     else:
         row = settled.rows[0]
         vals = vals.withColumns({e: F.lit(row[e]).cast("double") for e in edges})
@@ -121,7 +122,7 @@ def exact_quantiles(
     n = F.col("_n")
     picks = []
     if by:
-        ranked = join_checked(ranked, settled.select(*by, "_n"), by)
+        ranked = join_checked(ranked, settled.select(*by, "_n"), by, even=True)
     else:
         ranked = ranked.withColumn("_n", F.lit(largest).cast("long"))
     for i, p in enumerate(probs.values()):

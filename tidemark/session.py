@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 LOCAL_ROWS = 10_000
 BROADCAST_ROWS = 100_000
+SALTS = 16
+HOT_SHARES = 1_000  # a key with more than 1/1000 of the rows is salted
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,30 +72,61 @@ def settle(df: DataFrame) -> Settled:
 
 
 def join_checked(
-    big: DataFrame, small: Settled | DataFrame, on: list[str], how: str = "inner"
+    big: DataFrame,
+    small: Settled | DataFrame,
+    on: list[str],
+    how: str = "inner",
+    sizes: str | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Join a per-group table to raw rows, broadcast only after its size was checked.
 
-    Beyond the bound the join shuffles with salted keys, so one heavy key is spread
-    over several tasks.
+    Beyond the bound both sides are shuffled.  ``sizes`` names a column of the small
+    side that holds how many big rows each key has: only keys with a noticeable share
+    are then salted.  ``even`` says that no key is heavy, so none is.
     """
     side = small if isinstance(small, Settled) else settle(small)
     if side.small:
-        return big.join(F.broadcast(side.df), on, how)
-    return salted_join(big, side.df, on, how)
+        out = side.df if sizes is None else side.df.drop(sizes)
+        return big.join(F.broadcast(out), on, how)
+    if even:
+        return big.join(side.df, on, how)
+    return salted_join(big, side.df, on, how, sizes)
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    sizes: str | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join whose heavy keys are spread over ``salts`` tasks.
 
-    ``small`` has one row per key and is repeated once per salt, so ``how`` has to
-    keep the big side (inner or left).
+    ``small`` has one row per key; a heavy key's row is repeated once per salt, so
+    ``how`` has to keep the big side (inner or left).  Without ``sizes`` every key
+    counts as heavy.
     """
     if how not in ("inner", "left", "left_outer", "leftouter"):
         raise ValueError(f"a salted join cannot be '{how}'")
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
-    tagged = big.withColumn("_salt", drawn.cast("int"))
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    if sizes is None:
+        spread = small.withColumn("_salt", F.explode(all_salts))
+        tagged = big.withColumn("_salt", drawn)
+    else:
+        total = small.agg(F.sum(sizes)).first()[0] or 0
+        is_hot = F.col(sizes) * HOT_SHARES > F.lit(total)
+        # Fewer than HOT_SHARES keys can each hold more than that share of the rows.
+        hot = small.where(is_hot).select(*on, F.lit(True).alias("_hot"))
+        spread = small.withColumn(
+            "_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0))))
+        ).drop(sizes)
+        tagged = (
+            big.withColumn("_drawn", drawn)
+            .join(F.broadcast(hot), on, "left")
+            .withColumn("_salt", F.when(F.col("_hot"), F.col("_drawn")).otherwise(F.lit(0)))
+            .drop("_hot", "_drawn")
+        )
     return tagged.join(spread, [*on, "_salt"], how).drop("_salt")
