@@ -7,7 +7,7 @@ from tidemark.streaming import jobs as ST
 
 
 def stream(spark, sf):
-    s = ST.read_stream(spark, sf, "events.parquet", B.table(spark, sf, "events").schema)
+    s = ST.read_stream(spark, f"{sf}/events.parquet", B.table(spark, sf, "events").schema)
     return s.select(F.col("user_id").alias("athlete_id"), "ts", "event_type", "value")
 
 

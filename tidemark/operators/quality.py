@@ -26,7 +26,7 @@ def _null_structs(df: DataFrame) -> list[Column]:
     out = []
     for c in df.columns:
         n = F.count_if(_missing(df, c))
-        pct = F.round(F.try_divide(n * F.lit(100.0), rows), 2)
+        pct = F.bround(F.try_divide(n * F.lit(100.0), rows), 2)
         out.append(
             F.struct(
                 F.lit(c).alias("column"), n.alias("missing_count"), pct.alias("missing_percentage")

@@ -915,7 +915,7 @@ def submission_model(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = B.table(spark, sf, "events").schema
-    s = ST.read_stream(spark, sf, "events.parquet", schema)
+    s = ST.read_stream(spark, f"{sf}/events.parquet", schema)
     return s.select(F.col("user_id").alias("athlete_id"), "ts", "event_type", "value")
 
 

@@ -401,7 +401,8 @@ Q["guard_offenders"] = _ctes(LABELS) + """ SELECT 'onset_day_offset' AS "column"
   UNION ALL SELECT 'risk_score', count(recovery_duration) FROM labelled"""
 Q["null_audit"] = _ctes(DAILY) + " SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{name}' AS "column", count(*) FILTER ({c} IS NULL) AS missing_count,
-  round(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*), 2) AS missing_percentage
+  round_even(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*), 2)::DOUBLE
+    AS missing_percentage
   FROM daily"""
     for name, c in [
         ("calories", "calories"), ("very_active_minutes", "very"),

@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Entry names of a folder; empty where there is none."""
     fs, p = _fs(spark, folder)

@@ -13,13 +13,19 @@ from pyspark.sql.types import StructType
 from tidemark.functions import cell
 from tidemark.operators.guards import within_boundary
 from tidemark.schema import KEY
+from tidemark.sources.files import is_folder
 
 
 def read_stream(
-    spark: SparkSession, folder: str, pattern: str, schema: StructType, ts: str = "ts"
+    spark: SparkSession, path: str, schema: StructType, ts: str = "ts"
 ) -> DataFrame:
-    """Parquet files as a stream; the event time as TIMESTAMP, which a watermark needs."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """Parquet folder or single file as a stream; event time as TIMESTAMP, as a watermark needs."""
+    reader = spark.readStream.schema(schema)
+    if is_folder(spark, path):
+        raw = reader.parquet(path)
+    else:  # a file stream watches folders, so a single file is picked by name
+        folder, name = path.rsplit("/", 1)
+        raw = reader.option("pathGlobFilter", name).parquet(folder)
     return raw.withColumn(ts, cell(ts).cast("timestamp"))
 
 
