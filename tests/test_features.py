@@ -228,3 +228,13 @@ def test_rolling_and_own_anchors(spark):
     r = one(WN.moments_at_anchors(df, anchors, "v", [WN.DAYS_7]))
     assert r.avg_7d == pytest.approx(7 / 3) and r.max_7d == 4.0
     assert r.std_7d == pytest.approx(1.5275252316519468)
+
+
+def test_spread_at_own_anchor_keeps_precision(spark):
+    base = 4e9
+    rows = [(1, day(-i), base + x) for i, x in enumerate([0.0, 1.0, 2.0, 3.0, 1.0])]
+    df = spark.createDataFrame(rows, "athlete_id long, date date, v double")
+    anchors = spark.createDataFrame([(1, A)], "athlete_id long, obs_window_end date")
+    r = one(WN.moments_at_anchors(df, anchors, "v", [WN.DAYS_7, WN.trailing(3)]))
+    assert r.std_7d == pytest.approx(1.140175425099138, abs=1e-6)
+    assert r.std_3d == pytest.approx(1.0, abs=1e-6)

@@ -236,3 +236,41 @@ def test_benchmark_store_and_submit(spark, toy, tmp_path):
     assert all(1 <= r.onset_day_offset <= 30 and r.recovery_duration >= 0 for r in sub)
     rec = run.trained["recovery"].oof.select("actual", "predicted").toPandas()
     assert (rec.actual - rec.predicted).abs().mean() < 1.0  # recovery is linear in b
+
+
+def test_whole_job_from_csv_files(spark, tmp_path):
+    """Raw CSV folder in, submission for a separate test folder out."""
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    start = dt.date(2026, 1, 5)
+    raw = {"train": range(1, 41), "test": range(101, 106)}
+    for name, ids in raw.items():
+        d = tmp_path / name
+        d.mkdir()
+        days = [start + dt.timedelta(days=i) for i in range(30)]
+        with open(d / "dailyActivity_merged.csv", "w") as f:
+            f.write("Id,ActivityDate,TotalSteps,Calories\n")
+            f.writelines(f"{i},{x},{1000 + 50 * i + rng.integers(99)},{2000}\n" for i in ids for x in days)
+        with open(d / "athlete_metadata.csv", "w") as f:
+            f.write("athlete_id,sport,weight_kg\n")
+            f.writelines(f"{i},{'ab'[i % 2]},{70 + i % 5}\n" for i in ids)
+    with open(tmp_path / "train" / "train_labels.csv", "w") as f:
+        f.write("athlete_id,injured,onset_day,recovery_days,obs_end\n")
+        f.writelines(
+            f"{i},{int(i > 20)},{i % 30 if i > 20 else ''},{i / 4 if i > 20 else ''},2026-02-03\n"
+            for i in raw["train"]
+        )
+    s = PL.Settings(
+        k=2, overrides={"RandomForest": {"numTrees": 3}}, classifiers=["LogisticRegression"],
+        regressors=["Ridge"],
+    )
+    out = PL.run_pipeline(
+        spark, str(tmp_path / "train"), str(tmp_path / "out"), test=str(tmp_path / "test"), settings=s
+    )
+    rows = sorted(out.collect())
+    assert [r.athlete_id for r in rows] == list(raw["test"])
+    assert all(r.injured_in_risk_window == 1 for r in rows)  # far more steps than any negative
+    wide = spark.read.parquet(str(tmp_path / "out" / "features"))
+    assert wide.count() == 40 and len(wide.columns) == 73
+    assert {r[0] for r in wide.select("obs_window_end").distinct().collect()} == {dt.date(2026, 2, 3)}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cell, clip
-from tidemark.operators.folds import group_folds, with_folds
+from tidemark.operators.folds import assert_folds_disjoint, group_folds, with_folds
 from tidemark.operators.prep import PrepStats, build_prep, feature_names, fit_stats
 from tidemark.operators.score import fold_mean
 from tidemark.schema import KEY
@@ -238,6 +238,7 @@ def _tagged(
     tagged = durable(
         with_folds(known.select(key, target, *[cell(c) for c in columns]), folds, key)
     )
+    assert_folds_disjoint(tagged, key)
     return tagged, fit_stats(tagged, columns, list(range(k)))
 
 

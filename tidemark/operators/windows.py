@@ -167,18 +167,22 @@ def moments_at_anchors(
     """
     days = daily_moments(df, value, key, date)
     met = anchors.select(key, anchor).join(days, key, "left")
-    aggs = []
-    for s in spans:
-        here = inside(col(date), col(anchor), s)
-        n = F.sum(F.when(here, F.col("n")))
-        total = F.sum(F.when(here, F.col("total")))
-        between = F.sum(F.when(here & (F.col("n") > 0), F.col("total") * F.col("total") / F.col("n")))
-        m2 = F.sum(F.when(here, F.col("m2"))) + between - F.try_divide(total * total, n)
-        std = F.sqrt(F.greatest(F.try_divide(m2, n - 1), F.lit(0.0)))
+    # Spread is taken around the span's own mean, which keeps it exact for large values.
+    whole = W.partitionBy(key, anchor)
+    means, aggs = {}, []
+    for i, s in enumerate(spans):
+        here = inside(col(date), col(anchor), s) & (F.col("n") > 0)
+        total, n = F.sum(F.when(here, F.col("total"))), F.sum(F.when(here, F.col("n")))
+        mean = f"_m{i}"
+        means[mean] = F.try_divide(total.over(whole), n.over(whole))
+        off = F.col("total") / F.col("n") - F.col(mean)
+        m2 = F.sum(F.when(here, F.col("m2") + F.col("n") * off * off))
         aggs += [
             F.try_divide(total, n).alias(f"avg_{s.name}"),
-            F.when(n > 1, std).when(F.count(F.when(here, 1)) > 0, 0.0).alias(f"std_{s.name}"),
+            F.when(n > 1, F.sqrt(F.try_divide(m2, n - 1)))
+            .when(F.count(F.when(inside(col(date), col(anchor), s), 1)) > 0, 0.0)
+            .alias(f"std_{s.name}"),
             F.min(F.when(here, F.col("low"))).alias(f"min_{s.name}"),
             F.max(F.when(here, F.col("high"))).alias(f"max_{s.name}"),
         ]
-    return met.groupBy(key, anchor).agg(*aggs)
+    return met.withColumns(means).groupBy(key, anchor).agg(*aggs)

@@ -188,7 +188,7 @@ def per_entity_anchor_features(spark: SparkSession, sf: str) -> DataFrame:
     )
     anchors = o.groupBy("athlete_id").agg(F.max("date").alias("obs_window_end"))
     out = WN.moments_at_anchors(o, anchors, "value", [WN.DAYS_30, WN.trailing(365)])
-    return rounded(out, 6, std_30d=4, std_365d=4)
+    return rounded(out, 6)
 
 
 # --- guards -----------------------------------------------------------------

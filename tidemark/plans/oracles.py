@@ -387,8 +387,7 @@ Q["per_entity_anchor_features"] = (
         f"SELECT athlete_id, a.d AS obs_window_end, {_anchored(30)}, {_anchored(365)} "
         "FROM a JOIN o USING (athlete_id) GROUP BY 1, 2",
         "athlete_id obs_window_end", 6,
-        "avg_30d std_30d min_30d max_30d avg_365d std_365d min_365d max_365d",
-        std_30d=4, std_365d=4))
+        "avg_30d std_30d min_30d max_30d avg_365d std_365d min_365d max_365d"))
 Q["boundary_violations"] = f"""SELECT 'events' AS "table",
   count(*) FILTER (CAST(ts AS DATE) > {ANCHOR}) AS rows_after, max(CAST(ts AS DATE)) AS latest
   FROM events UNION ALL SELECT 'orders',

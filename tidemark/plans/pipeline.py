@@ -12,7 +12,7 @@ from tidemark.functions import cell, meets
 from tidemark.operators import evaluate as E
 from tidemark.operators import models as M
 from tidemark.operators import score as SC
-from tidemark.operators.features import combine_features, feature_columns
+from tidemark.operators.features import anchor_of, combine_features, feature_columns
 from tidemark.schema import KEY
 from tidemark.session import durable
 from tidemark.sources import sinks
@@ -184,13 +184,14 @@ def run_pipeline(
 ) -> DataFrame:
     """Features, training and a submission for the test tables (or the training entities)."""
     tables = load_raw(spark, raw) if isinstance(raw, str) else raw
+    at = anchor_of(tables.get("train_labels"), anchor)  # one anchor for training and test
     path = f"{root}/features"
-    sinks.write_features(combine_features(tables, anchor, **feature_options), path)
+    sinks.write_features(combine_features(tables, at, **feature_options), path)
     features = spark.read.parquet(path)
     store(benchmark(features, settings), root)
     target = features
     if isinstance(test, str):
         test = load_raw(spark, test) if exists(spark, test) else None
     if test is not None:
-        target = combine_features(test, anchor, include_labels=False, **feature_options)
+        target = combine_features(test, at, include_labels=False, **feature_options)
     return generate_submission(target, root, f"{root}/submission")
