@@ -42,6 +42,14 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often it is used.
+
+    An expression used inside a lambda would otherwise be evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def by_group(
     df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str
 ) -> DataFrame:
