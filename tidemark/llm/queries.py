@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan
+from tidemark.llm import chat_format, decontaminate, license_scan, mixing, passage_dedup, quality_rules, secret_scan, toxicity
 from tidemark.llm.common import read
 from tidemark.llm.ngram_join import similar_components
 from tidemark.llm.url_filter import judge_urls
@@ -66,3 +66,15 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every region of a document that is a benchmark item within the edit budget."""
     return decontaminate.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage of 50 words or more that a document shares with an earlier one."""
+    return passage_dedup.repeated_passages(read(spark, sf, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels outside the held-out fold."""
+    return toxicity.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
