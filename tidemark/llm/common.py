@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, settle
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\x0b\x0c\r"
@@ -118,3 +118,25 @@ def components(links: DataFrame) -> DataFrame:
         if moved.where("label <> was").limit(1).count() == 0:
             return moved.select("node", "label")
         labels = moved.select("node", "label")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column); broadcast if it is small."""
+    side = settle(ids.distinct())
+    return docs.join(F.broadcast(side.df) if side.small else side.df, "doc_id", "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
+
+
+def one_per_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with rows of equal doc_id and text only once.
+
+    Only ids that occur more than once are looked at; the others pass without a shuffle.
+    """
+    twice = stored(
+        docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "twice"
+    )
+    if twice.limit(1).count() == 0:
+        return docs
+    again = docs.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without_ids(docs, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))

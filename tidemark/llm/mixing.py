@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, word_count
+from tidemark.llm.common import one_per_row, stored, word_count
 from tidemark.operators.ordering import global_rank
 from tidemark.session import join_checked, settle
 
@@ -70,7 +70,7 @@ def schedule(
     seed: int = 7,
     budget: int | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, served, finish.
+    """One row per document: doc_id, text_hash, source, size, source_size, target, taken, served, finish.
 
     ``weights`` (source, weight) replaces the cycling weights.  ``served`` is the words of
     its source before the document in one epoch, ``finish`` the virtual time at which its
@@ -84,6 +84,7 @@ def schedule(
             F.col("source").isNull().alias("no_source"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
             measure.cast("long").alias("size"),
+            F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
         ),
         "mix-sizes",
@@ -130,7 +131,7 @@ def schedule(
         .withColumn("rest", rest)
         .withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
         .withColumn("finish", F.when(F.col("taken") > 0, done / F.col("target")))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "served", "finish")
+        .select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "served", "finish")
     )
 
 
@@ -158,4 +159,23 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 
     Range-sorted by finish time, what is not taken last.
     """
-    return schedule(docs, **options).drop("source").orderBy(F.col("finish").asc_nulls_last(), "doc_id")
+    return schedule(docs, **options).drop("source", "text_hash").orderBy(F.col("finish").asc_nulls_last(), "doc_id")
+
+
+def taken_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """Rows of ``docs`` that the mix takes, with all their columns and mix_size,
+    mix_source_size, mix_target, mix_taken and mix_finish.
+
+    Rows of equal id and text count once.
+    """
+    own = one_per_row(docs)
+    plan = schedule(own, **options).where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
+        F.struct(*[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken", "finish")]).alias("mix"),
+    )
+    rows = own.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"),
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return rows.join(plan, same).select("row.*", "mix.*")

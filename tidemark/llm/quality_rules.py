@@ -163,3 +163,22 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHAR
         .withColumn("kept", ~F.col("base_failed") & (1 - F.col("removed") >= min_share))
         .drop("_id", "_hash")
     )
+
+
+def kept_rows(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Rows of ``docs`` that are kept, with all their columns.
+
+    The base rule is judged in the row; of the depleted documents only the ids are joined.
+    """
+    depleted = depletion(docs, max_docs).where(1 - F.col("removed") < min_share).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    )
+    side = settle(depleted)
+    marked = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("hash"),
+        base_statistics().alias("s"),
+    )
+    n, repeat = F.col("s.words.n"), F.col("s.words.repeat")
+    sound = marked.where((n >= MIN_WORDS) & (100 * repeat <= 50 * n)).select("row", "id", "hash")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return sound.join(F.broadcast(side.df) if side.small else side.df, same, "left_anti").select("row.*")
