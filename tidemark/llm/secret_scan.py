@@ -118,8 +118,8 @@ def features(c: Column) -> Column:
 
 def weak_label(c: Column) -> Column:
     """1.0 for a finding confirmed by its assignment or format, 0.0 for one in plain prose."""
-    name = ascii_lower(F.concat_ws(" ", c["before2"], c["word"]))
-    assigned = (c["before"].rlike("^[=:]+$") | c["word"].rlike("[=:][\"']")) & c["word"].rlike("[\"']")
+    name = ascii_lower(F.concat_ws(" ", c["before2"], c["before"], c["word"]))
+    assigned = (c["before"].rlike("[=:]$") | c["word"].rlike("[=:][\"']")) & c["word"].rlike("[\"']")
     return F.when(c["word"].rlike(FORMATS) | (name.rlike(NAMES) & assigned), 1.0).when(~assigned, 0.0)
 
 

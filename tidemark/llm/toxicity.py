@@ -220,7 +220,8 @@ class Model:
         out = np.zeros(len(words))
         for rows in by_length(words, 512):
             part = [words[i] for i in rows]
-            value = self.folded[self.alphabet.subsequences(part)] @ _spots(len(part[0]))[1]
+            weighed = self.folded[self.alphabet.subsequences(part)] * _spots(len(part[0]))[1]
+            value = weighed.sum(axis=1, dtype=np.float64)  # row by row: the same in any batch
             above = np.flatnonzero(value > 0)
             if len(above):
                 value[above] /= excess([part[i] for i in above])
