@@ -15,13 +15,13 @@ def write(folder, name, text):
         f.write(text)
 
 
-def test_find_column_exact_before_any_case():
-    assert schema.find_column(["ATHLETE_ID", "Id"], "athlete_id") == "Id"
-    assert schema.find_column(["Id", "athlete_id"], "athlete_id") == "athlete_id"
-    assert schema.find_column(["ATHLETE_ID"], "athlete_id") == "ATHLETE_ID"
-    assert schema.find_column(["x"], "steps", required=False, default="d") == "d"
+def test_headers_exact_before_any_case():
+    assert schema.Headers(["ATHLETE_ID", "Id"]).take("athlete_id") == "Id"
+    assert schema.Headers(["Id", "athlete_id"]).take("athlete_id") == "athlete_id"
+    assert schema.Headers(["ATHLETE_ID"]).take("athlete_id") == "ATHLETE_ID"
+    assert schema.Headers(["x"]).take("steps") is None
     with pytest.raises(KeyError):
-        schema.find_column(["x"], "steps")
+        schema.Headers(["x"]).need("steps")
 
 
 def test_tables_from_csv(spark, tmp_path):

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import cell, numeric_columns
+from tidemark.functions import cell, null_if_nan, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import durable, join_checked, settle
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-WIDE_PAIRS = 45  # beyond this many column pairs, correlate over (pair, x, y) rows instead
+PAIRS_AT_ONCE = 300  # pairs of one aggregate; more pairs are more aggregates
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
@@ -35,6 +36,11 @@ def event_rate(df: DataFrame, by: list[str], flag: Column, descending: bool = Tr
     return out.orderBy(first, *by)
 
 
+def number(column: str) -> Column:
+    """A column as double with NaN as null: what every summary below looks at."""
+    return null_if_nan(cell(column).cast("double"))
+
+
 def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keep..., feature, value) rows; values as doubles."""
     keep = list(keep or [])
@@ -56,7 +62,7 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     """count, mean, sample std, min, exact quartiles and max per column (and group)."""
     by = list(by or [])
     rows = long_form(df, columns, by)
-    x = F.when(~F.isnan("value"), F.col("value"))
+    x = number("value")
     return exact_quantiles(rows, "value", QUARTILES, [*by, "feature"], extra=_moments(x))
 
 
@@ -64,7 +70,7 @@ def group_summary(
     df: DataFrame, by: list[str], value: str, descending: bool = True
 ) -> DataFrame:
     """count, mean, median, std, min and max per dimension, ordered by median."""
-    x = cell(value)
+    x = number(value)
     out = exact_quantiles(df, value, {"median": 0.5}, by, extra=_moments(x))
     first = F.desc("median") if descending else F.asc("median")
     return out.orderBy(first, *by)
@@ -79,7 +85,7 @@ def spread(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 def tail_by_class(df: DataFrame, value: str, by: list[str], prob: float = 0.75) -> DataFrame:
     """An upper quantile and the maximum per class."""
     return exact_quantiles(
-        df, value, {"quantile": prob}, by, extra=[F.max(cell(value)).alias("max")]
+        df, value, {"quantile": prob}, by, extra=[F.max(number(value)).alias("max")]
     )
 
 
@@ -124,13 +130,13 @@ def profile_feature(df: DataFrame, column: str) -> DataFrame:
 def class_means(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Mean of each column per class and rows per class."""
     return df.groupBy(*by).agg(
-        F.count("*").alias("rows"), *[F.avg(cell(c)).alias(f"mean_{c}") for c in columns]
+        F.count("*").alias("rows"), *[F.avg(number(c)).alias(f"mean_{c}") for c in columns]
     )
 
 
 def center(df: DataFrame, value: str) -> DataFrame:
     """Overall mean and median: the reference lines of a histogram."""
-    return exact_quantiles(df, value, {"median": 0.5}, extra=[F.avg(cell(value)).alias("mean")])
+    return exact_quantiles(df, value, {"median": 0.5}, extra=[F.avg(number(value)).alias("mean")])
 
 
 def dataset_kpis(df: DataFrame, label: str) -> DataFrame:
@@ -146,38 +152,19 @@ def dataset_kpis(df: DataFrame, label: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation as (x, y, corr), both triangles and diagonal.
 
-    Few pairs are one aggregate row; many pairs become (pair, x, y) rows that combine
-    to one buffer per pair before the shuffle.
+    Every pair is in the result, with a null where no row has both values.  Pairs are taken
+    in slices, one aggregate row each, whatever their number.
     """
     names = columns or numeric_columns(df)
-    vals = df.select(*[cell(c).cast("double").alias(c) for c in names])
-    vals = vals.select(*[F.when(~F.isnan(cell(c)), cell(c)).alias(c) for c in names])
+    vals = df.select(*[number(c).alias(c) for c in names])
     pairs = [*combinations(names, 2), *[(n, n) for n in names]]
-    if len(pairs) <= WIDE_PAIRS:
-        one = vals.agg(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                             F.corr(cell(a), cell(b)).alias("corr"))
-                    for a, b in pairs
-                ]
-            ).alias("p")
-        )
-        upper = one.select(F.inline("p"))
-    else:
-        rows = vals.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                                 cell(a).alias("u"), cell(b).alias("v"))
-                        for a, b in pairs
-                    ]
-                )
-            )
-        )
-        kept = rows.where(F.col("u").isNotNull() & F.col("v").isNotNull())
-        upper = kept.groupBy("x", "y").agg(F.corr("u", "v").alias("corr"))
+
+    def corr(a: str, b: str) -> Column:
+        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(cell(a), cell(b)).alias("corr"))
+
+    slices = [pairs[i : i + PAIRS_AT_ONCE] for i in range(0, len(pairs), PAIRS_AT_ONCE)]
+    parts = [vals.agg(F.array(*[corr(a, b) for a, b in part]).alias("p")).select(F.inline("p")) for part in slices]
+    upper = reduce(DataFrame.unionByName, parts)
     both = F.array(F.struct("x", "y", "corr"),
                    F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "corr"))
     same = F.array(F.struct("x", "y", "corr"))
@@ -186,7 +173,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Least-squares line of y on x with correlation and r²."""
-    a, b = cell(x).cast("double"), cell(y).cast("double")
+    a, b = number(x), number(y)
     return df.groupBy(*(by or [])).agg(
         F.regr_count(b, a).alias("n"),
         F.regr_slope(b, a).alias("slope"),
@@ -198,6 +185,7 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier counts per class."""
+    df = df.select(*by, number(value).alias(value))
     x = cell(value)
     quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     q = settle(exact_quantiles(df, value, quarters, by, extra=[F.count("*").alias("_rows")]))
@@ -220,7 +208,7 @@ def band_shares(
 ) -> DataFrame:
     """Entities, share and event rate per band cut at ``edges`` (each edge opens its band)."""
     cuts = sorted(edges)
-    x = cell(value)
+    x = number(value)
     band = sum([(x >= F.lit(float(e))).cast("int") for e in cuts], F.lit(0))
     lows = F.array(*[F.lit(None).cast("double"), *[F.lit(float(e)) for e in cuts]])
     highs = F.array(*[*[F.lit(float(e)) for e in cuts], F.lit(None).cast("double")])
@@ -245,7 +233,7 @@ def share_beyond(df: DataFrame, lines: dict[str, tuple[str, str, float]]) -> Dat
     """Share of entities beyond each reference line: {name: (column, '>' or '<', edge)}."""
     items = []
     for name, (c, side, edge) in lines.items():
-        past = (cell(c) > edge) if side == ">" else (cell(c) < edge)
+        past = (number(c) > edge) if side == ">" else (number(c) < edge)
         items.append(
             F.struct(
                 F.lit(name).alias("line"),

@@ -25,7 +25,8 @@ def histogram(
     """
     by = list(by or [])
     x = cell(value).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    # Edges and bins are those of the finite values.
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*by, x.alias("_x"))
     if low is None or high is None:
         ends = rows.agg(F.min("_x"), F.max("_x")).first()
         low = ends[0] if low is None else low

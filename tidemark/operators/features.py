@@ -423,23 +423,26 @@ def combine_features(
         "weight_logs": lambda d: weight_block(d, at, tiebreak, key),
         "athlete_metadata": lambda d: profile_features(d, order=profile_order, key=key),
     }
-    groups = [build(raw[name]) for name, build in builders.items() if raw.get(name) is not None]
+    # A table that is not there acts as an empty one: the columns are always the same.
+    session = entities.sparkSession
+    have = {
+        name: raw[name] if raw.get(name) is not None else session.createDataFrame([], TABLES[name].schema)
+        for name in builders
+    }
+    groups = [build(have[name]) for name, build in builders.items()]
     base = entities.select(key).withColumn(ANCHOR, as_anchor(at))
     wide = merge_groups(base, groups, key)
 
     # Fills that need the spine are plain expressions on the joined rows.
-    if raw.get("training_sessions") is not None:
-        made = patterns or {}
-        wide = zero_training(wide, [*TRAINING_COLUMNS, *made])
-    if raw.get("weight_logs") is not None:
-        none = F.lit(None).cast("double")
-        held = {c: cell(c).cast("double") if c in wide.columns else none
-                for c in ("weight_kg_baseline", "height_cm")}
-        place = wide.columns.index("latest_weight")
-        own = [c for c in wide.columns if c not in WEIGHT_COLUMNS]
-        filled = weight_fallbacks(wide, held["weight_kg_baseline"], held["height_cm"])
-        order = [*own[:place], *WEIGHT_COLUMNS, *own[place:]]
-        wide = filled.select(*[cell(c) for c in order])
+    wide = zero_training(wide, [*TRAINING_COLUMNS, *(patterns or {})])
+    none = F.lit(None).cast("double")
+    held = {c: cell(c).cast("double") if c in wide.columns else none
+            for c in ("weight_kg_baseline", "height_cm")}
+    place = wide.columns.index("latest_weight")
+    own = [c for c in wide.columns if c not in WEIGHT_COLUMNS]
+    filled = weight_fallbacks(wide, held["weight_kg_baseline"], held["height_cm"])
+    order = [*own[:place], *WEIGHT_COLUMNS, *own[place:]]
+    wide = filled.select(*[cell(c) for c in order])
     guard_columns(wide, allowed=[ANCHOR, *TARGETS])
     if include_labels and labels is not None:
         wide = attach_labels(wide, labels, key=key)

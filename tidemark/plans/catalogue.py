@@ -690,9 +690,9 @@ def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top10_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Largest contributions per user over ten activity columns."""
+    """Largest contributions per user over all activity columns."""
     a = FT.activity_features(B.daily_activity(spark, sf), A)
-    cols = a.columns[1:13]
+    cols = FT.feature_columns(a)
     coef = {c: (i + 1) / 10 for i, c in enumerate(cols)}
     means = {c: 0.0 for c in cols}
     filled = a.na.fill(0.0, subset=cols)
@@ -921,11 +921,10 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sink(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stream")
-    ST.run_available(df, f"{path}/out", f"{path}/log")
-    return spark.read.parquet(f"{path}/out")
+    return ST.run_upserts(df, f"{path}/out", f"{path}/log", ["athlete_id", "start", "end"])
 
 
-def _closed(df: DataFrame) -> DataFrame:
+def _windows(df: DataFrame) -> DataFrame:
     """Windows in date form, comparable between engines."""
     return rounded(
         df.select(
@@ -939,12 +938,26 @@ def _closed(df: DataFrame) -> DataFrame:
 
 @query
 def stream_daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return _closed(_sink(spark, ST.daily_rollup(_event_stream(spark, sf), "value")))
+    return _windows(_sink(spark, ST.daily_rollup(_event_stream(spark, sf), "value")))
+
+
+def _sliding(spark: SparkSession, sf: str, days: int) -> DataFrame:
+    return _windows(_sink(spark, ST.sliding_features(_event_stream(spark, sf), "value", days)))
 
 
 @query
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    return _closed(_sink(spark, ST.sliding_features(_event_stream(spark, sf), "value", 7)))
+    return _sliding(spark, sf, 7)
+
+
+@query
+def stream_sliding_14(spark: SparkSession, sf: str) -> DataFrame:
+    return _sliding(spark, sf, 14)
+
+
+@query
+def stream_sliding_30(spark: SparkSession, sf: str) -> DataFrame:
+    return _sliding(spark, sf, 30)
 
 
 @query
@@ -953,8 +966,9 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "gate")
     s = _event_stream(spark, sf).withColumn("date", F.col("ts").cast("date"))
     ST.gate(s, A, f"{path}/ok", f"{path}/late", f"{path}/log")
+    schema = T.StructType([*s.schema.fields, T.StructField("batch", T.LongType())])
     sides = [
-        spark.read.parquet(f"{path}/{p}").groupBy(F.lit(p).alias("side"), "event_type").agg(
+        spark.read.schema(schema).parquet(f"{path}/{p}").groupBy(F.lit(p).alias("side"), "event_type").agg(
             F.count("*").alias("rows"), F.max("date").alias("latest")
         )
         for p in ("ok", "late")
@@ -976,3 +990,30 @@ def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
         rows, lambda df: M.score_probability(df, folds), 0.3, f"{path}/out", f"{path}/log"
     )
     return spark.read.parquet(f"{path}/out")
+
+
+@query
+def nan_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries, box statistics and fit of event values where every seventh is NaN."""
+    e = B.table(spark, sf, "events").select(
+        "event_type", "user_id",
+        F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+    )
+    by = ["event_type"]
+    out = D.group_summary(e, by, "value").join(D.box_stats(e, "value", by), by)
+    tails = D.tail_by_class(e, "value", by).withColumnsRenamed({"quantile": "tail", "max": "tail_max"})
+    means = D.class_means(e, ["value"], by)
+    fit = D.linear_fit(e, "user_id", "value", by).withColumnRenamed("n", "fit_n")
+    for part in (tails, means, fit):
+        out = out.join(part, by)
+    return rounded(out.drop("q1", "q3", "median"), 6)
+
+
+@query
+def combined_missing_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels alone: all feature columns are there, loads as zeros, the rest as nulls."""
+    wide = FT.combine_features({"train_labels": B.train_labels(spark, sf)}, A)
+    return wide.select(
+        "athlete_id", F.lit(len(wide.columns)).alias("columns"),
+        "training_load_7d", "latest_weight", "avg_hr_7d",
+    )

@@ -667,7 +667,7 @@ Q["top10_attribution"] = _ctes(DAILY, ACTIVITY) + " SELECT athlete_id, " \
     "row_number() OVER w::INT AS rank, feature, round(contribution, 9) AS contribution FROM (" + (
     " UNION ALL ".join(
         f"SELECT athlete_id, '{c}' AS feature, {(i + 1) / 10}::DOUBLE * coalesce({c}, 0) "
-        "AS contribution FROM act" for i, c in enumerate(ACT_COLS.split()[:12]))
+        "AS contribution FROM act" for i, c in enumerate(x.strip(' ,') for x in ACT_COLS.split()))
 ) + """) WINDOW w AS (PARTITION BY athlete_id ORDER BY abs(contribution) DESC, feature)
   QUALIFY row_number() OVER w <= 10"""
 Q["clipped_rounding"] = """SELECT round_even(greatest(least(l_quantity / 2, 15), 1), 0)::INT AS day,
@@ -707,16 +707,31 @@ Q["benchmark_json_roundtrip"] = BOARD_CTES + """ SELECT model, round(score, 9) A
   round(threshold, 9) AS threshold, round(f1, 9) AS f1, round("precision", 9) AS "precision",
   round(recall, 9) AS recall FROM curve JOIN (SELECT model, score FROM board
   WHERE task = 'classification') USING (model)"""
-_WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM events)"
-Q["stream_daily_rollup"] = f"""SELECT user_id AS athlete_id, CAST(ts AS DATE) AS start,
+Q["stream_daily_rollup"] = """SELECT user_id AS athlete_id, CAST(ts AS DATE) AS start,
   CAST(ts AS DATE) + 1 AS "end", count(value) AS n, round(avg(value), 9) AS mean,
   round(sum(value), 4) AS total, round(min(value), 9) AS low, round(max(value), 9) AS high
-  FROM events GROUP BY 1, 2, 3 HAVING CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= {_WATERMARK}"""
-Q["stream_sliding"] = f"""SELECT user_id AS athlete_id, CAST(ts AS DATE) - back AS start,
-  CAST(ts AS DATE) - back + 7 AS "end", count(value) AS n, round(avg(value), 9) AS mean,
+  FROM events GROUP BY 1, 2, 3"""
+for _name, _days in (("stream_sliding", 7), ("stream_sliding_14", 14), ("stream_sliding_30", 30)):
+    Q[_name] = f"""SELECT user_id AS athlete_id, CAST(ts AS DATE) - back AS start,
+  CAST(ts AS DATE) - back + {_days} AS "end", count(value) AS n, round(avg(value), 9) AS mean,
   round(sum(value), 4) AS total, round(min(value), 9) AS low, round(max(value), 9) AS high
-  FROM events CROSS JOIN (SELECT i::INT AS back FROM range(0, 7) r(i)) GROUP BY 1, 2, 3
-  HAVING CAST(CAST(ts AS DATE) - back + 7 AS TIMESTAMP) <= {_WATERMARK}"""
+  FROM events CROSS JOIN (SELECT i::INT AS back FROM range(0, {_days}) r(i)) GROUP BY 1, 2, 3"""
+Q["combined_missing_tables"] = _ctes(LABELS) + """ SELECT athlete_id, 73 AS columns,
+  0.0::DOUBLE AS training_load_7d, NULL::DOUBLE AS latest_weight, NULL::DOUBLE AS avg_hr_7d
+  FROM labelled"""
+Q["nan_summaries"] = """WITH e AS (SELECT event_type, user_id,
+    CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events),
+  q AS (SELECT event_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM e GROUP BY 1)
+  SELECT event_type, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+    round(min(v), 6) AS min, round(max(v), 6) AS max, count(v) AS n,
+    round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+    round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+    count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers,
+    round(quantile_cont(v, 0.75), 6) AS tail, round(max(v), 6) AS tail_max, count(*) AS rows,
+    round(avg(v), 6) AS mean_value, regr_count(v, user_id) AS fit_n,
+    round(regr_slope(v, user_id), 6) AS slope, round(regr_intercept(v, user_id), 6) AS intercept,
+    round(regr_r2(v, user_id), 6) AS r2, round(corr(user_id, v), 6) AS corr
+  FROM e JOIN q USING (event_type) GROUP BY 1"""
 Q["stream_quarantine"] = f"""SELECT CASE WHEN CAST(ts AS DATE) > {ANCHOR} THEN 'late' ELSE 'ok' END
   AS side, event_type, count(*) AS rows, max(CAST(ts AS DATE)) AS latest
   FROM events GROUP BY 1, 2"""

@@ -102,31 +102,30 @@ def salted_join(
     sizes: str | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join whose heavy keys are spread over ``salts`` tasks.
+    """Equi-join whose heavy keys are spread over several tasks.
 
     ``small`` has one row per key; a heavy key's row is repeated once per salt, so
-    ``how`` has to keep the big side (inner or left).  Without ``sizes`` every key
-    counts as heavy.
+    ``how`` has to keep the big side (inner or left).  With ``sizes`` a key gets a salt
+    for every 1/HOT_SHARES of all rows it has; without, every key gets ``salts``.
     """
     if how not in ("inner", "left", "left_outer", "leftouter"):
         raise ValueError(f"a salted join cannot be '{how}'")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    # Rows are dealt by their place, not by their values: equal rows are spread as well.
+    place = F.monotonically_increasing_id()
     if sizes is None:
-        spread = small.withColumn("_salt", F.explode(all_salts))
-        tagged = big.withColumn("_salt", drawn)
+        spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        tagged = big.withColumn("_salt", F.pmod(place, F.lit(salts)).cast("int"))
     else:
         total = small.agg(F.sum(sizes)).first()[0] or 0
-        is_hot = F.col(sizes) * HOT_SHARES > F.lit(total)
+        share = F.ceil(F.col(sizes) * HOT_SHARES / F.lit(max(total, 1))).cast("int")
+        many = F.when(share > 1, share).otherwise(F.lit(1))
         # Fewer than HOT_SHARES keys can each hold more than that share of the rows.
-        hot = small.where(is_hot).select(*on, F.lit(True).alias("_hot"))
-        spread = small.withColumn(
-            "_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0))))
-        ).drop(sizes)
+        hot = small.where(share > 1).select(*on, share.alias("_many"))
+        spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop(sizes)
         tagged = (
-            big.withColumn("_drawn", drawn)
+            big.withColumn("_place", place)
             .join(F.broadcast(hot), on, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.col("_drawn")).otherwise(F.lit(0)))
-            .drop("_hot", "_drawn")
+            .withColumn("_salt", F.coalesce(F.pmod("_place", "_many"), F.lit(0)).cast("int"))
+            .drop("_many", "_place")
         )
     return tagged.join(spread, [*on, "_salt"], how).drop("_salt")

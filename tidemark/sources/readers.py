@@ -14,7 +14,7 @@ from tidemark.schema import (
     KEY,
     MISSING_TOKENS,
     TABLES,
-    find_column,
+    Headers,
 )
 from tidemark.sources.files import exists, raw_path
 
@@ -65,23 +65,16 @@ def canonical(
 ) -> DataFrame:
     """Typed canonical columns of one raw table; columns it lacks stay absent."""
     spec = TABLES[name]
-    left = list(raw.columns)
+    headers = Headers(raw.columns, aliases)
     picked: list[Column] = []
-
-    def take(logical: str, required: bool) -> str | None:
-        found = find_column(left, logical, required=required, aliases=aliases)
-        if found is not None:
-            left.remove(found)
-        return found
-
-    picked.append(entity_key(cell(take(KEY, True))).alias(KEY))
+    picked.append(entity_key(cell(headers.need(KEY))).alias(KEY))
     if spec.stamp:
-        stamp = cell(take("activity_date", True))
+        stamp = cell(headers.need("activity_date"))
         if spec.stamp == "datetime":
             picked.append(parse_moment(stamp).alias("datetime"))
         picked.append(day_of(stamp).alias(DATE))
     for col, (logical, kind) in spec.columns.items():
-        found = take(logical, False)
+        found = headers.take(logical)
         if found is not None:
             value = _typed(cell(found), kind)
             if col == ANCHOR and default_anchor is not None:
@@ -92,7 +85,7 @@ def canonical(
                 raise KeyError("labels carry no observation end and no default anchor was given")
             picked.append(as_anchor(default_anchor).alias(col))
     if keep_extra:
-        picked += [cell(c) for c in left]
+        picked += [cell(c) for c in headers.left]
     return raw.select(*picked)
 
 

@@ -7,6 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -75,6 +76,37 @@ def run_available(
     return q
 
 
+def run_upserts(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Process what there is in update mode: the latest state of every window, open or closed.
+
+    A batch writes the windows it changed to its own partition and overwrites only that,
+    so a replayed batch changes nothing; of each window the last batch counts.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn("batch", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(path)
+        )
+
+    q = (
+        df.writeStream.foreachBatch(keep)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return latest.select(*keys, "last.*").select(*df.columns)
+
+
 def gate(
     df: DataFrame,
     anchor: str | dt.date,
