@@ -140,6 +140,8 @@ def classification_metrics(
     """F1, precision, recall, accuracy and (with a score) ROC-AUC; four decimals."""
     by = list(by or [])
     y = cell(truth)
+    # A row without a score reaches no cutoff: it counts as predicted 0, as in the curve.
+    predicted = F.coalesce(predicted.cast("int"), F.lit(0))
     c = df.groupBy(*by).agg(
         F.count_if((y == 1) & (predicted == 1)).alias("tp"),
         F.count_if((y != 1) & (predicted == 1)).alias("fp"),

@@ -453,7 +453,3 @@ def feature_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str
     """Every column a model may see: all but the key, the anchor and the targets."""
     out = set(NOT_FEATURES if exclude is None else exclude)
     return [c for c in df.columns if c not in out]
-
-
-def fill_numeric(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
-    return df.na.fill(value, subset=columns)

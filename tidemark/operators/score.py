@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import cell, clip, half_even_int, meets, round4, same_entity
-from tidemark.operators.ordering import global_rank
+from tidemark.operators.ordering import global_rank, running_totals
 from tidemark.schema import DEFAULT_CUTOFF, KEY
 
 ENSEMBLE = "Top3_Ensemble"
@@ -155,6 +155,20 @@ def risk_ranking(
     return global_rank(view, [F.desc("risk_pct"), F.asc(key)])
 
 
+def team_ranking(
+    scored: DataFrame,
+    team: str,
+    cutoff: float = DEFAULT_CUTOFF,
+    keep: list[str] | None = None,
+    key: str = KEY,
+    **names: str | None,
+) -> DataFrame:
+    """Rank by falling risk within each team; a large team is ranked in ranges, not one task."""
+    view = risk_view(scored, cutoff, [team, *(keep or [])], key, **names)
+    order = [F.desc("risk_pct"), F.asc(key)]
+    return running_totals(view, order, {"team_rank": F.lit(1)}, by=[team])
+
+
 def top_risks(
     scored: DataFrame, k: int, cutoff: float = DEFAULT_CUTOFF, keep: list[str] | None = None,
     key: str = KEY, **names: str | None,
@@ -219,7 +233,3 @@ def what_if(
         key, "scenario", "original", cell(prob).alias("simulated"),
         (cell(prob) - F.col("original")).alias("delta"),
     )
-
-
-def rounded_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: round4(cell(c)) for c in columns})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import clip, half_even_int, meets, same_entity
+from tidemark.functions import as_anchor, clip, half_even_int, meets, same_entity
 from tidemark.operators import describe as D
 from tidemark.operators import distributions as H
 from tidemark.operators import evaluate as E
@@ -421,14 +421,16 @@ def rolling_7d_every_day(spark: SparkSession, sf: str) -> DataFrame:
 def window_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and entities inside each window of the raw events."""
     e = B.table(spark, sf, "events").select("user_id", F.col("ts").cast("date").alias("date"))
-    cuts = {f"{d}d": WN.window_slice(e, A, d) for d in (30, 14, 7)}
-    cuts["prev_7d"] = WN.previous_week(e, A)
-    parts = [
-        c.agg(F.lit(n).alias("span"), F.count("*").alias("rows"),
-              F.count_distinct("user_id").alias("entities"))
-        for n, c in cuts.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spans = [WN.DAYS_30, WN.DAYS_14, WN.DAYS_7, WN.WEEK_BEFORE]
+    inside = {s.name: F.when(WN.inside(F.col("date"), as_anchor(A), s), F.col("user_id")) for s in spans}
+    # One scan of the widest window; the others are conditions inside the aggregate.
+    one = WN.window_slice(e, A, 30).agg(
+        F.array(*[
+            F.struct(F.lit(n).alias("span"), F.count(x).alias("rows"), F.count_distinct(x).alias("entities"))
+            for n, x in inside.items()
+        ]).alias("a")
+    )
+    return one.select(F.inline("a"))
 
 
 @query
@@ -584,6 +586,26 @@ def board_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return E.board_kpis(_board(spark, sf))
 
 
+@query
+def ranked_board(spark: SparkSession, sf: str) -> DataFrame:
+    return E.ranked_board(_board(spark, sf))
+
+
+@query
+def team_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.team_ranking(_scored(spark, sf), "team_id", 0.5, ["sport"])
+
+
+@query
+def null_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a score count alike in the curve and in the metrics."""
+    s = B.oof_scores(spark, sf).withColumn("prob", F.when(F.col("athlete_id") % 3 > 0, F.col("prob")))
+    m = E.classification_metrics(s, meets(F.col("prob"), 0.5), by=["model"], score=None)
+    at = E.threshold_curve(s, by=["model"]).where("abs(threshold - 0.5) < 1e-9")
+    at = at.select("model", F.round("recall", 4).alias("curve_recall"), F.round("precision", 4).alias("curve_precision"))
+    return m.join(at, "model")
+
+
 @query
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return E.model_comparison(_board(spark, sf))

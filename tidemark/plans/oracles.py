@@ -634,6 +634,8 @@ _VIEW = """SELECT athlete_id, sport, team_id, round_even(prob * 100, 1)::DOUBLE
     AS est_recovery_days FROM scored"""
 Q["risk_ranking"] = SCORED_CTES + f""" SELECT * EXCLUDE (est_recovery_days),
   row_number() OVER (ORDER BY risk_pct DESC, athlete_id) AS rank FROM ({_VIEW})"""
+Q["team_ranking"] = SCORED_CTES + f""" SELECT * EXCLUDE (est_recovery_days),
+  row_number() OVER (PARTITION BY team_id ORDER BY risk_pct DESC, athlete_id) AS team_rank FROM ({_VIEW})"""
 Q["top_risks"] = SCORED_CTES + f""" SELECT athlete_id, sport, risk_pct, status, est_onset_day
   FROM ({_VIEW}) ORDER BY risk_pct DESC, athlete_id LIMIT 20"""
 Q["entity_card"] = SCORED_CTES + f""" SELECT athlete_id, risk_pct, status, est_onset_day,
@@ -752,6 +754,17 @@ Q["ridge_oof"] = _ctes(LABELS, HOURLY, HEART) + """, base AS (
   FROM base JOIN side ON fold = side.f JOIN scale ON fold = scale.f JOIN fit ON fold = fit.f"""
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
+Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY
+  CASE WHEN metric = 'F1' THEN -score ELSE score END, model)::INT AS place FROM board"""
+Q["null_scores"] = _SCORE_CTES + """, s AS (SELECT model, y_true,
+    CASE WHEN athlete_id % 3 > 0 AND prob >= 0.5 THEN 1 ELSE 0 END AS p FROM scores),
+  c AS (SELECT model, count(*) FILTER (y_true = 1 AND p = 1)::DOUBLE AS tp,
+    count(*) FILTER (y_true <> 1 AND p = 1)::DOUBLE AS fp,
+    count(*) FILTER (y_true = 1 AND p = 0)::DOUBLE AS fn, count(y_true)::DOUBLE AS n FROM s GROUP BY 1)
+  SELECT model, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1,
+    round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall,
+    round((n - fp - fn) / n, 4) AS accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS curve_recall,
+    round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS curve_precision FROM c"""
 Q["model_comparison"] = BOARD_CTES + """ SELECT model,
   max(score) FILTER (task = 'classification') AS classification, CAST(NULL AS DOUBLE) AS onset,
   max(score) FILTER (task = 'recovery') AS recovery FROM board GROUP BY 1"""
