@@ -46,7 +46,8 @@ RATIO = 4.0  # a positive term's share of toxic texts over its share of clean on
 TYPICAL = 2.5  # deviations from which a term makes a toxic text's sentence positive at first
 SPAN = 8  # longest stretch of a term that one subsequence may lie in
 PIECE = 24  # longest stretch of a term that the kernel looks at at once
-MEMO = 200_000
+MEMO = 400_000  # words a task remembers at most; then it starts anew
+PART_CHARS = 2_000_000  # texts scored together
 ROUNDS = 3
 RIDGE = 1e-4
 HIGHEST_CUT = 0.9  # the SVM puts typical terms at 1: the cutoff stays below, for variants
@@ -365,31 +366,44 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every text."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
 
+    memo: dict[str, float] = {}
+
+    def best_of(texts: list[str]) -> list[float]:
+        """Largest margin of each text; words new to the memo are scored together."""
+        names = [set(t.split()) for t in texts]
+        fresh = sorted(set().union(*names) - memo.keys())
+        if len(memo) + len(fresh) > MEMO:
+            memo.clear()
+            fresh = sorted(set().union(*names))
+        known = [terms(w) for w in fresh]
+        values = iter(model.margins([x for xs in known for x in xs]).tolist())
+        memo.update((w, max([next(values) for _ in xs], default=model.bias)) for w, xs in zip(fresh, known))
+        out = []
+        for text, own in zip(texts, names):
+            best = max(map(memo.__getitem__, own), default=model.bias)
+            if _SPELLED.search(text):
+                # single characters in a row make one term
+                spelled = [x for m in _SPELLED.finditer(text) for x in terms(m.group())]
+                best = max([best, *model.margins(spelled).tolist()])
+            out.append(best)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
         for batch in batches:
-            scores = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                if model is None:
-                    scores.append(0.0)
-                    continue
-                words = text.split()
-                names = set(words)
-                fresh = sorted(names - memo.keys())
-                if fresh:
-                    if len(memo) + len(fresh) > MEMO:
-                        memo.clear()
-                        fresh = sorted(names)
-                    known = [terms(w) for w in fresh]
-                    values = iter(model.margins([x for xs in known for x in xs]).tolist())
-                    memo.update((w, max([next(values) for _ in xs], default=model.bias)) for w, xs in zip(fresh, known))
-                best = max(map(memo.__getitem__, names), default=model.bias)
-                if sum(len(w) < 3 for w in names) and _SPELLED.search(text):
-                    # single characters in a row make one term
-                    spelled = [x for m in _SPELLED.finditer(text) for x in terms(m.group())]
-                    best = max([best, *model.margins(spelled).tolist()])
-                scores.append(model.score(best))
+            scores: list[float] = []
+            if model is None:
+                scores = [0.0] * len(batch)
+            else:
+                part: list[str] = []
+                weight = 0
+                for t in batch.column(1):
+                    part.append(t.as_py() or "")
+                    weight += len(part[-1])
+                    if weight > PART_CHARS:
+                        scores += [model.score(x) for x in best_of(part)]
+                        part, weight = [], 0
+                if part:
+                    scores += [model.score(x) for x in best_of(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return plain.mapInArrow(run, "doc_id long, score double")
