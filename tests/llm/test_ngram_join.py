@@ -54,6 +54,7 @@ def check(spark, table, monkey=None):
 
 def test_chains_copies_and_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_SHINGLES", 600)  # many blocks
+    monkeypatch.setattr(N, "REST_SHINGLES", 900)
     passage = words(60, 9)
     table = [*ODD, (6, "One"), (7, "two three"), (8, "Two\tthree"), (8, "two three")]
     texts = family(words(150, 1), 14, 2, 4) + family(words(30, 3), 8, 4, 1)
@@ -92,13 +93,13 @@ def test_divide_skip_counts_like_a_full_merge():
     sets = [np.array(sorted(r.sample(range(90), r.randint(5, 60))), np.uint64) for _ in range(60)]
     sets += [s[: max(4, len(s) - 2)] for s in sets[:30]]
     comps = list(range(len(sets)))
-    links = N.search(sets, comps, None, 85)
-    forest = N.Forest()
-    for a, b in links:
-        x, y = set(sets[a].tolist()), set(sets[b].tolist())
-        assert 100 * len(x & y) >= 85 * len(x | y)
-        forest.join(a, b)
-    for a, b in combinations(range(len(sets)), 2):
-        x, y = set(sets[a].tolist()), set(sets[b].tolist())
-        if 100 * len(x & y) >= 85 * len(x | y):
-            assert forest.find(a) == forest.find(b)
+    for links in (N.search(sets, comps, 85), N.search_rest(sets, comps, comps, 85)):
+        forest = N.Forest()
+        for a, b in links:
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            assert 100 * len(x & y) >= 85 * len(x | y)
+            forest.join(a, b)
+        for a, b in combinations(range(len(sets)), 2):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if 100 * len(x & y) >= 85 * len(x | y):
+                assert forest.find(a) == forest.find(b)

@@ -15,8 +15,10 @@ word shingles.  No link between different texts is lost:
    a heap, sets that occur often enough are probed in the long lists by bisection and
    kept when they reach the overlap needed.  Members already connected are not probed.
    Large clusters are dealt into blocks, each with the anchor.
-3. *The rest.*  Where a member did not end up with its anchor, it is searched against all
-   blocks of that cluster, so pairs that the anchor does not bridge are found as well.
+   A set is searched around the anchor it shares most with, and then compared with every
+   other anchor it met.
+3. *The rest.*  Where a member still is not connected with an anchor it met, it is searched
+   against all blocks of that cluster, so pairs that no anchor bridges are found as well.
 
 Equal sets are one node.  Empty or null texts link with nothing.  Repeated rows are
 copies of each other.  Texts with fewer words than a shingle have one, their whole
@@ -42,7 +44,8 @@ from tidemark.llm.tokens import mix, pieces, runs, signed, word_bounds, words
 from tidemark.session import join_checked, settle
 
 BAND = 1.4
-BLOCK_SHINGLES = 32_000
+BLOCK_SHINGLES = 32_000  # shingles of a block in which all members ask each other
+REST_SHINGLES = 256_000  # of one that is asked by those not connected: fewer copies of these
 MU = 0.0085  # weight of the logarithm in DivideSkip's choice of long lists
 
 
@@ -158,66 +161,170 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def _set_aside(lists: int, need: int, longest: int) -> int:
+    """How many of the longest lists DivideSkip probes instead of merging."""
+    return min(need - 1, int(need / (MU * math.log2(longest + 1) + 1)), lists)
+
+
 def divide_skip(lists: list[list[int]], need: int) -> tuple[Iterator[tuple[int, int]], list[list[int]]]:
     """Split the lists and merge the short ones: ids with their counts, and the long lists.
 
     Only ids that could still reach ``need`` with the help of every long list come out.
     """
     lists = sorted(lists, key=len)
-    longest = len(lists[-1]) if lists else 1
-    aside = min(need - 1, int(need / (MU * math.log2(longest + 1) + 1)), len(lists))
+    aside = _set_aside(len(lists), need, len(lists[-1]) if lists else 1)
     short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
     merged = ((i, sum(1 for _ in g)) for i, g in groupby(heapq.merge(*short)))
     return ((i, c) for i, c in merged if c >= need - aside), long_
 
 
-def search(sets: list[np.ndarray], comps: list[int], queries: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (positions) that connect members' components.
+def search(sets: list[np.ndarray], comps: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (positions) among all members that connect their components.
 
-    ``queries`` None: every member asks those before it.  Otherwise the listed members
-    ask all others.  A pair whose components are already connected is not looked at.
+    Members come in by size and ask those before them; a pair whose components are
+    already connected is not looked at.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    known = _shared_only(sets, None, percent)
+    order = sorted((i for i in range(len(sets)) if known[i][1]), key=lambda i: (known[i][0], i))
     forest, links = Forest(), []
     index: dict[int, list[int]] = {}
-
-    def ask(q: int) -> None:
-        n = len(sets[q])
-        smallest = -(-percent * n // 100)
-        need = -(-percent * (n + smallest) // (100 + percent))
-        lists = [x for s in sets[q].tolist() if (x := index.get(s))]
-        if len(lists) < need:
-            return
-        found, long_ = divide_skip(lists, need)
-        found = sorted(found, key=lambda x: -x[1])
-        for p, count in found:
-            i = order[p]
-            if i == q or forest.find(comps[i]) == forest.find(comps[q]):
-                continue
-            wanted = -(-percent * (n + len(sets[i])) // (100 + percent))
-            left = len(long_)
-            for x in long_:
-                if count + left < wanted:
-                    break
-                at = bisect_left(x, p)
-                count += at < len(x) and x[at] == p
-                left -= 1
-            if 100 * count >= percent * (n + len(sets[i]) - count):
-                links.append((q, i))
-                forest.join(comps[q], comps[i])
-
-    asking = None if queries is None else set(queries)
-    for p, i in enumerate(order):
-        if asking is None:
-            ask(i)
-        for s in sets[i].tolist():
+    for p, q in enumerate(order):
+        n, own = known[q]
+        need = _least_overlap(n, percent)
+        lists = [x for s in own if (x := index.get(s))]
+        if len(lists) >= need:
+            found, long_ = divide_skip(lists, need)
+            for c, count in sorted(found, key=lambda x: -x[1]):
+                i = order[c]
+                if forest.find(comps[i]) == forest.find(comps[q]):
+                    continue
+                m = known[i][0]
+                wanted = -(-percent * (n + m) // (100 + percent))
+                left = len(long_)
+                for x in long_:
+                    if count + left < wanted:
+                        break
+                    at = bisect_left(x, c)
+                    count += at < len(x) and x[at] == c
+                    left -= 1
+                if 100 * count >= percent * (n + m - count):
+                    links.append((q, i))
+                    forest.join(comps[q], comps[i])
+        for s in own:
             index.setdefault(s, []).append(p)
-    if asking is not None:
-        for i in sorted(asking):
-            ask(i)
     return links
 
 
+def _least_overlap(n: int, percent: int) -> int:
+    """Overlap that a set of size ``n`` needs with the smallest set it can link with."""
+    return -(-percent * (n + -(-percent * n // 100)) // (100 + percent))
+
+
+def search_rest(
+    sets: list[np.ndarray], comps: list[int], queries: list[int], percent: int
+) -> list[tuple[int, int]]:
+    """Links between the queries and all other members of other components.
+
+    The same search over a finished index, for many members at once: all lists lie in one
+    sorted array of (shingle, member); the short ones are merged by a sort in place of the
+    heap, the long ones are probed by bisection for all members that are left.
+    """
+    known = _shared_only(sets, queries, percent)
+    order = sorted((i for i in range(len(sets)) if known[i][1]), key=lambda i: (known[i][0], i))
+    if len(order) < 2:
+        return []
+    size = np.array([known[i][0] for i in order])
+    label = np.unique(np.array([comps[i] for i in order]), return_inverse=True)[1]
+    total = len(order)
+    code = np.concatenate([np.array(known[i][1], np.int64) for i in order])
+    flat = code * total + np.repeat(np.arange(total), [len(known[i][1]) for i in order])
+    flat.sort()
+    begin = np.searchsorted(flat, np.arange(int(code.max()) + 2) * total)
+    links = []
+    asking = set(queries)
+    for p, q in enumerate(order):
+        if q not in asking:
+            continue
+        n, own = known[q]
+        fits = (label != label[p]) & (100 * size >= percent * n) & (100 * n >= percent * size)
+        if not fits.any():
+            continue
+        need = _least_overlap(n, percent)
+        own_ = np.array(own, np.int64)
+        length = begin[own_ + 1] - begin[own_]
+        by_length = np.argsort(length, kind="stable")
+        aside = _set_aside(len(own_), need, int(length.max()))
+        # The short lists, merged by sorting; the long ones in order, for the probes.
+        short, long_ = own_[by_length[: len(own_) - aside]], np.sort(own_[by_length[len(own_) - aside :]])
+        many = begin[short + 1] - begin[short]
+        at = np.repeat(begin[short] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        merged = flat[at] - np.repeat(short * total, many)
+        ids, count = np.unique(merged[fits[merged]], return_counts=True)
+        enough = count >= need - aside
+        ids, count = ids[enough], count[enough]
+        wanted = -(-percent * (n + size[ids]) // (100 + percent))
+        left = aside
+        for lo in range(0, aside, 64):
+            if not len(ids):
+                break
+            part = long_[lo : lo + 64]
+            probe = (part[:, None] * total + ids[None]).ravel()
+            spot = np.minimum(np.searchsorted(flat, probe), len(flat) - 1)
+            count = count + (flat[spot] == probe).reshape(len(part), len(ids)).sum(axis=0)
+            left -= len(part)
+            alive = count + left >= wanted
+            ids, count, wanted = ids[alive], count[alive], wanted[alive]
+        for i, k in zip(ids.tolist(), count.tolist()):
+            if 100 * k >= percent * (n + int(size[i]) - k) and label[i] != label[p]:
+                links.append((q, order[i]))
+                label[label == label[i]] = label[p]
+    return links
+
+
+def _with_anchor(sets: list[np.ndarray], head: int, percent: int) -> list[tuple[int, int]]:
+    """Links of one member with each of the others."""
+    out = []
+    for i, s in enumerate(sets):
+        if i != head and len(s):
+            n = int(np.isin(s, sets[head], assume_unique=True).sum())
+            if 100 * n >= percent * (len(s) + len(sets[head]) - n):
+                out.append((head, i))
+    return out
+
+
+def _shared_only(
+    sets: list[np.ndarray], queries: list[int] | None, percent: int
+) -> list[tuple[int, list[int]]]:
+    """Size of each set and those of its shingles that can matter: numbered, in any order.
+
+    A shingle that no other member (and no query) has is in no overlap.  A member with
+    fewer than ``percent`` of its own shingles left can link with nobody and gets none;
+    that takes shingles from others, so it is repeated until nothing changes.
+    """
+    sizes = np.array([len(s) for s in sets])
+    if not len(sizes) or not sizes.sum():
+        return [(int(n), []) for n in sizes]
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    asking = np.ones(len(sets), bool)
+    if queries is not None:
+        asking[:] = False
+        asking[queries] = True
+    while True:
+        count = np.bincount(code)
+        asked = np.bincount(code, weights=asking[owner]) > 0
+        useful = (count >= 2)[code] & asked[code]
+        left = np.bincount(owner[useful], minlength=len(sets))
+        fits = 100 * left >= percent * sizes
+        keep = useful & fits[owner]
+        if keep.all() or not keep.any():
+            break
+        code, owner = code[keep], owner[keep]
+    code, owner = code[keep], owner[keep]
+    cuts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    return [(int(n), code[a:b].tolist()) for n, a, b in zip(sizes, cuts, cuts[1:])]
+
+
 def _sets(texts: pd.Series, k: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, data, offs in pieces(pa.array(texts, pa.string())):
@@ -227,27 +334,37 @@ def _sets(texts: pd.Series, k: int) -> list[np.ndarray]:
     return out
 
 
-def _links(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Search every (anchor, block) group of ``rows`` (anchor, block, fp, comp, asks)."""
+def _links(rows: DataFrame, texts: DataFrame, k: int, percent: int, how: str) -> DataFrame:
+    """Search every (anchor, block) group of ``rows`` (anchor, block, fp, comp, asks).
+
+    ``how``: "all" among all members, "anchor" with the anchor only, "rest" those that ask
+    against all.
+    """
 
-    def run(_: tuple, part: pd.DataFrame) -> list[tuple]:
+    def run(key: tuple, part: pd.DataFrame) -> list[tuple]:
         part = part.drop_duplicates(["fp", "n_text"])
         sets = _sets(part["text"], k)
         comps, fps = part["comp"].tolist(), part["fp"].tolist()
         asks = part["asks"].tolist()
-        queries = None if all(asks) else [i for i, x in enumerate(asks) if x]
-        return [(fps[a], fps[b]) for a, b in search(sets, comps, queries, percent)]
+        if how == "all":
+            found = search(sets, comps, percent)
+        elif how == "anchor":
+            heads = [i for i, f in enumerate(fps) if f == key[0]]
+            found = [x for h in heads for x in _with_anchor(sets, h, percent)]
+        else:
+            found = search_rest(sets, comps, [i for i, x in enumerate(asks) if x], percent)
+        return [(fps[a], fps[b]) for a, b in found]
 
     joined = rows.join(texts, "fp")
     return by_group(joined, ["anchor", "block"], run, "a long, b long")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, sizes: DataFrame, shingles: int) -> DataFrame:
     """Number of blocks of every anchor's cluster, from its members' shingles."""
     return (
         rows.join(sizes, "fp")
         .groupBy("anchor")
-        .agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        .agg(F.ceil(F.sum("n_shingles") / shingles).cast("int").alias("blocks"))
     )
 
 
@@ -293,42 +410,53 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     texts = stored(found.mapInPandas(right, "fp long, text string, n_text long"), "ngram-texts")
     sizes = needed.select("fp", "n_shingles")
 
-    # First every set with the anchor it shares most with.
-    best = edges.groupBy("fp").agg(F.max_by("anchor", F.struct("shared", -F.col("anchor"))).alias("anchor"))
-    blocks = _blocks(best, sizes)
-    dealt = join_checked(best, settle(blocks), ["anchor"])
-    members = dealt.select("anchor", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "fp")
-    heads = members.select("anchor", "block").distinct().withColumn("fp", F.col("anchor"))
-    first = members.union(heads.select("anchor", "block", "fp")).withColumns(
-        {"comp": F.col("fp"), "asks": F.lit(True)}
-    )
-    links = stored(_links(first, texts, k, percent), "ngram-links")
-    labels = components(links)
+    def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        return join_checked(rows, settle(blocks), ["anchor"]).withColumn("block", block).drop("blocks")
+
+    def with_heads(rows: DataFrame) -> DataFrame:
+        """Members (anchor, block, fp) and the anchor itself in every block."""
+        heads = rows.select("anchor", "block").distinct().withColumn("fp", F.col("anchor"))
+        both = rows.select("anchor", "block", "fp").union(heads)
+        return both.withColumns({"comp": F.col("fp"), "asks": F.lit(True)})
 
-    # Then what its anchors do not bridge, against whole clusters.
     def labelled(df: DataFrame, on: str, name: str) -> DataFrame:
         own = labels.select(F.col("node").alias(on), F.col("label").alias(name))
         return df.join(own, on, "left").withColumn(name, F.coalesce(name, on))
 
-    known = labelled(labelled(edges.select("fp", "anchor"), "fp", "comp"), "anchor", "home")
-    open_ = stored(known.where("comp <> home"), "ngram-open")
+    def opened() -> DataFrame:
+        """Edges whose ends are in different components as yet."""
+        known = labelled(labelled(edges.select("fp", "anchor"), "fp", "comp"), "anchor", "home")
+        return stored(known.where("comp <> home"), "ngram-open")
+
+    # First every set with the anchor it shares most with, and that anchor's other sets.
+    best = edges.groupBy("fp").agg(F.max_by("anchor", F.struct("shared", -F.col("anchor"))).alias("anchor"))
+    members = dealt(best, _blocks(best, sizes, BLOCK_SHINGLES))
+    links = stored(_links(with_heads(members), texts, k, percent, "all"), "ngram-links")
+    labels = components(links)
+
+    # Then with every other anchor it met.
+    open_ = opened()
+    members = dealt(open_.select("anchor", "fp"), _blocks(open_, sizes, REST_SHINGLES))
+    links = links.union(stored(_links(with_heads(members), texts, k, percent, "anchor"), "ngram-links"))
+    labels = components(links)
+
+    # What no anchor bridges is searched against whole clusters.
+    open_ = opened()
     if open_.limit(1).count():
         clusters = open_.select("anchor").distinct()
-        inside = known.join(clusters, "anchor", "left_semi")
+        inside = labelled(labelled(edges.join(clusters, "anchor", "left_semi").select("anchor", "fp"), "fp", "comp"), "anchor", "home")
         everyone = inside.select("anchor", "fp", "comp").union(
             inside.select("anchor", F.col("anchor").alias("fp"), F.col("home").alias("comp")).distinct()
         )
-        counts = settle(_blocks(everyone, sizes))
-        index = join_checked(everyone, counts, ["anchor"]).select(
-            "anchor", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "fp", "comp",
-            F.lit(False).alias("asks"),
-        )
-        asking = join_checked(open_.select("anchor", "fp", "comp"), counts, ["anchor"]).select(
+        blocks = stored(_blocks(everyone, sizes, REST_SHINGLES), "ngram-blocks")
+        index = dealt(everyone, blocks).select("anchor", "block", "fp", "comp", F.lit(False).alias("asks"))
+        asking = join_checked(open_.select("anchor", "fp", "comp"), settle(blocks), ["anchor"]).select(
             "anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "comp",
             F.lit(True).alias("asks"),
         )
         rest = index.union(asking).groupBy("anchor", "block", "fp", "comp").agg(F.max("asks").alias("asks"))
-        more = stored(_links(rest, texts, k, percent), "ngram-rest")
+        more = stored(_links(rest, texts, k, percent, "rest"), "ngram-rest")
         if more.limit(1).count():
             labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
