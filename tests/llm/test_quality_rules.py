@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tests.llm.frames import ODD, docs, rows, split_words, text
+from tests.llm.frames import ODD, docs, rows, split_words, text, words
 from tidemark.llm import quality_rules as Q
 
 
@@ -48,3 +48,20 @@ def test_lines_of_a_host(spark):
     left = rows(Q.kept_rows(frame))
     assert {r["doc_id"] for r in left} == {d for d in want if want[d]}
     assert Q.kept_rows(frame).columns == frame.columns
+
+
+def test_families_neither_saturate_nor_hold_the_line(spark):
+    foot = " ".join(f"all rights reserved {k}" for k in "abcdefghijklmno")
+    longest = foot + " https://an.example.org/a-very-long-address-that-no-other-word-reaches"
+    own = [(i, text(40, i) + "\n" + longest, "url") for i in range(30)]  # the footer holds the longest word
+    few = [(100 + i, " ".join(w[:5] for w in words(40, i)) + f" longestword{i % 5}\n" + foot, "few") for i in range(200)]
+    menu = [f"entry {k} of the long menu of this host" for k in "abcdefgh"]  # furniture of many lines
+    bars = [(400 + i, "\n".join([*menu, text(50, 400 + i)]), "bars") for i in range(60)]
+    prose = [text(9, 900 + k) for k in range(20)]
+    copies = []
+    for i in range(60):  # near copies with an edited line
+        mine = prose[:]
+        mine[i % 20] = mine[i % 20].replace(" ", f" q{i} ", 1)
+        copies.append((600 + i, "\n".join(mine), "copies"))
+    kept = {r["doc_id"]: r["kept"] for r in rows(Q.judge(docs(spark, [*own, *few, *bars, *copies])))}
+    assert kept == {d: d >= 600 for d in kept}

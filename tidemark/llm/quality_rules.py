@@ -3,11 +3,14 @@
 Native DataFrame expressions only.  A document's own statistics are computed in its row.
 For the cross-document part, lines are normalised (A-Z lower-cased, digits as 0, white
 space collapsed) and hashed with their host; per line and host the distinct documents are
-counted, and so are the *families* among them: a document's family is its longest word
-(ties: the largest), which copies and near copies share and unrelated texts do not.  A line
-is furniture when more than ``max_docs`` documents of the host have it and at least half as
-many families: large groups of near copies do not make their own prose look like furniture
-(removing copies is the business of other operators).
+counted, and so are the *families* among them.  A document's family for a line comes from
+its other lines: of their first and last three words one piece is drawn by hash, a line with
+the chance of its share of the words (an exponential race).  Copies and near copies draw the
+same piece and unrelated texts do not, however many there are.  A line is furniture when more
+than ``max_docs`` documents of the host have it, of at least a quarter as many families:
+large groups of near copies do not make their own prose look like furniture (removing copies
+is the business of other operators), and the other furniture of a page may hold up to three
+quarters of its remaining words.  Texts of one line only are of one family.
 
 Furniture lines are removed.  A document is depleted, and rejected, when fewer than
 ``min_share`` of its words are left.
@@ -29,6 +32,7 @@ SYMBOLS = "#*$%&|<>"
 MAX_DOCS = 20
 MIN_SHARE = 0.5
 MIN_WORDS = 50
+FAMILY_SHARE = 4  # a line of fewer than 1/4 as many families as documents is the prose of near copies
 
 
 def _text() -> Column:
@@ -75,25 +79,61 @@ def normal_line(line: Column) -> Column:
     return F.translate(spaced, "123456789", "000000000")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """key (host and line hash), words, family and document key of each distinct line of a text."""
+def _drawn(line: Column) -> Column:
+    """Struct (rank, piece): the piece a line takes part with in the draw of its text."""
+    rank = lambda piece: -F.log((F.shiftrightunsigned(piece, 11).cast("double") + 1) / float(2**53 + 1))
+    ends = F.array(F.xxhash64(F.substring_index(line, " ", 3)), F.xxhash64(F.substring_index(line, " ", -3)))
+    return let(
+        F.array_min(F.transform(ends, lambda x: F.struct(rank(x).alias("rank"), x.alias("piece")))),
+        lambda x: F.struct((x["rank"] / _words(line)).alias("rank"), x["piece"].alias("piece")),
+    )
+
+
+def _words(line: Column) -> Column:
+    """Words of a normalised line."""
+    return (F.length(line) - F.length(F.translate(line, " ", "")) + 1).cast("long")
+
+
+def _with_family(lines: Column) -> Column:
+    """Array of (line, family): the family is the piece that the other lines draw."""
+
+    def drawn(draws: Column) -> Column:
+        first = F.array_min(draws)
+        return let(
+            F.struct(first.alias("first"), F.array_min(F.array_remove(draws, first)).alias("next")),
+            lambda x: F.transform(
+                lines,
+                lambda line, i: F.struct(
+                    line.alias("line"),
+                    F.coalesce(F.when(F.get(draws, i) == x["first"], x["next"]["piece"]).otherwise(x["first"]["piece"]), F.lit(0)).alias("family"),
+                ),
+            ),
+        )
+
+    return let(F.transform(lines, _drawn), drawn)
+
+
+def _lines(docs: DataFrame, families: bool = False) -> DataFrame:
+    """key (host and line hash), words and document key of each distinct line of a text, and its family if asked for."""
     kept = F.filter(F.split(_text(), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    longest = F.array_max(F.transform(word_array(F.col("text").cast("string")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    lines = F.array_distinct(F.transform(kept, normal_line))
+    alone = lambda x: F.transform(x, lambda line: F.struct(line.alias("line")))
     return (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.xxhash64(_text()).alias("text_hash"),
             F.col("source").cast("string").alias("host"),
-            F.xxhash64(longest["w"]).alias("family"),
-            F.array_distinct(F.transform(kept, normal_line)).alias("lines"),
+            let(lines, _with_family if families else alone).alias("lines"),
         )
-        .select("doc_id", "text_hash", "host", "family", F.explode("lines").alias("line"))
+        # explode() alone would put a filter before it that works out all lines a second time
+        .select("doc_id", "text_hash", "host", F.explode_outer("lines").alias("x"))
+        .where("x is not null")
         .select(
             "doc_id",
             "text_hash",
-            "family",
-            F.xxhash64(F.col("host").isNull(), "host", "line").alias("key"),
-            (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"),
+            *(["x.family"] if families else []),
+            F.xxhash64(F.col("host").isNull(), "host", "x.line").alias("key"),
+            _words(F.col("x.line")).alias("words"),
         )
     )
 
@@ -101,12 +141,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 def furniture(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Keys of lines over the limits, one row each."""
     return (
-        _lines(docs)
+        _lines(docs, families=True)
         .groupBy("key", "family")
         .agg(F.count("*").alias("docs"))
         .groupBy("key")
         .agg(F.sum("docs").alias("docs"), F.count("*").alias("families"))
-        .where((F.col("docs") > max_docs) & (2 * F.col("families") >= F.col("docs")))
+        .where((F.col("docs") > max_docs) & (FAMILY_SHARE * F.col("families") >= F.col("docs")))
         .select("key")
     )
 
