@@ -53,3 +53,28 @@ def test_no_labels_and_empty(spark):
     one = docs(spark, [(1, f"{text(9, 1)} 1234567890123456 {text(3, 2)}")])
     (r,) = rows(S.scan(one))
     assert (r["value"], r["secret"], r["at"]) == ("1234567890123456", False, 9)
+
+
+def test_every_secret_of_a_word(spark):
+    table, _ = corpus(160)
+    a, b, c, d = (hashlib.sha1(x.encode()).hexdigest() for x in "abcd")
+    aws = "AKIA" + "Q7" * 8
+    cases = [
+        (1, f"AWS_SECRET_ACCESS_KEY={a}", [a]),
+        (2, f"https://service-host-name.example.org/cb?token={a}&secret={b}", [a, b]),
+        (3, '{"token":"%s","password":"%s"}' % (a, b), [a, b]),
+        (4, f"{aws},secret={c}", [aws, c]),
+        (5, f"{aws}:{'ghp_' + 'aB3' * 12}", [aws, "ghp_" + "aB3" * 12]),
+        (6, f"secret={a[:32]}==,token={d}", [a[:32] + "==", d]),
+        (7, f'token="{a}"\nsecret={a + b}', [a, a + b]),  # one value begins with the other
+    ]
+    known = [(5000 + i, f"{text(9, i)} SECRET_KEY={hashlib.sha1(str(i).encode()).hexdigest()} {text(9, i)}") for i in range(60)]
+    frame = docs(spark, [*table, *known, *[(i, f"{text(9, i)} {w} {text(9, i)}") for i, w, _ in cases]])
+    got = rows(S.scan(frame))
+    clean = {r["doc_id"]: r["text"] for r in rows(S.redact(frame))}
+    for i, w, secrets in cases:
+        assert sorted(r["value"] for r in got if r["doc_id"] == i and r["secret"]) == sorted(secrets), w
+        want = f"{text(9, i)} {w} {text(9, i)}"
+        for s in sorted(secrets, key=len, reverse=True):
+            want = want.replace(s, "[secret]")
+        assert clean[i] == want

@@ -1,16 +1,17 @@
 """Secret scan: candidates by rule, false positives removed by a random forest.
 
-Native expressions only.  A candidate is a word (between ASCII white space) that holds a
-run of 16 or more ``[A-Za-z0-9+/_-]`` with a digit, or a known token format, together with
-its neighbouring words.  Features: length and make-up, transitions between character
+Native expressions only.  Words (between ASCII white space) are cut at ``,;&?|{}`` into parts,
+and every known token format and every run of 16 or more ``[A-Za-z0-9+/_-]`` with a digit in
+a part is a candidate, together with its part and the neighbouring words; ``=`` and ``:`` end
+a run, so a name and its value are two.  Features: length and make-up, transitions between character
 classes, share covered by dictionary pieces, path marks, and the neighbouring words.  The
 forest is fitted by Spark ML on a bounded sample of labelled findings (``MAX_LABELLED``,
 chosen by hash) and turned into column expressions, so that scoring and redaction happen
 in the row: texts are never shuffled.
 
 Where no labels are given, weak ones are derived from all documents: findings in a known
-format, or assigned in quotes to a name that says so, are secrets; identifiers in prose are
-not.
+format, or assigned in quotes or in the same part to a name that says so, are secrets;
+identifiers in prose are not.
 
 Null and empty texts have no candidates.  Texts are scanned whole.  Repeated rows are
 scanned alike.  Without labelled findings of both kinds every finding's score is the share
@@ -36,7 +37,8 @@ FORMATS = (
     "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}"
     "|eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+|sk_live_[0-9a-zA-Z]{16,}"
 )
-RUN = "[A-Za-z0-9+/_-]{16,}={0,2}"
+RUN = "[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\"'-]))?"
+CUTS = "[,;&?|{}]+"
 # Names that secrets are assigned to, and words of examples.
 NAMES = "token|secret|passw|pwd|apikey|api_key|api-key|auth|credential|private|access_key|bearer"
 EXAMPLES = "example|sample|dummy|test|fake|placeholder|changeme|xxxx"
@@ -68,18 +70,32 @@ def _candidates(words: Column) -> Column:
     def near(i: Column) -> Column:
         return F.coalesce(F.get(words, i), F.lit(""))
 
-    return F.transform(
-        spots,
-        lambda x: F.struct(
-            x["i"].cast("long").alias("at"),
-            F.coalesce(
-                F.nullif(F.regexp_extract(x["w"], FORMATS, 0), F.lit("")), F.regexp_extract(x["w"], RUN, 0)
-            ).alias("value"),
-            near(x["i"] - 2).alias("before2"),
-            near(x["i"] - 1).alias("before"),
-            x["w"].alias("word"),
-            near(x["i"] + 1).alias("after"),
-        ),
+    def values(part: Column) -> Column:
+        """The part's known formats, and the runs of what is left of it."""
+        runs = F.regexp_extract_all(F.regexp_replace(part, FORMATS, " "), F.lit(RUN), F.lit(0))
+        known = F.regexp_extract_all(part, F.lit(FORMATS), F.lit(0))
+        return F.array_distinct(F.concat(known, F.filter(runs, lambda v: v.rlike("[0-9]"))))
+
+    parts = F.flatten(
+        F.transform(
+            spots, lambda x: F.transform(F.split(x["w"], CUTS), lambda part: F.struct(x["i"].alias("i"), part.alias("part")))
+        )
+    )
+    return F.flatten(
+        F.transform(
+            parts,
+            lambda x: F.transform(
+                values(x["part"]),
+                lambda v: F.struct(
+                    x["i"].cast("long").alias("at"),
+                    v.alias("value"),
+                    near(x["i"] - 2).alias("before2"),
+                    near(x["i"] - 1).alias("before"),
+                    x["part"].alias("word"),
+                    near(x["i"] + 1).alias("after"),
+                ),
+            ),
+        )
     )
 
 
@@ -107,7 +123,7 @@ def features(c: Column) -> Column:
         covered / n,
         _count(low, "[aeiou]") / n,
         _count(c["word"], "[/.@:]"),
-        _flag(c["word"].rlike(FORMATS)),
+        _flag(v.rlike(FORMATS)),
         _flag(lead.rlike(NAMES)),
         _flag(c["before"].rlike("[=:]$") | c["word"].rlike("[=:][\"']?[A-Za-z0-9]")),
         _flag(c["word"].rlike("[\"'`]")),
@@ -120,7 +136,9 @@ def weak_label(c: Column) -> Column:
     """1.0 for a finding confirmed by its assignment or format, 0.0 for one in plain prose."""
     name = ascii_lower(F.concat_ws(" ", c["before2"], c["before"], c["word"]))
     assigned = (c["before"].rlike("[=:]$") | c["word"].rlike("[=:][\"']")) & c["word"].rlike("[\"']")
-    return F.when(c["word"].rlike(FORMATS) | (name.rlike(NAMES) & assigned), 1.0).when(~assigned, 0.0)
+    head = ascii_lower(F.split_part(c["word"], c["value"], F.lit(1)))
+    own = head.rlike(f"(?:{NAMES})[a-z0-9_.-]*[\"']?[=:][\"']?$") & ~c["value"].startswith("//")
+    return F.when(c["value"].rlike(FORMATS) | own | (name.rlike(NAMES) & assigned), 1.0).when(~assigned, 0.0)
 
 
 def labelled_findings(docs: DataFrame) -> DataFrame:
@@ -191,5 +209,7 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[sec
     forest = Forest(labelled_findings(docs) if labelled is None else labelled)
     text = F.col("text").cast("string")
     secrets = F.filter(findings(text, forest), lambda x: x["secret"])
-    clean = F.aggregate(secrets, text, lambda t, x: F.replace(t, x["value"], F.lit(mark)))
+    # Longest first: a value that lies in another must not break that one up.
+    longest = F.sort_array(F.transform(secrets, lambda x: F.struct(F.length(x["value"]).alias("n"), x["value"].alias("value"))), asc=False)
+    clean = F.aggregate(longest, text, lambda t, x: F.replace(t, x["value"], F.lit(mark)))
     return docs.withColumn("text", clean)
