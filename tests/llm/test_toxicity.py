@@ -94,3 +94,11 @@ def test_no_labels_and_empty(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in rows(T.score_documents(docs(spark, [(1, "x y")]), lab))] == [0.0]
     assert T.score_documents(docs(spark, []), lab).count() == 0
+
+
+def test_insults_of_a_second_script():
+    signs = ["".join(chr(0x4E00 + 13 * k + j) for j in range(8)) for k in range(12)]
+    table, labels = corpus(240, 1, lambda x, r: r.choice(INSULTS + signs))
+    model = T.train([(t, y) for (_, t), (_, y) in zip(table, labels)])
+    for w in INSULTS + signs:
+        assert model.score(max(model.margins(T.terms(w)))) >= 0.5, w

@@ -41,7 +41,7 @@ MAX_TEXTS = 1500  # labelled texts per class that training looks at
 LANDMARKS = 256
 ORDER = 4
 DECAY = 0.8
-LETTERS = 45  # characters of the landmarks that subsequences are numbered by
+DENSE = 50**4  # subsequences of the landmarks' characters that a table may have; else only those in landmarks are numbered
 RATIO = 4.0  # a positive term's share of toxic texts over its share of clean ones, at least
 TYPICAL = 2.5  # deviations from which a term makes a toxic text's sentence positive at first
 SPAN = 8  # longest stretch of a term that one subsequence may lie in
@@ -132,6 +132,18 @@ class Alphabet:
         points = np.array([ord(c) for c in letters], np.uint32)
         self.order = np.argsort(points)
         self.points = points[self.order]
+        self.dense = self.size**ORDER <= DENSE
+        self.used: np.ndarray | None = None  # sorted codes that have a number, if not all have
+
+    @property
+    def count(self) -> int:
+        return self.size**ORDER if self.used is None else len(self.used) + 1
+
+    def number(self, words: list[str]) -> None:
+        """Number only the subsequences of ``words`` where a table of all would be too large."""
+        if not self.dense:
+            found = [np.unique(self.subsequences([words[i] for i in rows])) for rows in by_length(words, 256)]
+            self.used = np.setdiff1d(np.concatenate(found), [0])
 
     def subsequences(self, words: list[str]) -> np.ndarray:
         """Number of each subsequence of each word (all of one length)."""
@@ -139,7 +151,7 @@ class Alphabet:
         x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
         at = np.minimum(np.searchsorted(self.points, x), len(self.points) - 1)
         code = np.where(self.points[at] == x, self.order[at] + 1, 0)
-        code = code.astype(np.int32)
+        code = code.astype(np.int32 if self.dense else np.int64)
         spots, _ = _spots(n)
         out = code[:, spots[:, 0]]
         other = out == 0
@@ -148,7 +160,12 @@ class Alphabet:
             other |= part == 0
             out = out * self.size + part
         out[other] = 0
-        return out
+        if self.used is None:
+            return out
+        if not len(self.used):
+            return np.zeros_like(out)
+        at = np.minimum(np.searchsorted(self.used, out), len(self.used) - 1)
+        return np.where(self.used[at] == out, at + 1, 0)
 
 
 def by_length(words: list[str], step: int) -> Iterator[list[int]]:
@@ -168,6 +185,7 @@ class Landmarks:
     def __init__(self, words: list[str], letters: str) -> None:
         self.words = words
         self.alphabet = Alphabet(letters)
+        self.alphabet.number(words)
         codes, column, weight = [], [], []
         for rows in by_length(words, 256):
             sub = self.alphabet.subsequences([words[i] for i in rows])
@@ -177,7 +195,7 @@ class Landmarks:
             weight.append((_spots(len(part[0]))[1] / excess(part)[:, None]).ravel())
         all_codes = np.concatenate(codes)
         used, row = np.unique(all_codes, return_inverse=True)
-        self.place = np.zeros(self.alphabet.size**ORDER, np.int32)  # 0: in no landmark
+        self.place = np.zeros(self.alphabet.count, np.int32)  # 0: in no landmark
         self.place[used] = np.arange(1, len(used) + 1)
         self.place[0] = 0
         table = np.zeros((len(used) + 1, len(words)))
@@ -279,7 +297,7 @@ def train(texts: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | N
     chosen = first + [p for p in common[:landmarks] if p not in set(first)][: landmarks - len(first)]
     if not chosen:
         return None
-    letters = "".join(c for c, _ in Counter(c for p in chosen for c in p).most_common(LETTERS))
+    letters = "".join(c for c, _ in Counter(c for p in chosen for c in p).most_common())
     marks = Landmarks(chosen, letters)
     value, vector = np.linalg.eigh(marks.kernel(chosen))
     good = value > 1e-4 * value.max()
@@ -313,7 +331,7 @@ def train(texts: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | N
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         often = np.concatenate([[strong[i] for i in positive], np.ones(len(negative))])
         weights, bias = _svm(x, y, often)
-        folded = np.zeros(marks.alphabet.size**ORDER, np.float32)
+        folded = np.zeros(marks.alphabet.count, np.float32)
         used = np.flatnonzero(marks.place)
         folded[used] = (marks.table @ (whiten @ weights))[marks.place[used]]
         model = Model(marks.alphabet, folded, bias)
