@@ -65,3 +65,11 @@ def test_families_neither_saturate_nor_hold_the_line(spark):
         copies.append((600 + i, "\n".join(mine), "copies"))
     kept = {r["doc_id"]: r["kept"] for r in rows(Q.judge(docs(spark, [*own, *few, *bars, *copies])))}
     assert kept == {d: d >= 600 for d in kept}
+
+
+def test_kept_rows_are_without_furniture(spark):
+    foot, own = "Contact  us 12", [f"{text(60, i)}\n\nContact us {10 + i}\n{text(9, 200 + i)}" for i in range(30)]
+    table = [(i, t, "a") for i, t in enumerate(own)] + [(100, own[0], "b"), (101, text(70, 5) + "\n" + foot, "a")]
+    left = {r["doc_id"]: r["text"] for r in rows(Q.kept_rows(docs(spark, table, clash=True)))}
+    want = {i: f"{text(60, i)}\n\n{text(9, 200 + i)}" for i in range(30)}
+    assert left == {**want, 100: own[0], 101: text(70, 5)}

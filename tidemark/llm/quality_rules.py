@@ -12,8 +12,8 @@ large groups of near copies do not make their own prose look like furniture (rem
 is the business of other operators), and the other furniture of a page may hold up to three
 quarters of its remaining words.  Texts of one line only are of one family.
 
-Furniture lines are removed.  A document is depleted, and rejected, when fewer than
-``min_share`` of its words are left.
+Furniture lines are removed: the kept rows carry their other lines in order.  A document is
+depleted, and rejected, when fewer than ``min_share`` of its words are left.
 
 Null and blank texts have no words, fail the base rule and are not kept.  A null host is a
 host of its own.  Repeated rows are judged alike and count as documents of one family.
@@ -113,6 +113,10 @@ def _with_family(lines: Column) -> Column:
     return let(F.transform(lines, _drawn), drawn)
 
 
+def _key(host: Column, line: Column) -> Column:
+    return F.xxhash64(host.isNull(), host, line)
+
+
 def _lines(docs: DataFrame, families: bool = False) -> DataFrame:
     """key (host and line hash), words and document key of each distinct line of a text, and its family if asked for."""
     kept = F.filter(F.split(_text(), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
@@ -132,7 +136,7 @@ def _lines(docs: DataFrame, families: bool = False) -> DataFrame:
             "doc_id",
             "text_hash",
             *(["x.family"] if families else []),
-            F.xxhash64(F.col("host").isNull(), "host", "x.line").alias("key"),
+            _key(F.col("host"), F.col("x.line")).alias("key"),
             _words(F.col("x.line")).alias("words"),
         )
     )
@@ -151,8 +155,8 @@ def furniture(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     )
 
 
-def depletion(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, text_hash, removed: share of the words on furniture lines, where there are any."""
+def depletion(docs: DataFrame, max_docs: int = MAX_DOCS, keys: bool = False) -> DataFrame:
+    """doc_id, text_hash, removed: share of the words on furniture lines, where there are any; with ``keys`` also gone, their keys."""
     marked = join_checked(
         _lines(docs), settle(furniture(docs, max_docs).withColumn("marked", F.lit(True))), ["key"], "left", even=True
     )
@@ -161,9 +165,10 @@ def depletion(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
         .agg(
             F.sum(F.when(F.col("marked"), F.col("words")).otherwise(0)).alias("lost"),
             F.sum("words").alias("all"),
+            *([F.collect_set(F.when(F.col("marked"), F.col("key"))).alias("gone")] if keys else []),
         )
         .where("lost > 0")
-        .select("doc_id", "text_hash", (F.col("lost") / F.col("all")).alias("removed"))
+        .select("doc_id", "text_hash", (F.col("lost") / F.col("all")).alias("removed"), *(["gone"] if keys else []))
     )
 
 
@@ -206,14 +211,12 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHAR
 
 
 def kept_rows(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Rows of ``docs`` that are kept, with all their columns.
+    """Rows of ``docs`` that are kept, with all their columns; ``text`` is without the furniture lines.
 
-    The base rule is judged in the row; of the depleted documents only the ids are joined.
+    The base rule is judged in the row; only ids and keys of furniture lines are joined.
     """
-    depleted = depletion(docs, max_docs).where(1 - F.col("removed") < min_share).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    )
-    side = settle(depleted)
+    lost = depletion(docs, max_docs, keys=True).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    side = settle(lost)
     marked = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("hash"),
         base_statistics().alias("s"),
@@ -221,4 +224,10 @@ def kept_rows(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_
     n, repeat = F.col("s.words.n"), F.col("s.words.repeat")
     sound = marked.where((n >= MIN_WORDS) & (100 * repeat <= 50 * n)).select("row", "id", "hash")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    return sound.join(F.broadcast(side.df) if side.small else side.df, same, "left_anti").select("row.*")
+    left = sound.join(F.broadcast(side.df) if side.small else side.df, same, "left").where(
+        1 - F.coalesce("removed", F.lit(0.0)) >= min_share
+    )
+    host, text = F.col("row.source").cast("string"), F.col("row.text").cast("string")
+    rest = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", _key(host, normal_line(x))))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(rest, "\n"))
+    return left.select(F.col("row").withField("text", cleaned).alias("row")).select("row.*")
