@@ -103,3 +103,26 @@ def test_divide_skip_counts_like_a_full_merge():
             x, y = set(sets[a].tolist()), set(sets[b].tolist())
             if 100 * len(x & y) >= 85 * len(x | y):
                 assert forest.find(a) == forest.find(b)
+
+
+def test_groups_of_the_last_search_are_bounded(spark):
+    members = [(7, f, f % 5) for f in range(60)]
+    everyone = spark.createDataFrame(members, "anchor long, fp long, comp long")
+    asking = everyone.where("fp % 4 <> 0")
+    sizes = spark.createDataFrame([(f, 100) for f in range(60)], "fp long, n_shingles long")
+    groups = {}
+    for r in N.rest_groups(everyone, asking, sizes, 1000).collect():
+        groups.setdefault((r["anchor"], r["block"]), []).append((r["fp"], r["asks"]))
+    met = {(a, b) for g in groups.values() for a, asks in g if asks for b, _ in g if a != b}
+    assert met == {(a, b) for a in range(60) if a % 4 for b in range(60) if a != b}
+    assert len(groups) == 6 * 5 and max(map(len, groups.values())) < 45
+
+
+def test_links_of_texts_without_an_id(spark):
+    w = words(100, 1)
+    bridge, a, b = w, w[:93], w[7:]  # 90 of 97 shingles each with the bridge, 83 of 97 between them
+    other = words(80, 2)
+    table = [(1, " ".join(a)), (None, " ".join(bridge)), (2, " ".join(b)), (None, " ".join(other)), (None, " ".join(other[1:]))]
+    check(spark, [*table, (9, text(50, 3))])
+    low = {r["doc_id"]: r["component_id"] for r in rows(N.similar_components(docs(spark, table), k=4, percent=90))}
+    assert (low[1], low[2]) == (1, 1)

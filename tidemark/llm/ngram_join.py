@@ -19,6 +19,8 @@ word shingles.  No link between different texts is lost:
    other anchor it met.
 3. *The rest.*  Where a member still is not connected with an anchor it met, it is searched
    against all blocks of that cluster, so pairs that no anchor bridges are found as well.
+   Those that ask are dealt into blocks as well, and every pair of an asking and an index
+   block is a group of its own: a group's size does not follow the cluster's.
 
 Equal sets are one node.  Empty or null texts link with nothing.  Repeated rows are
 copies of each other.  Texts with fewer words than a shingle have one, their whole
@@ -36,7 +38,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_group, components, stored
@@ -368,6 +370,31 @@ def _blocks(rows: DataFrame, sizes: DataFrame, shingles: int) -> DataFrame:
     )
 
 
+def rest_groups(everyone: DataFrame, asking: DataFrame, sizes: DataFrame, shingles: int) -> DataFrame:
+    """Rows (anchor, block, fp, comp, asks) of the last search: a block is a pair of blocks.
+
+    ``everyone`` are the members (anchor, fp, comp) of the clusters, ``asking`` those of
+    them that ask.  Every asking member meets every other in one group, and a group holds
+    about ``shingles`` of either side.
+    """
+    askers = _blocks(asking, sizes, shingles).withColumnRenamed("blocks", "ask_blocks")
+    pairs = settle(stored(_blocks(everyone, sizes, shingles).join(askers, "anchor"), "ngram-blocks"))
+
+    def dealt(rows: DataFrame, own: str, other: str, block: Column, asks: bool) -> DataFrame:
+        spread = join_checked(rows, pairs, ["anchor"]).withColumns(
+            {
+                "own": F.pmod(F.xxhash64("fp"), F.col(own)).cast("long"),
+                "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1)),
+            }
+        )
+        return spread.select("anchor", block.alias("block"), "fp", "comp", F.lit(asks).alias("asks"))
+
+    place = lambda ask, index: F.col(ask) * F.col("blocks") + F.col(index)
+    index = dealt(everyone, "blocks", "ask_blocks", place("other", "own"), False)
+    askers_ = dealt(asking, "ask_blocks", "blocks", place("own", "other"), True)
+    return index.union(askers_).groupBy("anchor", "block", "fp", "comp").agg(F.max("asks").alias("asks"))
+
+
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per text: doc_id, n_shingles, component_id (smallest doc_id reachable).
 
@@ -407,7 +434,18 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             pdf = pdf[ok]
             yield pdf.assign(n_text=[hash(t) for t in pdf["text"]])[["fp", "text", "n_text"]]
 
-    texts = stored(found.mapInPandas(right, "fp long, text string, n_text long"), "ngram-texts")
+    texts = found.mapInPandas(right, "fp long, text string, n_text long")
+    lost = needed.where("rep is null").select("fp")
+    if lost.limit(1).count():  # texts that only rows without an id have are known by their fingerprint alone
+
+        def nameless(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                fps = [fingerprints(s)[0] for s in _sets(pdf["text"], k)]
+                yield pdf[["text"]].assign(fp=fps, n_text=[hash(t) for t in pdf["text"]])[["fp", "text", "n_text"]]
+
+        unnamed = plain.where("doc_id is null and text is not null").mapInPandas(nameless, texts.schema)
+        texts = texts.union(join_checked(unnamed, settle(lost), ["fp"], even=True).select(*texts.columns).dropDuplicates(["fp"]))
+    texts = stored(texts, "ngram-texts")
     sizes = needed.select("fp", "n_shingles")
 
     def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -449,13 +487,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         everyone = inside.select("anchor", "fp", "comp").union(
             inside.select("anchor", F.col("anchor").alias("fp"), F.col("home").alias("comp")).distinct()
         )
-        blocks = stored(_blocks(everyone, sizes, REST_SHINGLES), "ngram-blocks")
-        index = dealt(everyone, blocks).select("anchor", "block", "fp", "comp", F.lit(False).alias("asks"))
-        asking = join_checked(open_.select("anchor", "fp", "comp"), settle(blocks), ["anchor"]).select(
-            "anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "comp",
-            F.lit(True).alias("asks"),
-        )
-        rest = index.union(asking).groupBy("anchor", "block", "fp", "comp").agg(F.max("asks").alias("asks"))
+        rest = rest_groups(everyone, open_.select("anchor", "fp", "comp"), sizes, REST_SHINGLES)
         more = stored(_links(rest, texts, k, percent, "rest"), "ngram-rest")
         if more.limit(1).count():
             labels = components(links.union(more))
