@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, license_scan, mixing, passage_dedup, quality_rules, secret_scan, toxicity
+from tidemark.llm import (
+    chat_format,
+    decontaminate,
+    fill_middle,
+    license_scan,
+    mixing,
+    passage_dedup,
+    quality_rules,
+    secret_scan,
+    toxicity,
+)
 from tidemark.llm.common import read
 from tidemark.llm.ngram_join import similar_components
 from tidemark.llm.url_filter import judge_urls
@@ -78,3 +88,9 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document, learned from labels outside the held-out fold."""
     return toxicity.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Form, cuts and hashes of every document's fill-in-middle output and of the text taken back from it."""
+    return fill_middle.digests(fill_middle.transform(read(spark, sf, "documents")))
