@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans.catalogue import REGISTRY as QUERIES
+from tidemark.plans.oracles import ORACLES
 
 TABLES = "nation customer orders lineitem events documents labels".split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # At the smallest scale one user is positive: too few for folds of positives.
 TOO_SMALL = {"ridge_oof"}
 
@@ -32,7 +33,8 @@ def ordered(rows):
 
 
 def test_registry():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(ORACLES) >= 80
 
 
