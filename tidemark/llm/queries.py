@@ -10,9 +10,11 @@ from tidemark.llm import (
     chat_format,
     decontaminate,
     fill_middle,
+    filter_audit,
     license_scan,
     mixing,
     passage_dedup,
+    piece_encode,
     quality_rules,
     secret_scan,
     toxicity,
@@ -94,3 +96,19 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     """Form, cuts and hashes of every document's fill-in-middle output and of the text taken back from it."""
     return fill_middle.digests(fill_middle.transform(read(spark, sf, "documents")))
+
+
+@query
+def op12_filter_interaction_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters keeps, removes and loses at every step of every order, per source."""
+    return filter_audit.audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and spans of every document under a public BPE model, and the text decoded from the ids."""
+    import public_tokenizers
+
+    model = piece_encode.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = piece_encode.encode(read(spark, sf, "documents"), model)
+    return piece_encode.digests(piece_encode.decode(encoded, model))
