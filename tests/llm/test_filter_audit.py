@@ -2,6 +2,7 @@ import re
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.frames import ODD, docs, rows, split_words, text
 from tidemark.llm import filter_audit as M
@@ -122,10 +123,9 @@ def test_relations_leave_nothing_behind(spark):
 
 def test_joins_of_relations_need_no_shuffle(spark):
     tables = M.Relations(docs(spark, []), "audit-test", 4)
-    wide = spark.range(5000).withColumnRenamed("id", "row_id")
-    a = tables.keep(wide.where("row_id % 3 = 0"), "a")
-    b = tables.keep(wide.where("row_id % 2 = 0"), "b")
-    plan = a.hint("merge").join(b.hint("merge"), "row_id", "left_anti")
+    wide = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("f"))
+    kept = tables.keep(tables.deal(wide), "x", "f")
+    plan = kept.where("f = 'a'").hint("merge").join(kept.where("row_id % 2 = 0").select("row_id"), "row_id", "left_anti")
     assert plan.count() == 833
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
     tables.drop()

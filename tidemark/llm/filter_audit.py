@@ -1,16 +1,16 @@
 """Interaction audit of a set of filters by relations of failing ids.
 
-Every row of ``documents`` gets an id of its own.  One table of ids is stored per filter,
-the rows that fail it, and one of all rows; all are bucketed by id, so every join below runs
-inside a bucket and shuffles nothing.
+Every row of ``documents`` gets an id of its own.  The ids of the rows that fail a filter are
+stored per filter, and those of all rows beside them.  These tables and all that follow from
+them are bucketed by id, so every join below runs inside a bucket and shuffles nothing.
 
 An order of filters removes what its prefixes remove, and a prefix removes the same rows in
 any order of its filters, so 120 orders have only 31 prefixes.  For each of them
 
 * its survivors are those of the prefix one shorter, left-anti joined with the failing ids of
-  the filter added, stored as a bucketed table of ids;
-* what a next filter removes are the survivors, left-semi joined with its failing ids;
-* what is redundant for it are its failing ids, left-anti joined with the survivors.
+  the filter added; they are stored, one table for all prefixes of a length;
+* what next filters remove are their failing ids, left-semi joined with the survivors;
+* what is redundant for them are their failing ids, left-anti joined with the survivors.
 
 Counts and label losses are sums over these relations per part; the rows per order, step and
 part only look them up.
@@ -34,7 +34,7 @@ from tidemark.session import join_checked, scratch_path, settle
 
 FILTERS = "ABCDE"
 BUCKET_ROWS = 1_000_000
-MIN_BUCKETS, MAX_BUCKETS = 16, 100_000  # the upper one is Spark's own
+MIN_BUCKETS, MAX_BUCKETS = 8, 100_000  # the upper one is Spark's own
 
 
 def text_failures(text: Column) -> dict[str, Column]:
@@ -111,10 +111,16 @@ class Relations:
         self.tag = f"{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
         self.names: list[str] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        full = f"{self.tag}_{name or 'all'}".lower()
+    def deal(self, df: DataFrame) -> DataFrame:
+        """Rows dealt out as the buckets are, so a task writes one bucket."""
+        return df.repartition(self.buckets, "row_id").coalesce(self.buckets)
+
+    def keep(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Store ``df``, one relation per value of ``by``."""
+        full = f"{self.tag}_{name}"
         (
             df.write.format("parquet")
+            .partitionBy(by)
             .bucketBy(self.buckets, "row_id")
             .option("path", f"{self.folder}/{full}")
             .saveAsTable(full)
@@ -128,6 +134,13 @@ class Relations:
         discard(self.spark, self.folder)
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def prefix_counts(judged: DataFrame, filters: str = FILTERS) -> DataFrame:
     """part, kind, filter, before, n, good, toxic for every set of filters applied before.
 
@@ -137,45 +150,39 @@ def prefix_counts(judged: DataFrame, filters: str = FILTERS) -> DataFrame:
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-judged.count() // BUCKET_ROWS)))
     tables = Relations(judged, "audit-ids", buckets)
     ids = ["row_id", "part", "good", "toxic"]
-    deal = lambda df: df.select(*ids).repartition(buckets, "row_id").coalesce(buckets)
-    failing = {f: tables.keep(deal(judged.where(f)), f"fails_{f}") for f in filters}
-    survivors = {"": tables.keep(deal(judged), "")}
-    counted = None
+    failed = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in filters]))
+    fails = tables.keep(tables.deal(judged.select(*ids, F.explode(failed).alias("filter"))), "fails", "filter")
+    # A prefix without filters is "-": an empty name is no folder.
+    alive = tables.keep(tables.deal(judged.select(*ids, F.lit("-").alias("before"))), "alive_0", "before")
+    levels = []
     for many in range(len(filters) + 1):
-        relations = []
-        for before in map("".join, combinations(filters, many)):
-            if before:
-                last = failing[before[-1]]
-                left = survivors[before[:-1]].join(last.select("row_id"), "row_id", "left_anti")
-                survivors[before] = tables.keep(left, f"after_{before}")
-            alive = survivors[before]
-            relations.append(("kept", "", before, alive))
-            for f in filters:
-                if f not in before:
-                    gone = alive.join(failing[f].select("row_id"), "row_id", "left_semi")
-                    relations.append(("removed", f, before, gone))
-                    if before:
-                        again = failing[f].join(alive.select("row_id"), "row_id", "left_anti")
-                        relations.append(("redundant", f, before, again))
-        tagged = [
-            df.select(
-                "part", "good", "toxic", F.lit(kind).alias("kind"), F.lit(f).alias("filter"), F.lit(before).alias("before")
-            )
-            for kind, f, before, df in relations
-        ]
-        union = tagged[0]
-        for t in tagged[1:]:
-            union = union.unionAll(t)
-        level = stored(
-            union.groupBy("part", "kind", "filter", "before").agg(
-                F.count("*").alias("n"),
-                F.count_if("good").alias("good"),
-                F.count_if("toxic").alias("toxic"),
-            ),
-            "audit-counts",
+        prefixes = ["".join(x) for x in combinations(filters, many)] if many else ["-"]
+        if many:
+            kept = [
+                alive.where(F.col("before") == (p[:-1] or "-"))
+                .hint("merge")
+                .join(fails.where(F.col("filter") == p[-1]).select("row_id"), "row_id", "left_anti")
+                .select(*ids, F.lit(p).alias("before"))
+                for p in prefixes
+            ]
+            alive = tables.keep(_all(kept), f"alive_{many}", "before")
+        kept = alive.withColumns({"kind": F.lit("kept"), "filter": F.lit("")})
+        relations = [kept.select("part", "good", "toxic", "kind", "filter", "before")]
+        for p in prefixes:
+            others = [f for f in filters if f not in p]
+            if others:
+                asked = fails.where(F.col("filter").isin(others)).hint("merge")
+                living = alive.where(F.col("before") == p).select("row_id")
+                for kind, how in (("removed", "left_semi"), ("redundant", "left_anti")):
+                    gone = asked.join(living, "row_id", how)
+                    relations.append(gone.select("part", "good", "toxic", F.lit(kind), "filter", F.lit(p)))
+        level = (
+            _all(relations)
+            .groupBy("part", "kind", "filter", "before")
+            .agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
         )
-        counted = level if counted is None else counted.unionAll(level)
-    out = stored(counted, "audit-counts")
+        levels.append(stored(level, "audit-counts"))
+    out = stored(_all(levels), "audit-counts")
     tables.drop()
     return out
 
@@ -194,44 +201,40 @@ def audit(docs: DataFrame, labels: DataFrame, filters: str = FILTERS) -> DataFra
     )
 
     def look(kind: str, f: Column, before: Column, of: str = "n") -> Column:
+        before = F.when(before == "", "-").otherwise(before)
         entry = F.try_element_at("found", F.concat_ws("/", F.lit(kind), f, before))
         return F.coalesce(entry[of], F.lit(0)).cast("long")
 
-    full = len(filters) - 1
-    steps = []
-    for order in permutations(sorted(filters)):
-        for i, f in enumerate(order):
-            steps.append(("".join(order), i + 1, f, "".join(sorted(order[:i])), "".join(sorted(order[: i + 1]))))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(o).alias("filter_order"),
-                F.lit(i).alias("step"),
-                F.lit(f).alias("f"),
-                F.lit(b).alias("before"),
-                F.lit(a).alias("after"),
-            )
+    steps = [
+        (order, i + 1, f, "".join(sorted(order[:i])), "".join(sorted(order[: i + 1])))
+        for order in map("".join, permutations(sorted(filters)))
+        for i, f in enumerate(order)
+    ]
+    # Constants as one parsed text: thousands of single ones take the driver seconds.
+    table = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('filter_order', '{o}', 'step', {i}, 'f', '{f}', 'before', '{b}', 'after', '{a}')"
             for o, i, f, b, a in steps
-        ]
+        )
+        + ")"
     )
-    totals = {}
-    for f in filters:
-        others = [x for x in sorted(filters) if x != f]
+
+    def removed(f: str, before: str) -> str:
+        return f"coalesce(try_element_at(found, 'removed/{f}/{before or '-'}').n, 0L)"
+
+    full, shapley, unique = len(filters) - 1, [], []
+    for f in sorted(filters):
+        others = "".join(x for x in sorted(filters) if x != f)
         sets = ["".join(s) for k in range(len(others) + 1) for s in combinations(others, k)]
-        totals[f] = sum(
-            (look("removed", F.lit(f), F.lit(s)) * (factorial(len(s)) * factorial(full - len(s))) for s in sets), F.lit(0)
-        )
+        terms = [f"{factorial(len(s)) * factorial(full - len(s))} * {removed(f, s)}" for s in sets]
+        shapley.append(f"'{f}', {' + '.join(terms)}")
+        unique.append(f"'{f}', {removed(f, others)}")
     wide = per_part.select(
         "part",
         "found",
-        F.create_map(*[x for f in filters for x in (F.lit(f), totals[f])]).alias("shapley"),
-        F.create_map(
-            *[
-                x
-                for f in filters
-                for x in (F.lit(f), look("removed", F.lit(f), F.lit("".join(y for y in sorted(filters) if y != f))))
-            ]
-        ).alias("unique"),
+        F.expr(f"map({', '.join(shapley)})").alias("shapley"),
+        F.expr(f"map({', '.join(unique)})").alias("unique"),
     )
     rows = wide.select("part", "found", "shapley", "unique", F.explode(table).alias("s"))
     f, before = F.col("s.f"), F.col("s.before")
