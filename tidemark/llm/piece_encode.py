@@ -15,11 +15,12 @@ give their own row.  Other columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.piece_model import Decoder, Merger, Normalizer, PieceModel, read_model
@@ -32,6 +33,22 @@ def load_model(path: str) -> PieceModel:
         return read_model(f.read())
 
 
+def shipped(spark: SparkSession, value: Callable) -> Callable[[], Callable]:
+    """``value`` in the tasks: sent once, and unpacked once per worker process.
+
+    A reused worker has the same broadcast variable in all its tasks, so a memo inside the
+    value stays warm.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> Callable:
+        if not hasattr(sent, "unpacked"):
+            sent.unpacked = cloudpickle.loads(sent.value)
+        return sent.unpacked
+
+    return get
+
+
 class Encoder:
     """Packed ids with begin and end, and packed source spans of the pieces between."""
 
@@ -41,17 +58,17 @@ class Encoder:
 
     def __call__(self, text: bytes) -> tuple[bytes, bytes]:
         made, source = self.normalize(text)
-        ids, sizes = self.merge(made.decode())
-        stops = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+        found = self.merge(made.decode())
+        stops = np.cumsum(found[:, 1], dtype=np.int64)
         spans = np.empty((len(stops), 2), "<u4")
         if len(stops):
             spans[:, 1] = source[stops]
             spans[0, 0] = source[0]
-            spans[1:, 0] = source[stops[:-1]]
+            spans[1:, 0] = spans[:-1, 1]
             # A byte of a character that is not its last one has no text of its own.
-            none = np.diff(stops, prepend=0) == 0
+            none = found[:, 1] == 0
             spans[none, 1] = spans[none, 0]
-        return self.begin + ids + self.end, spans.tobytes()
+        return self.begin + found[:, 0].tobytes() + self.end, spans.tobytes()
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -60,11 +77,11 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     ``ids`` are unsigned 32-bit integers, little-endian, begin and end included; ``spans``
     are pairs (first byte, byte after) of such integers, one per id between them.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    get = shipped(docs.sparkSession, Encoder(model))
     schema = "doc_id long, ids binary, spans binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = get()
         for batch in batches:
             for i, j, data, offs in pieces(batch.column(1)):
                 raw = data.tobytes()
@@ -84,14 +101,14 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """``encoded`` with the text its ``ids`` stand for as ``decoded``; a null row of ids is empty."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
+    get = shipped(encoded.sparkSession, Decoder(model))
     names = [c for c in encoded.columns if c != "decoded"]
     kept = encoded.select(*[F.col(f"`{c}`") for c in names])
     schema = kept.limit(0).withColumn("decoded", F.lit("")).schema
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(sent.value)
+        decoder = get()
         for batch in batches:
             texts = [decoder(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])

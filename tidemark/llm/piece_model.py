@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -253,66 +253,117 @@ class Normalizer:
         return made, np.append(places[: len(made)], end)
 
 
+class Memo(dict):
+    """Results of a function by its argument; emptied when full, long arguments are not kept."""
+
+    def __init__(self, fn: Callable[[str], bytes], entries: int, longest: int):
+        super().__init__()
+        self.fn, self.entries, self.longest = fn, entries, longest
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Merger:
     """Ids of stretches of normalised text.
 
-    A stretch may be cut where a space mark follows another character and no piece holds
-    that pair: no merge crosses such a place.  Stretches are worked out once and looked up
-    after that; the memo is emptied when it is full.
+    A stretch may be cut between two characters that no piece holds next to each other: no
+    merge crosses such a place.  Texts are cut before space marks where that holds for all
+    of them, then at every such pair.  Both kinds of stretches are worked out once and
+    looked up after that.
     """
 
-    MEMO, LONG = 200_000, 100
+    ENTRIES, LONG = 300_000, 100  # of a memo: about 80 MB
+    SHORT = 64  # characters up to which a plain search for the next merge beats a heap
 
     def __init__(self, model: PieceModel):
         self.model = model
         usable = (NORMAL, USER_DEFINED, UNUSED)
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in usable}
+        order = {s: n for n, s in enumerate(sorted({model.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.rank = {p: order[model.scores[i]] for p, i in self.ids.items() if len(p) > 1}
+        self.never = len(order)
         users = [p for p, k in zip(model.pieces, model.kinds) if k == USER_DEFINED]
         self.users = re.compile("|".join(map(re.escape, sorted(users, key=len, reverse=True)))) if users else None
+        self.simple = not users and UNUSED not in model.kinds
+        self.packed = {p: struct.pack("<2I", i, len(p.encode())) for p, i in self.ids.items()}
         self.byte_ids = {
             int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE
         }
-        crossing = {
-            a for p in self.ids for a, b in zip(p, p[1:]) if b == SPACE_MARK and a != SPACE_MARK
-        }
+        self.pairs = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
+        crossing = {p[0] for p in self.pairs if p[1] == SPACE_MARK and p[0] != SPACE_MARK}
         # A mark after a character that some piece has before a mark is no place to cut.
+        self.at_marks = not crossing
         inner = "".join(f"(?:{re.escape(c)}{SPACE_MARK}+)|" for c in sorted(crossing))
         word = f"(?:{inner}[^{SPACE_MARK}])+" if inner else f"[^{SPACE_MARK}]+"
         self.cut = re.compile(f"{SPACE_MARK}*{word}|{SPACE_MARK}+")
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-
-    def __call__(self, text: str) -> tuple[bytes, bytes]:
-        """Packed ids and piece lengths (bytes of normalised text), 32 bits each."""
-        memo, found = self.memo, []
-        for part in self.cut.findall(text):
-            hit = memo.get(part)
-            if hit is None:
-                hit = self.merged(part)
-                if len(part) <= self.LONG:
-                    if len(memo) >= self.MEMO:
-                        memo.clear()
-                    memo[part] = hit
-            found.append(hit)
-        return b"".join([i for i, _ in found]), b"".join([n for _, n in found])
-
-    def merged(self, part: str) -> tuple[bytes, bytes]:
-        ids, sizes = [], []
-        for piece in self.pieces(part):
-            i = self.ids.get(piece)
+        self.words = Memo(self.divided, self.ENTRIES, self.LONG)
+        self.stems = Memo(self.merged, self.ENTRIES, self.LONG)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Rows (id, bytes of normalised text) of the pieces."""
+        if self.at_marks and SPACE_MARK * 2 not in text and "\0" not in text:
+            parts = text.replace(SPACE_MARK, "\0" + SPACE_MARK).split("\0")
+            if not parts[0]:
+                del parts[0]
+        else:
+            parts = self.cut.findall(text)
+        found = np.frombuffer(b"".join(map(self.words.__getitem__, parts)), "<u4").reshape(-1, 2)
+        if self.model.byte_fallback or not len(found):
+            return found
+        # Neighbours without a piece are one unknown piece.
+        lost = found[:, 0] == self.model.unknown
+        heads = np.flatnonzero(~(lost & np.concatenate(([False], lost[:-1]))))
+        return np.stack((found[heads, 0], np.add.reduceat(found[:, 1], heads)), axis=1).astype("<u4")
+
+    def divided(self, part: str) -> bytes:
+        """A stretch cut once more, between characters that are nowhere neighbours in a piece."""
+        pairs, stems, out, at = self.pairs, self.stems, [], 0
+        for n in range(1, len(part)):
+            if part[n - 1 : n + 1] not in pairs:
+                out.append(stems[part[at:n]])
+                at = n
+        out.append(stems[part[at:]])
+        return b"".join(out)
+
+    def merged(self, part: str) -> bytes:
+        found, packed = [], self.packed
+        for piece in self.quick(part) if self.simple and len(part) <= self.SHORT else self.pieces(part):
+            known = packed.get(piece)
+            if known is not None:
+                found.append(known)
+                continue
             raw = piece.encode()
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            elif self.model.byte_fallback:
+            if self.model.byte_fallback:
                 # Only the last byte carries the character's span.
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            elif ids and ids[-1] == self.model.unknown:
-                sizes[-1] += len(raw)
+                found += [struct.pack("<2I", self.byte_ids[b], 0) for b in raw[:-1]]
+                found.append(struct.pack("<2I", self.byte_ids[raw[-1]], len(raw)))
             else:
-                ids.append(self.model.unknown)
-                sizes.append(len(raw))
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+                found.append(struct.pack("<2I", self.model.unknown, len(raw)))
+        return b"".join(found)
+
+    def quick(self, part: str) -> list[str]:
+        """``pieces`` of a short stretch: the best neighbours, leftmost first, are looked for anew."""
+        rank, never = self.rank, self.never
+        symbols = list(part)
+        ranks = [rank.get(part[n : n + 2], never) for n in range(len(part) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == never:
+                break
+            n = ranks.index(best)
+            symbols[n] += symbols.pop(n + 1)
+            del ranks[n]
+            if n:
+                ranks[n - 1] = rank.get(symbols[n - 1] + symbols[n], never)
+            if n < len(ranks):
+                ranks[n] = rank.get(symbols[n] + symbols[n + 1], never)
+        return symbols
 
     def _symbols(self, part: str) -> tuple[list[str], list[bool]]:
         """Characters, and user-defined pieces, which take part in no merge."""
