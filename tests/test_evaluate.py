@@ -105,17 +105,17 @@ def test_top_models_ties_go_to_the_earlier(spark):
     assert E.top_models(best, ["d", "c", "b", "a"]) == ["b", "c", "a"]
 
 
-@pytest.mark.parametrize("shares", [200, 3, 1])
-def test_group_folds_cover_balance_and_stay_disjoint(spark, shares):
-    rng = random.Random(shares)
+@pytest.mark.parametrize("seed", [200, 3])
+def test_group_folds_cover_balance_and_stay_disjoint(spark, seed):
+    rng = random.Random(seed)
     sizes = {g: rng.choice([1, 1, 2, 3, 4]) for g in range(400)} | {1000: 150}
     rows = [(g,) for g, n in sizes.items() for _ in range(n)]
     df = spark.createDataFrame(rows, "athlete_id long").repartition(6)
-    folds = FO.group_folds(df, 4, shares=shares)
+    folds = FO.group_folds(df, 4)
     got = {r.athlete_id: (r.rows, r.fold) for r in folds.collect()}
     assert {g: n for g, (n, _) in got.items()} == sizes
     load = [sum(n for n, f in got.values() if f == k) for k in range(4)]
-    assert max(load) - min(load) <= 8
+    assert max(load) - min(load) <= 1
     tagged = FO.with_folds(df, folds)
     FO.assert_folds_disjoint(tagged)
     rep = FO.fold_report(tagged, 4).collect()
@@ -130,9 +130,59 @@ def test_small_folds_follow_largest_first(spark):
     assert got == {1: 0, 2: 1, 3: 2, 4: 1, 5: 2, 6: 0, 7: 2}
 
 
+def greedy(sizes, k):
+    loads, out = [0] * k, []
+    for n in sizes:
+        f = min(range(k), key=lambda i: (loads[i], i))
+        loads[f] += n
+        out.append(f)
+    return out, loads
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 60)), min_size=1, max_size=6), st.integers(2, 7))
+def test_dealing_a_histogram_is_largest_first(classes, k):
+    histogram = sorted({n: c for n, c in classes}.items(), reverse=True)
+    want, loads = greedy([n for n, c in histogram for _ in range(c)], k)
+    got, own = [], [0] * k
+    for n, c in histogram:
+        starts, orders = FO._deal(own, n, c)
+        assert len(starts) <= k
+        for turn in range(c):
+            i = max(j for j, s in enumerate(starts) if s <= turn)
+            got.append(orders[i][(turn - starts[i]) % len(orders[i])])
+    assert got == want and own == loads
+
+
+def test_few_uneven_groups_fill_all_folds(spark):
+    sizes = {1: 20_000, 2: 97, 3: 1, 4: 1, 5: 1}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "athlete_id long")
+    assert {r.athlete_id: r.fold for r in FO.group_folds(df, 5).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
+    with pytest.raises(ValueError):
+        FO.group_folds(df.where("athlete_id < 4"), 5)
+
+
+def test_inner_folds_deal_each_class_evenly_on_every_side(spark):
+    rng = random.Random(5)
+    rows = [(g, 1 if rng.random() < 0.2 else 0) for g in range(203) for _ in range(rng.choice([1, 1, 2]))]
+    top = {}
+    for g, y in rows:
+        top[g] = max(y, top.get(g, 0))
+    df = spark.createDataFrame(rows, "athlete_id long, y int")
+    classes = df.groupBy("athlete_id").agg(F.max("y").alias("_class"))
+    ranks = FO.inner_ranks(FO.group_folds(df, 4), classes)
+    counts = {(r.fold, r._class): r.n for r in ranks.groupBy("fold", "_class").agg(F.max("_dealt").alias("n")).collect()}
+    for side in range(4):
+        dealt = ranks.where(F.col("fold") != side).withColumn("i", FO.inner_fold(counts, side, 3)).collect()
+        for cls in (0, 1):
+            n = [sum(r.i == i and r._class == cls for r in dealt) for i in range(3)]
+            assert max(n) - min(n) <= 1 and sum(n) == sum(c == cls and f != side for (f, c), v in counts.items() for _ in range(v))
+        assert all(top[r.athlete_id] == r._class for r in dealt)
+
+
 def test_text_keys_and_overlap(spark):
     df = spark.createDataFrame([(f"e{i}",) for i in range(100)], "athlete_id string")
-    folds = FO.group_folds(df, 5, shares=1)
+    folds = FO.group_folds(df, 5)
     load = sorted(r["count"] for r in folds.groupBy("fold").count().collect())
     assert load == [20] * 5
     bad = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "athlete_id long, fold int")

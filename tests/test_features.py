@@ -238,3 +238,67 @@ def test_spread_at_own_anchor_keeps_precision(spark):
     r = one(WN.moments_at_anchors(df, anchors, "v", [WN.DAYS_7, WN.trailing(3)]))
     assert r.std_7d == pytest.approx(1.140175425099138, abs=1e-6)
     assert r.std_3d == pytest.approx(1.0, abs=1e-6)
+
+
+# --- anchors per entity ------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def at_own(spark):
+    """Three entities at one, two and no anchors of their own; readings on 200 days."""
+    pairs = [(1, day(0)), (2, day(-40)), (2, day(-95)), (3, None)]
+    raw = {
+        "daily_activity": spark.createDataFrame(
+            [(e, day(-o), float(e * 1000 + o)) for e in (1, 2, 3, 4) for o in range(-5, 195, 2)],
+            "athlete_id long, date date, steps double",
+        ),
+        "weight_logs": spark.createDataFrame(
+            [(e, day(-o), 60.0 + o / 10) for e in (1, 2, 3) for o in range(0, 190, 7)],
+            "athlete_id long, date date, weight double",
+        ),
+        "athlete_metadata": spark.createDataFrame(
+            [(1, "row", 70.0), (2, "swim", 80.0)], "athlete_id long, sport string, weight_kg_baseline double"
+        ),
+        "train_labels": spark.createDataFrame(
+            [(e, a, i % 2, float(i), float(i)) for i, (e, a) in enumerate(pairs)],
+            "athlete_id long, obs_window_end date, injured_in_risk_window int, onset_day_offset double, recovery_duration double",
+        ),
+    }
+    return raw, [(e, a or day(-95)) for e, a in pairs]
+
+
+def test_each_entity_is_taken_at_its_own_anchors(at_own):
+    raw, pairs = at_own
+    wide = FT.combine_at_anchors(raw)
+    assert len(wide.columns) == 73
+    got = {(r.athlete_id, r.obs_window_end): r.asDict() for r in wide.collect()}
+    assert set(got) == set(pairs)
+    for e, a in pairs:
+        alone = {k: v.where(F.col("athlete_id") == e) for k, v in raw.items()}
+        want = one(FT.combine_features(alone, a, include_labels=False)).asDict()
+        assert {k: got[e, a][k] for k in want} == want
+    assert got[2, day(-95)]["recovery_duration"] == 2.0 and got[2, day(-40)]["recovery_duration"] == 1.0
+
+
+def test_anchors_without_labels_table_and_without_rows(at_own, spark):
+    raw, _ = at_own
+    far = spark.createDataFrame([(1, dt.date(1999, 1, 1))], "athlete_id long, obs_window_end date")
+    r = one(FT.combine_at_anchors({k: v for k, v in raw.items() if k != "train_labels"}, far))
+    assert r.avg_steps_30d is None and r.training_load_7d == 0.0 and r.sport == "row" and r.latest_weight == 70.0
+    none = far.where("false")
+    assert FT.combine_at_anchors(raw, none, include_labels=False).count() == 0
+    with pytest.raises(ValueError):
+        FT.combine_at_anchors({"daily_activity": raw["daily_activity"]})
+
+
+def test_the_range_of_all_anchors_reaches_the_scan(at_own, spark, tmp_path):
+    raw, pairs = at_own
+    raw["daily_activity"].write.parquet(f"{tmp_path}/a")
+    anchors = spark.createDataFrame(pairs, "athlete_id long, obs_window_end date")
+    windows = WN.anchor_windows(anchors, 30)
+    near = WN.at_anchors(spark.read.parquet(f"{tmp_path}/a"), windows, 30)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(date,{day(-95 - 29)})" in plan and f"LessThanOrEqual(date,{day(0)})" in plan
+    own = {(e, a) for e, a in pairs}
+    want = sum(e == r.athlete_id and a - dt.timedelta(29) <= r.date <= a for e, a in own for r in raw["daily_activity"].collect())
+    assert near.count() == want

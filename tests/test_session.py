@@ -58,7 +58,7 @@ def test_operators_without_broadcast(spark, skewed, tight):
     }
     assert wide == want
     assert sum(r.n for r in box_stats(skewed, "v", ["g"]).collect()) == skewed.count()
-    folds = group_folds(skewed, 4, "g", shares=1)
+    folds = group_folds(skewed, 4, "g")
     tagged = with_folds(skewed, folds, "g")
     assert tagged.count() == skewed.count()
     totals = running_totals(skewed.withColumn("one", F.lit(1)), [F.asc("v")], {"t": F.col("one")}, ["g"])

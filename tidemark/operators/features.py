@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,16 @@ from tidemark.functions import (
     weekly_share,
 )
 from tidemark.operators.guards import assert_unique, guard_columns
-from tidemark.operators.windows import DAYS_7, DAYS_14, DAYS_30, WEEK_BEFORE, Measure, window_agg
+from tidemark.operators.windows import (
+    DAYS_7,
+    DAYS_14,
+    DAYS_30,
+    WEEK_BEFORE,
+    Measure,
+    anchor_windows,
+    at_anchors,
+    window_agg,
+)
 from tidemark.schema import (
     ANCHOR,
     DATE,
@@ -34,6 +43,7 @@ from tidemark.schema import (
 
 Anchor = str | dt.date | Column
 
+WINDOW_TABLES = ["daily_activity", "hourly_heartrate", "sleep_day", "training_sessions", "weight_logs"]
 PROFILE_COLUMNS = list(TABLES["athlete_metadata"].columns)
 
 
@@ -398,6 +408,47 @@ def attach_labels(
     return features.join(assert_unique(side, key) if unique else side, key, "left")
 
 
+def _window_groups(
+    have: dict[str, DataFrame],
+    at: Anchor,
+    weights: dict[str, float] | None,
+    patterns: dict[str, str] | None,
+    tiebreak: list[str] | None,
+    key: str,
+) -> list[DataFrame]:
+    """The feature groups that come from time-stamped tables."""
+    return [
+        activity_features(have["daily_activity"], at, key=key),
+        heart_rate_features(have["hourly_heartrate"], at, key=key),
+        sleep_features(have["sleep_day"], at, key=key),
+        training_block(have["training_sessions"], at, weights, patterns, key=key),
+        weight_block(have["weight_logs"], at, tiebreak, key),
+    ]
+
+
+def _tables(raw: dict[str, DataFrame], session: SparkSession) -> dict[str, DataFrame]:
+    """The raw tables; one that is not there acts as an empty one: the columns are always the same."""
+    return {
+        name: raw[name] if raw.get(name) is not None else session.createDataFrame([], TABLES[name].schema)
+        for name in [*WINDOW_TABLES, "athlete_metadata"]
+    }
+
+
+def _filled(wide: DataFrame, patterns: dict[str, str] | None) -> DataFrame:
+    """Fills that need the spine, as plain expressions on the joined rows, and the column guard."""
+    wide = zero_training(wide, [*TRAINING_COLUMNS, *(patterns or {})])
+    none = F.lit(None).cast("double")
+    held = {c: cell(c).cast("double") if c in wide.columns else none
+            for c in ("weight_kg_baseline", "height_cm")}
+    place = wide.columns.index("latest_weight")
+    own = [c for c in wide.columns if c not in WEIGHT_COLUMNS]
+    filled = weight_fallbacks(wide, held["weight_kg_baseline"], held["height_cm"])
+    order = [*own[:place], *WEIGHT_COLUMNS, *own[place:]]
+    wide = filled.select(*[cell(c) for c in order])
+    guard_columns(wide, allowed=[ANCHOR, *TARGETS])
+    return wide
+
+
 def combine_features(
     raw: dict[str, DataFrame],
     anchor: str | dt.date | None = None,
@@ -414,41 +465,60 @@ def combine_features(
     activity = raw.get("daily_activity")
     entities = spine if spine is not None else entity_spine(labels, profile, activity, key)
     at = anchor_of(labels, anchor)
-
-    builders = {
-        "daily_activity": lambda d: activity_features(d, at, key=key),
-        "hourly_heartrate": lambda d: heart_rate_features(d, at, key=key),
-        "sleep_day": lambda d: sleep_features(d, at, key=key),
-        "training_sessions": lambda d: training_block(d, at, weights, patterns, key=key),
-        "weight_logs": lambda d: weight_block(d, at, tiebreak, key),
-        "athlete_metadata": lambda d: profile_features(d, order=profile_order, key=key),
-    }
-    # A table that is not there acts as an empty one: the columns are always the same.
-    session = entities.sparkSession
-    have = {
-        name: raw[name] if raw.get(name) is not None else session.createDataFrame([], TABLES[name].schema)
-        for name in builders
-    }
-    groups = [build(have[name]) for name, build in builders.items()]
+    have = _tables(raw, entities.sparkSession)
+    groups = _window_groups(have, at, weights, patterns, tiebreak, key)
+    groups.append(profile_features(have["athlete_metadata"], order=profile_order, key=key))
     base = entities.select(key).withColumn(ANCHOR, as_anchor(at))
-    wide = merge_groups(base, groups, key)
-
-    # Fills that need the spine are plain expressions on the joined rows.
-    wide = zero_training(wide, [*TRAINING_COLUMNS, *(patterns or {})])
-    none = F.lit(None).cast("double")
-    held = {c: cell(c).cast("double") if c in wide.columns else none
-            for c in ("weight_kg_baseline", "height_cm")}
-    place = wide.columns.index("latest_weight")
-    own = [c for c in wide.columns if c not in WEIGHT_COLUMNS]
-    filled = weight_fallbacks(wide, held["weight_kg_baseline"], held["height_cm"])
-    order = [*own[:place], *WEIGHT_COLUMNS, *own[place:]]
-    wide = filled.select(*[cell(c) for c in order])
-    guard_columns(wide, allowed=[ANCHOR, *TARGETS])
+    wide = _filled(merge_groups(base, groups, key), patterns)
     if include_labels and labels is not None:
         wide = attach_labels(wide, labels, key=key)
     return wide
 
 
+def combine_at_anchors(
+    raw: dict[str, DataFrame],
+    anchors: DataFrame | None = None,
+    include_labels: bool = True,
+    weights: dict[str, float] | None = None,
+    patterns: dict[str, str] | None = None,
+    tiebreak: list[str] | None = None,
+    profile_order: list[str] | None = None,
+    default: str | dt.date | None = None,
+    key: str = KEY,
+) -> DataFrame:
+    """The wide feature table with every entity at its own anchor, or at several.
+
+    ``anchors`` has (key, anchor) rows, the labels by default; an entity without an anchor
+    takes ``default``, else the earliest of all.  One row per entity and anchor.  Labels that
+    carry anchors are attached to the row of their anchor, others to all rows of the entity.
+    """
+    labels = raw.get("train_labels")
+    named = labels if anchors is None else anchors
+    if named is None or ANCHOR not in named.columns:
+        raise ValueError(f"no table names anchors: '{ANCHOR}' is missing")
+    at = F.coalesce(cell(ANCHOR).cast("date"), as_anchor(anchor_of(named, default)))
+    pairs = named.where(cell(key).isNotNull()).select(cell(key).cast("long").alias(key), at.alias(ANCHOR)).distinct()
+    days = DAYS_30.first + 1
+    windows = anchor_windows(pairs, days, key)
+    # From here on an entity at an anchor is one key.
+    who = F.struct(cell(key), cell(ANCHOR)).alias("_who")
+    have = _tables(raw, pairs.sparkSession)
+    near = {name: at_anchors(have[name], windows, days, key).select(who, "*") for name in WINDOW_TABLES}
+    groups = _window_groups(near, F.col("_who")[ANCHOR], weights, patterns, tiebreak, "_who")
+    met = merge_groups(pairs.select(who), groups, "_who")
+    met = met.select(F.col("_who")[key].alias(key), F.col("_who")[ANCHOR].alias(ANCHOR), "*").drop("_who")
+    profile = profile_features(have["athlete_metadata"], order=profile_order, key=key)
+    wide = _filled(merge_groups(met, [profile], key), patterns)
+    if not include_labels or labels is None:
+        return wide
+    if ANCHOR not in labels.columns:
+        return attach_labels(wide, labels, key=key)
+    have_targets = [t for t in TARGETS if t in labels.columns]
+    side = labels.select(F.struct(cell(key).cast("long").alias(key), at.alias(ANCHOR)).alias("_who"), *have_targets)
+    both = attach_labels(wide.withColumn("_who", F.struct(cell(key), cell(ANCHOR))), side, key="_who")
+    return both.drop("_who")
+
+
 def feature_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str]:
     """Every column a model may see: all but the key, the anchor and the targets."""
     out = set(NOT_FEATURES if exclude is None else exclude)

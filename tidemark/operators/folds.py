@@ -2,91 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import cell
 from tidemark.operators.guards import LeakageError
 from tidemark.operators.ordering import running_totals
 from tidemark.schema import KEY
-from tidemark.session import durable, join_checked
+from tidemark.session import durable, join_checked, settle
 
-SHARES = 200  # a group above total / (folds * SHARES) rows is placed on its own
 
+def _deal(loads: list[int], size: int, count: int) -> tuple[list[int], list[list[int]]]:
+    """How ``count`` groups of ``size`` rows go, one by one, to the fold that is lightest then.
 
-def hash_folds(df: DataFrame, k: int = 5, key: str = KEY, seed: int = 42) -> DataFrame:
-    """Fold from a hash of the group: no shuffle at all, balanced in expectation."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(cell(key), F.lit(seed)), F.lit(k)).cast("int"))
-
-
-def _water_level(loads: list[int], amount: int) -> float:
-    """Level up to which ``amount`` fills the unequal loads."""
-    rising = sorted(loads)
-    level = float(rising[0])
-    left = float(amount)
-    for i, load in enumerate(rising, 1):
-        top = rising[i] if i < len(rising) else float("inf")
-        room = (top - load) * i
-        if room >= left:
-            return load + left / i
-        left -= room
-        level = float(top)
-    return level
-
-
-def group_folds(
-    df: DataFrame, k: int = 5, key: str = KEY, buckets: int = 1024, shares: int = SHARES
-) -> DataFrame:
+    Returns (starts, orders): from the starts[i]-th group on the folds of orders[i] take
+    turns.  A fold joins the turns once the others have reached its load, so there are at
+    most as many entries as folds, however many groups are dealt.  ``loads`` is updated.
+    """
+    waiting = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    active = [waiting.pop(0)]
+    starts, orders, dealt = [], [], 0
+    while dealt < count:
+        active.sort(key=lambda f: (loads[f], f))
+        room = count - dealt
+        if waiting:
+            top, name = loads[waiting[0]], waiting[0]
+            # Turns before the next fold is the lightest: a tie goes to the lower number.
+            turns = [max(0, -(-(top - loads[f] + (f < name)) // size)) for f in active]
+            room = min(room, sum(turns))
+        if room:
+            starts.append(dealt)
+            orders.append(list(active))
+            for i, f in enumerate(active):
+                loads[f] += size * (room // len(active) + (i < room % len(active)))
+            dealt += room
+        if waiting:
+            active.append(waiting.pop(0))
+    return starts, orders
+
+
+def group_folds(df: DataFrame, k: int = 5, key: str = KEY) -> DataFrame:
     """(key, rows, fold) with every group in one fold and folds of nearly equal rows.
 
-    Large groups go largest first to the lightest fold; there are at most
-    ``k * shares`` of them, which bounds what the driver sees.  The many small
-    groups then fill the folds up to a common level by their running row count in a
-    fixed key order, off by at most one small group per fold.
+    Groups go largest first, equal ones in key order, to the fold that has the fewest rows
+    then: fold sizes differ by one group at most, and k groups fill k folds.  The driver
+    deals a histogram of group sizes (at most sqrt(2 * rows) entries, since the sizes add up
+    to the rows); a group looks up its turn by its running rank among groups of its size.
     """
     sizes = durable(
         df.where(cell(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
     )
-    total, groups = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    histogram = sizes.groupBy("rows").agg(F.count("*").alias("n")).orderBy(F.desc("rows")).collect()
+    groups = sum(r["n"] for r in histogram)
     if groups < k:
         raise ValueError(f"{k} folds need at least {k} groups, found {groups}")
-    bar = F.lit(total / float(k * shares))
-    heavy = sizes.where(F.col("rows") > bar)
-    light = sizes.where(F.col("rows") <= bar)
-
     loads = [0] * k
-    placed = []
-    for r in heavy.orderBy(F.desc("rows"), F.asc(key)).collect():
-        f = min(range(k), key=lambda i: (loads[i], i))
-        loads[f] += r["rows"]
-        placed.append((r[key], r["rows"], f))
-    out_schema = T.StructType([*sizes.schema.fields, T.StructField("fold", T.IntegerType())])
-    own = df.sparkSession.createDataFrame(placed, out_schema)
-
-    left = total - sum(loads)
-    if left == 0:
-        return own
-    level = _water_level(loads, left)
-    ends, run = [], 0.0
-    for f in range(k - 1):
-        run += max(0.0, level - loads[f])
-        ends.append(run)
-    whole = isinstance(sizes.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    bucket = F.pmod(cell(key) if whole else F.xxhash64(key), F.lit(buckets)).cast("int")
-    summed = running_totals(
-        light.withColumn("_b", bucket), [F.asc("_b"), F.asc(key)], {"_cum": F.col("rows")}
-    )
-    start = F.col("_cum") - F.col("rows")
-    fold = sum([(start >= F.lit(e)).cast("int") for e in ends], F.lit(0))
-    return own.unionByName(summed.select(key, "rows", fold.cast("int").alias("fold")))
+    dealt = [(r["rows"], r["n"], *_deal(loads, r["rows"], r["n"])) for r in histogram]
+    schema = "rows long, _count long, _starts array<long>, _orders array<array<int>>"
+    turns = df.sparkSession.createDataFrame(dealt, schema)
+    ranked = running_totals(sizes, [F.asc(key)], {"_turn": F.lit(1)}, by=["rows"])
+    met = join_checked(ranked, settle(turns), ["rows"], sizes="_count")
+    turn = F.col("_turn") - 1
+    part = F.size(F.filter("_starts", lambda s: s <= turn)) - 1
+    order = F.get("_orders", part)
+    fold = F.get(order, F.pmod(turn - F.get("_starts", part), F.size(order)).cast("int"))
+    return met.select(key, "rows", fold.alias("fold"))
+
+
+def inner_ranks(folds: DataFrame, classes: DataFrame, key: str = KEY, seed: int = 42) -> DataFrame:
+    """(key, rows, fold, _class, _dealt): running rank of every group within its fold and class.
+
+    ``classes`` has (key, _class).  The order is that of a hash of seed and key.
+    """
+    drawn = F.md5(F.concat(F.lit(f"inner-{seed}:"), cell(key).cast("string")))
+    rows = folds.join(classes, key).withColumn("_drawn", drawn)
+    return running_totals(rows, [F.asc("_drawn"), F.asc(key)], {"_dealt": F.lit(1)}, by=["fold", "_class"]).drop("_drawn")
+
+
+def inner_fold(counts: dict[tuple[int, int], int], side: int, parts: int) -> Column:
+    """Inner fold of a group on the training side of fold ``side``, from ``inner_ranks``.
+
+    ``counts`` are the groups per (fold, class).  Ranks within a fold are moved behind those
+    of the side's earlier folds: each class is dealt round over the whole side, and its
+    groups per inner fold differ by at most one.
+    """
+    start = F.lit(0).cast("long")
+    for (fold, cls) in counts:
+        before = sum(n for (f, c), n in counts.items() if c == cls and f < fold and f != side)
+        start = F.when((F.col("fold") == fold) & (F.col("_class") == cls), F.lit(before).cast("long")).otherwise(start)
+    return F.pmod(F.col("_dealt") - 1 + start, F.lit(parts)).cast("int")
 
 
 def with_folds(df: DataFrame, folds: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows with their group's fold; the fold table has one row per group."""
+    """Rows with their group's fold and what else the fold table (one row per group) says."""
     if "rows" in folds.columns:
-        side = folds.select(key, "fold", F.col("rows").alias("_rows"))
-        return join_checked(df, side, [key], sizes="_rows")
+        return join_checked(df, folds.withColumnRenamed("rows", "_rows"), [key], sizes="_rows")
     return join_checked(df, folds.select(key, "fold"), [key])
 
 

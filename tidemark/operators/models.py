@@ -17,11 +17,18 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import cell, clip
-from tidemark.operators.folds import assert_folds_disjoint, group_folds, with_folds
-from tidemark.operators.prep import PrepStats, build_prep, feature_names, fit_stats
+from tidemark.operators.folds import (
+    assert_folds_disjoint,
+    group_folds,
+    inner_fold,
+    inner_ranks,
+    with_folds,
+)
+from tidemark.operators.prep import WHOLE, PrepStats, build_prep, feature_names, fit_stats
 from tidemark.operators.score import fold_mean
 from tidemark.schema import KEY
 from tidemark.session import durable
@@ -102,10 +109,6 @@ def _label(target: str, binary: bool):
     return y.alias(LABEL, metadata=meta)
 
 
-def _inner_fold(key: str, seed: int):
-    return F.pmod(F.xxhash64(cell(key), F.lit(f"inner-{seed}")), F.lit(INNER_FOLDS)).cast("int")
-
-
 def platt_rows(scored: DataFrame, margin: str, positives: int, negatives: int) -> DataFrame:
     """Each row twice, as positive and negative, weighted by its smoothed target."""
     t = F.when(F.col(LABEL) == 1, F.lit((positives + 1.0) / (positives + 2.0))).otherwise(
@@ -124,7 +127,8 @@ def fit_calibrated(
     """Stages of the calibrated members and their probability columns.
 
     ``train`` has FEATURES, the label and ``_inner``.  Each member is fitted without
-    one inner fold and its margins are mapped to probabilities on that fold.
+    one inner fold and its margins are mapped to probabilities on that fold; there are
+    always INNER_FOLDS members, and a class that does not reach all inner folds is an error.
     """
     counts = {
         (r["_inner"], int(r[LABEL])): r["n"]
@@ -135,8 +139,8 @@ def fit_calibrated(
         pos = sum(n for (f, y), n in counts.items() if f != i and y == 1)
         neg = sum(n for (f, y), n in counts.items() if f != i and y == 0)
         held = counts.get((i, 1), 0), counts.get((i, 0), 0)
-        if not pos or not neg or not sum(held):
-            continue  # nothing to learn or to calibrate on
+        if not all(held):
+            raise ValueError(f"calibration needs {INNER_FOLDS} groups of each class on every training side")
         raw, prob, slot, out = f"_raw{i}", f"_prob{i}", f"_m{i}", f"_cal{i}"
         est = candidate.make({"n": pos + neg})
         est = est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(f"_pred{i}")
@@ -152,11 +156,44 @@ def fit_calibrated(
         ).fit(platt_rows(scored, slot, *held))
         stages += [base, cut, platt]
         outs.append(out)
-    if not stages:
-        raise ValueError("calibration needs both classes in the training rows")
     return stages, outs
 
 
+def calibration_report(
+    df: DataFrame, columns: list[str], target: str, candidate: Candidate, key: str = KEY, seed: int = 42
+) -> DataFrame:
+    """One row per member of a linear candidate fitted on all rows of one feature.
+
+    inner, rows per class it learned from and was calibrated on, weight and bias of its
+    margin, slope and intercept of its calibration.
+    """
+    known = df.where(cell(target).isNotNull())
+    one_fold = known.where(cell(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).withColumn("fold", F.lit(0))
+    classes = known.groupBy(key).agg(F.max(cell(target).cast("int")).alias("_class"))
+    tagged = durable(
+        with_folds(known.select(key, target, *[cell(c) for c in columns]), inner_ranks(one_fold, classes, key, seed), key)
+    )
+    stats = fit_stats(tagged.select(*[cell(c) for c in columns]), columns)[WHOLE]
+    prep = build_prep(tagged.select(*[cell(c) for c in columns]), stats, candidate.scaled, FEATURES)
+    inner = inner_fold(class_groups(tagged, key), -1, INNER_FOLDS)
+    train = durable(prep.transform(tagged).select(_label(target, True), FEATURES, inner.alias("_inner")))
+    stages, _ = fit_calibrated(train, candidate, seed)
+    rows = []
+    for i in range(INNER_FOLDS):
+        base, _, platt = stages[3 * i : 3 * i + 3]
+        rows.append((i, float(base.coefficients[0]), float(base.intercept), float(platt.coefficients[0]), float(platt.intercept)))
+    members = df.sparkSession.createDataFrame(rows, "inner int, weight double, bias double, slope double, intercept double")
+    y = F.col(LABEL) == 1
+    held = train.groupBy(F.col("_inner").alias("inner")).agg(F.count_if(y).alias("held_pos"), F.count_if(~y).alias("held_neg"))
+    everyone = W.partitionBy()  # one row per member
+    return held.join(F.broadcast(members), "inner").select(
+        "inner",
+        (F.sum("held_pos").over(everyone) - F.col("held_pos")).alias("train_pos"),
+        (F.sum("held_neg").over(everyone) - F.col("held_neg")).alias("train_neg"),
+        "held_pos", "held_neg", "weight", "bias", "slope", "intercept",
+    )
+
+
 def calibrated_columns(model: PipelineModel) -> list[str]:
     """Member probability columns of a stored fold model."""
     return [
@@ -230,10 +267,17 @@ def _run(jobs: list[Callable[[], Any]], parallelism: int) -> list[Any]:
 
 
 def _tagged(
-    df: DataFrame, columns: list[str], target: str, k: int, key: str
+    df: DataFrame, columns: list[str], target: str, k: int, key: str, inner_seed: int | None = None
 ) -> tuple[DataFrame, dict[int, PrepStats]]:
+    """Rows with a known target and their folds, and the statistics of every training side.
+
+    With ``inner_seed`` the rows also carry what the inner folds are dealt from.
+    """
     known = df.where(cell(target).isNotNull())
     folds = group_folds(known, k, key)
+    if inner_seed is not None:
+        classes = known.groupBy(key).agg(F.max(cell(target).cast("int")).alias("_class"))
+        folds = inner_ranks(folds, classes, key, inner_seed)
     # Read many times by the fits: written once, so no executor loss repeats the features.
     tagged = durable(
         with_folds(known.select(key, target, *[cell(c) for c in columns]), folds, key)
@@ -242,6 +286,12 @@ def _tagged(
     return tagged, fit_stats(tagged, columns, list(range(k)))
 
 
+def class_groups(tagged: DataFrame, key: str = KEY) -> dict[tuple[int, int], int]:
+    """Groups per (fold, class): two numbers per fold."""
+    counts = tagged.groupBy("fold", "_class").agg(F.max("_dealt").alias("n")).collect()
+    return {(r["fold"], r["_class"]): r["n"] for r in counts}
+
+
 def train_classification(
     df: DataFrame,
     columns: list[str],
@@ -253,7 +303,8 @@ def train_classification(
     parallelism: int = 4,
 ) -> Trained:
     """Group-disjoint folds; every candidate calibrated and scored out of fold."""
-    tagged, stats = _tagged(df, columns, target, k, key)
+    tagged, stats = _tagged(df, columns, target, k, key, seed)
+    dealt = class_groups(tagged, key)
     schema_only = tagged.select(*[cell(c) for c in columns])
     models: dict[str, list[PipelineModel]] = {}
     parts: list[DataFrame] = []
@@ -262,7 +313,7 @@ def train_classification(
         prep = build_prep(schema_only, stats[fold], c.scaled, FEATURES)
         side = tagged.where(F.col("fold") != fold)
         train = prep.transform(side).select(
-            _label(target, True), FEATURES, _inner_fold(key, seed).alias("_inner")
+            _label(target, True), FEATURES, inner_fold(dealt, fold, INNER_FOLDS).alias("_inner")
         ).persist()
         try:
             stages, _ = fit_calibrated(train, c, seed)

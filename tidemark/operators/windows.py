@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_anchor, col
-from tidemark.schema import DATE, KEY
+from tidemark.schema import ANCHOR, DATE, KEY
+from tidemark.session import Settled, join_checked, settle
 
 
 class Span(NamedTuple):
@@ -57,6 +58,46 @@ def previous_week(
     return df.where(inside(col(date), as_anchor(anchor), WEEK_BEFORE))
 
 
+def anchor_windows(
+    anchors: DataFrame, days: int, key: str = KEY, anchor: str = ANCHOR
+) -> tuple[Settled, dt.date | None, dt.date | None]:
+    """Every anchor once per bucket of ``days`` days its window touches, and the first and last day of all windows.
+
+    A window of as many days as a bucket touches two buckets at most.
+    """
+    first = F.date_sub(col(anchor), days - 1)
+    bucket = lambda d: F.floor(F.unix_date(d) / days).cast("int")
+    known = anchors.select(key, col(anchor).cast("date").alias(anchor)).dropna().distinct()
+    met = settle(
+        known.select(key, anchor, F.explode(F.array_distinct(F.array(bucket(first), bucket(col(anchor))))).alias("_bucket"))
+    )
+    low, high = met.df.agg(F.min(first), F.max(anchor)).first()
+    return met, low, high
+
+
+def at_anchors(
+    df: DataFrame,
+    windows: tuple[Settled, dt.date | None, dt.date | None],
+    days: int,
+    key: str = KEY,
+    date: str = DATE,
+    anchor: str = ANCHOR,
+) -> DataFrame:
+    """Rows inside the last ``days`` days of each anchor of their entity, with that anchor.
+
+    An interval join: rows and ``anchor_windows`` meet on entity and bucket of days, so an
+    entity's rows far from its anchors meet nothing and its near ones are spread over its
+    buckets.  The range of all windows is a filter of constants, which reaches the scan.
+    """
+    if date not in df.columns:
+        raise KeyError(f"cannot cut a window without the date column '{date}'")
+    met, low, high = windows
+    rows = df.drop(anchor).where(col(date).between(F.lit(low).cast("date"), F.lit(high).cast("date")))
+    rows = rows.withColumn("_bucket", F.floor(F.unix_date(col(date)) / days).cast("int"))
+    joined = join_checked(rows, met, [key, "_bucket"]).drop("_bucket")
+    return joined.where(inside(col(date), col(anchor), trailing(days)))
+
+
 class Measure(NamedTuple):
     """One output column: ``how`` over ``value`` within ``span``.
 

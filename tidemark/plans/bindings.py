@@ -143,6 +143,35 @@ def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def own_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's own anchor: the day of the last purchase, without any the last day."""
+    bought = F.max(F.when(F.col("event_type") == "purchase", F.col("date")))
+    return (
+        _events(spark, sf_dir)
+        .groupBy(F.col("user_id").alias("athlete_id"))
+        .agg(F.coalesce(bought, F.max("date")).alias("obs_window_end"))
+    )
+
+
+def own_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``train_labels``, each user at the own anchor."""
+    e = _events(spark, sf_dir).withColumnRenamed("user_id", "athlete_id")
+    met = e.join(own_anchors(spark, sf_dir), "athlete_id")
+    off = F.datediff("date", "obs_window_end")
+    hit = (F.col("event_type") == "error") & (F.col("value") > 100) & off.between(1, 7)
+    return met.groupBy("athlete_id", "obs_window_end").agg(
+        F.max(hit.cast("int")).alias("injured_in_risk_window"),
+        F.min(F.when(hit, off)).cast("double").alias("onset_day_offset"),
+        (F.max(F.when(hit, F.col("value"))) / 20).alias("recovery_duration"),
+    )
+
+
+def recent_weight_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``weight_logs`` with the days moved from the orders' anchor to that of the events."""
+    by = (ANCHOR_DAY - ORDERS_ANCHOR).days
+    return weight_logs(spark, sf_dir).withColumn("date", F.date_add("date", by))
+
+
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "daily_activity": daily_activity(spark, sf_dir),

@@ -171,6 +171,17 @@ def combined_with_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_combined(spark, sf, True), 9, **COARSE)
 
 
+@query
+def combined_own_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table with every user at the day of the own last purchase."""
+    raw = B.bundle(spark, sf) | {
+        "train_labels": B.own_labels(spark, sf),
+        "weight_logs": B.recent_weight_logs(spark, sf),
+    }
+    out = FT.combine_at_anchors(raw, weights=B.EVENT_WEIGHTS, patterns=B.EVENT_PATTERNS, tiebreak=["log_id"])
+    return rounded(out, 9, **COARSE)
+
+
 @query
 def empty_input_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """A session table with no row before the anchor: the whole block is zero."""
@@ -898,6 +909,16 @@ def ridge_oof(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.oof, 6)
 
 
+@query
+def calibration_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The three calibrated members of logistic regression on one feature."""
+    labels = B.train_labels(spark, sf)
+    hr = FT.heart_rate_features(B.hourly_heartrate(spark, sf), A).select("athlete_id", "avg_hr_7d")
+    f = durable(FT.attach_labels(FT.merge_groups(labels.select("athlete_id"), [hr]), labels))
+    logistic = M.classifiers(overrides={"LogisticRegression": {"tol": 1e-12}})[-1]
+    return rounded(M.calibration_report(f, ["avg_hr_7d"], TARGETS[0], logistic), 3)
+
+
 @query
 def importances(spark: SparkSession, sf: str) -> DataFrame:
     """Top 20 importances of the bagged trees, mean over members and folds."""

@@ -279,13 +279,10 @@ board AS (SELECT model, 'classification' AS task, 'injured_in_risk_window' AS ta
     FROM ({REG_METRICS}))"""
 )
 _FOLD_BASE = "SELECT o_custkey AS athlete_id FROM orders"
-# Groups largest first, each to the lightest fold, while they are above the bar; the rest
-# by running row count up to the common level.
+# Groups largest first, equal ones by key, each to the fold with the fewest rows then.
 FOLDS = f"""WITH RECURSIVE sizes AS (
   SELECT athlete_id, count(*) AS rows FROM ({_FOLD_BASE}) GROUP BY 1),
-tot AS (SELECT sum(rows)::BIGINT AS n, sum(rows) / 1000.0::DOUBLE AS bar FROM sizes),
-heavy AS (SELECT athlete_id, rows, row_number() OVER (ORDER BY rows DESC, athlete_id) AS i
-  FROM sizes, tot WHERE rows > bar),
+queue AS (SELECT athlete_id, rows, row_number() OVER (ORDER BY rows DESC, athlete_id) AS i FROM sizes),
 step AS (
   SELECT 0::BIGINT AS i, NULL::BIGINT AS athlete_id, 0::BIGINT AS rows, NULL::INT AS fold,
     [0, 0, 0, 0, 0]::BIGINT[] AS loads
@@ -293,22 +290,8 @@ step AS (
   SELECT h.i, h.athlete_id, h.rows, list_position(s.loads, list_min(s.loads))::INT - 1,
     list_transform(range(1, 6), lambda k: CASE WHEN k = list_position(s.loads, list_min(s.loads))
       THEN s.loads[k] + h.rows ELSE s.loads[k] END)
-  FROM step s JOIN heavy h ON h.i = s.i + 1),
-loads AS (SELECT unnest(loads) AS load, unnest(range(0, 5)) AS fold
-  FROM step WHERE i = (SELECT max(i) FROM step)),
-light AS (SELECT athlete_id, rows,
-    sum(rows) OVER (ORDER BY athlete_id % 1024, athlete_id) - rows AS start
-  FROM sizes, tot WHERE rows <= bar),
-remaining AS (SELECT coalesce(sum(rows), 0)::DOUBLE AS amount FROM light),
-levels AS (SELECT (sum(load) OVER (ORDER BY load, fold) + amount)
-      / row_number() OVER (ORDER BY load, fold) AS level, load FROM loads, remaining),
-lvl AS (SELECT min(level) AS level FROM levels),
-ends AS (SELECT fold, sum(greatest(level - load, 0)) OVER (ORDER BY fold) AS stop
-  FROM loads, lvl),
-folds AS (
-  SELECT athlete_id, rows, fold FROM step WHERE i > 0
-  UNION ALL SELECT l.athlete_id, l.rows,
-    (SELECT count(*) FROM ends e WHERE e.fold < 4 AND l.start >= e.stop)::INT FROM light l)"""
+  FROM step s JOIN queue h ON h.i = s.i + 1),
+folds AS (SELECT athlete_id, rows, fold FROM step WHERE i > 0)"""
 
 COARSE = {
     "training_load_change_7d_vs_30d": 6, "training_load_change_7d_vs_previous_7d": 5,
@@ -369,6 +352,38 @@ Q["combined_features"] = _COMBINED_CTES + " " + _r(_COMBINED, _PLAIN, 9, _ALL_DO
 Q["combined_with_labels"] = _COMBINED_CTES + " " + _r(
     _COMBINED, _PLAIN + " injured_in_risk_window", 9,
     _ALL_DOUBLES + " onset_day_offset recovery_duration", **COARSE)
+OWN = f"""{EV}, own AS (
+  SELECT user_id AS athlete_id, coalesce(max(date) FILTER (event_type = 'purchase'), max(date)) AS own_end
+  FROM ev GROUP BY 1)"""
+
+
+def _at_own(part: str, name: str) -> str:
+    """A table of the bundle with every entity's own anchor beside its rows."""
+    return part.replace(f"{name} AS (", f"{name}0 AS (") + (
+        f",\n{name} AS (SELECT * FROM {name}0 JOIN own USING (athlete_id))"
+    )
+
+
+_OWN_LABELS = LABELS.replace("SELECT user_id AS athlete_id,", "SELECT athlete_id, own_end,").replace(
+    "FROM ev GROUP BY 1", "FROM ev JOIN own ON user_id = athlete_id GROUP BY 1, 2")
+# The orders' days are moved from their anchor to that of the events.
+_OWN_WEIGHTS = _weights("labelled", ANCHOR).replace(
+    "CAST(o_orderdate AS DATE) AS date FROM orders",
+    f"CAST(o_orderdate AS DATE) + CAST({ANCHOR} - {ORDERS_ANCHOR} AS INT) AS date "
+    "FROM orders JOIN own ON o_custkey = athlete_id").replace(
+    f"date BETWEEN {ANCHOR}", "date BETWEEN own_end").replace(f"AND {ANCHOR}", "AND own_end")
+Q["combined_own_anchors"] = _ctes(
+    OWN,
+    *[
+        x.replace(ANCHOR, "own_end")
+        for x in (
+            _OWN_LABELS, _at_own(DAILY, "daily"), _at_own(HOURLY, "hourly"), _at_own(SLEEP, "sleep"),
+            _at_own(SESSIONS, "sessions"), PROFILE, ACTIVITY, HEART, SLEEPS, _training("labelled"))
+    ],
+    _OWN_WEIGHTS,
+) + " " + _r(
+    _COMBINED.replace(ANCHOR, "own_end"), _PLAIN + " injured_in_risk_window", 9,
+    _ALL_DOUBLES + " onset_day_offset recovery_duration", **COARSE)
 Q["empty_input_defaults"] = "SELECT c_custkey AS athlete_id, " + ", ".join(
     f"0.0::DOUBLE AS {c}" for c in TRAIN_COLS.split()) + " FROM customer"
 
@@ -752,6 +767,39 @@ Q["ridge_oof"] = _ctes(LABELS, HOURLY, HEART) + """, base AS (
   SELECT 'Ridge' AS model, athlete_id, round(y, 6) AS actual,
     round(greatest(ym + w * (coalesce(x, med) - m) / s, 0), 6) AS predicted, fold
   FROM base JOIN side ON fold = side.f JOIN scale ON fold = scale.f JOIN fit ON fold = fit.f"""
+# Newton's method: three logistic members, each without one inner fold, then their sigmoids on it.
+_P = "1 / (1 + exp(-(w * x + b)))"
+_NEWTON = """SELECT i + 1, inner_, w - (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb),
+    b - (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb) FROM ({sums})"""
+_FIT_SUMS = f"""SELECT i, inner_, any_value(w) AS w, any_value(b) AS b, sum(p - y) / count(*) AS gb,
+    sum((p - y) * x) / count(*) + 2.0::DOUBLE / count(*) * any_value(w) AS gw,
+    sum(p * (1 - p)) / count(*) AS hbb, sum(p * (1 - p) * x) / count(*) AS hwb,
+    sum(p * (1 - p) * x * x) / count(*) + 2.0::DOUBLE / count(*) AS hww
+  FROM (SELECT f.i, f.inner_, f.w, f.b, r.x, r.y, {_P} AS p FROM fit f JOIN rows r ON r.inner_ <> f.inner_ WHERE f.i < 30)
+  GROUP BY 1, 2"""
+_CAL_SUMS = f"""SELECT i, inner_, any_value(w) AS w, any_value(b) AS b, sum(p - t) AS gb, sum((p - t) * x) AS gw,
+    sum(p * (1 - p)) AS hbb, sum(p * (1 - p) * x) AS hwb, sum(p * (1 - p) * x * x) AS hww
+  FROM (SELECT c.i, c.inner_, c.w, c.b, m.x, m.t, {_P} AS p FROM cal c JOIN margins m USING (inner_) WHERE c.i < 40)
+  GROUP BY 1, 2"""
+Q["calibration_fit"] = _ctes(LABELS, HOURLY, HEART).replace("WITH ", "WITH RECURSIVE ", 1) + f""", base AS (
+    SELECT athlete_id, injured_in_risk_window AS y, avg_hr_7d AS x FROM labelled LEFT JOIN heart USING (athlete_id)),
+  filled AS (SELECT athlete_id, y, coalesce(x, (SELECT median(x) FROM base)) AS x FROM base),
+  rows AS (SELECT y, (x - (SELECT avg(x) FROM filled)) / (SELECT stddev_pop(x) FROM filled) AS x,
+    ((row_number() OVER (PARTITION BY y ORDER BY md5('inner-42:' || athlete_id), athlete_id) - 1) % 3)::INT AS inner_
+    FROM filled),
+  fit AS (SELECT 0 AS i, k::INT AS inner_, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM range(0, 3) r(k)
+    UNION ALL {_NEWTON.format(sums=_FIT_SUMS)}),
+  base_fit AS (SELECT * FROM fit WHERE i = 30),
+  held AS (SELECT inner_, count(*) FILTER (y = 1) AS held_pos, count(*) FILTER (y = 0) AS held_neg FROM rows GROUP BY 1),
+  margins AS (SELECT r.inner_, w * x + b AS x,
+      CASE WHEN y = 1 THEN (held_pos + 1.0::DOUBLE) / (held_pos + 2) ELSE 1.0::DOUBLE / (held_neg + 2) END AS t
+    FROM rows r JOIN base_fit USING (inner_) JOIN held USING (inner_)),
+  cal AS (SELECT 0 AS i, k::INT AS inner_, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM range(0, 3) r(k)
+    UNION ALL {_NEWTON.format(sums=_CAL_SUMS)})
+  SELECT inner_ AS "inner", (sum(held_pos) OVER () - held_pos)::BIGINT AS train_pos,
+    (sum(held_neg) OVER () - held_neg)::BIGINT AS train_neg, held_pos, held_neg,
+    round(f.w, 3) AS weight, round(f.b, 3) AS bias, round(c.w, 3) AS slope, round(c.b, 3) AS intercept
+  FROM held JOIN base_fit f USING (inner_) JOIN cal c USING (inner_) WHERE c.i = 40"""
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
 Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY
