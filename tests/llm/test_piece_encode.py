@@ -64,6 +64,7 @@ MODELS = {
     "no prefix": changed(normal={3: 0}),
     "no bytes": changed(kinds={n: UNUSED for n, k in enumerate(BASE.kinds) if k == BYTE}, trainer={35: 0}),
     "unused steps": changed(kinds=STEPS),
+    "letters beside signs": changed(extra=[("s-lo", UNUSED), ("é.", USER_DEFINED)]),
     "user pieces": changed(extra=[("<sep>", USER_DEFINED), ("lo▁mi", USER_DEFINED), ("é😀", USER_DEFINED)]),
     "user pieces, nfkc": changed(normal={2: charsmap("nfkc")}, extra=[("<sep>", USER_DEFINED), ("①", USER_DEFINED)]),
 }
@@ -91,7 +92,7 @@ def spans_of(lib, t):
 
 
 def check(lib, encoder, decoder, t):
-    ids, spans = encoder(t.encode())
+    ids, spans = encoder([t.encode()])[0]
     got = np.frombuffer(ids, "<u4").tolist()
     assert got == lib.encode(t, add_bos=True, add_eos=True), t
     assert decoder(got) == lib.decode(got), t
@@ -114,6 +115,12 @@ def test_same_as_the_library(name):
     any_text()
 
 
+def test_many_texts_at_once():
+    encoder = M.Encoder(BASE)
+    raw = [s.encode() for s in SAMPLES * 3]
+    assert encoder(raw) == [M.Encoder(BASE)([r])[0] for r in raw] == encoder(raw)
+
+
 def test_any_ids_are_decoded_like_the_library():
     lib, decoder = sentencepiece.SentencePieceProcessor(model_proto=RAW), Decoder(BASE)
 
@@ -135,7 +142,7 @@ def test_alignment_covers_the_source():
 def test_bytes_that_are_no_text():
     lib = sentencepiece.SentencePieceProcessor(model_proto=RAW)
     for raw in (b"a\xffb", b"\xe2\x96", b"ok \xc0\x80 \xed\xa0\x80"):
-        ids, _ = M.Encoder(BASE)(raw)
+        ids, _ = M.Encoder(BASE)([raw])[0]
         assert np.frombuffer(ids, "<u4").tolist()[1:-1] == lib.encode(raw)
 
 
@@ -144,7 +151,7 @@ def test_tables(spark, clash):
     lib = sentencepiece.SentencePieceProcessor(model_proto=RAW)
     long = [(10, "lo mi " * 100_000), (11, "é" * 50_000), (12, "x" * 100_000)]
     table = [*ODD, *long, (5, "one"), (5, "one"), *[(100 + i, s) for i, s in enumerate(SAMPLES)]]
-    got = rows(M.digests(M.decode(M.encode(docs(spark, table, clash), BASE), BASE)))
+    got = rows(M.digests(M.encode(docs(spark, table, clash), BASE), BASE))
 
     def want(d, t):
         ids = lib.encode(t or "", add_bos=True, add_eos=True)
@@ -157,7 +164,7 @@ def test_tables(spark, clash):
 
 
 def test_empty_table(spark):
-    assert rows(M.digests(M.decode(M.encode(docs(spark, []), BASE), BASE))) == []
+    assert rows(M.digests(M.encode(docs(spark, []), BASE), BASE)) == []
 
 
 def test_other_kinds_of_models_are_refused():

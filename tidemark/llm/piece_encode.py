@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.piece_model import Decoder, Merger, Normalizer, PieceModel, read_model
 from tidemark.llm.tokens import pieces
 
+TOGETHER = 4 << 20  # bytes of text encoded at a time: their words are looked up once
+ROWS = 256  # decoded at a time
+
 
 def load_model(path: str) -> PieceModel:
     """The model in a file the driver can open."""
@@ -56,19 +59,27 @@ class Encoder:
         self.normalize, self.merge = Normalizer(model), Merger(model)
         self.begin, self.end = (np.array([i], "<u4").tobytes() if i >= 0 else b"" for i in (model.begin, model.end))
 
-    def __call__(self, text: bytes) -> tuple[bytes, bytes]:
-        made, source = self.normalize(text)
-        found = self.merge(made.decode())
-        stops = np.cumsum(found[:, 1], dtype=np.int64)
-        spans = np.empty((len(stops), 2), "<u4")
-        if len(stops):
-            spans[:, 1] = source[stops]
-            spans[0, 0] = source[0]
-            spans[1:, 0] = spans[:-1, 1]
-            # A byte of a character that is not its last one has no text of its own.
-            none = found[:, 1] == 0
-            spans[none, 1] = spans[none, 0]
-        return self.begin + found[:, 0].tobytes() + self.end, spans.tobytes()
+    def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        made = [self.normalize(t) for t in texts]
+        found = self.merge([m.decode() for m, _ in made])
+        return [
+            (self.begin + f[:, 0].tobytes() + self.end, spans(f[:, 1], source).tobytes())
+            for f, (_, source) in zip(found, made)
+        ]
+
+
+def spans(sizes: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """First source byte and the one after, of pieces of ``sizes`` bytes of the normalised text."""
+    stops = np.cumsum(sizes, dtype=np.int64)
+    out = np.empty((len(stops), 2), "<u4")
+    if len(stops):
+        out[:, 1] = source[stops]
+        out[0, 0] = source[0]
+        out[1:, 0] = out[:-1, 1]
+        # A byte of a character that is not its last one has no text of its own.
+        none = sizes == 0
+        out[none, 1] = out[none, 0]
+    return out
 
 
 def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -83,10 +94,10 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            for i, j, data, offs in pieces(batch.column(1)):
+            for i, j, data, offs in pieces(batch.column(1), TOGETHER):
                 raw = data.tobytes()
                 cuts = offs.tolist()
-                found = [encoder(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+                found = encoder([raw[a:b] for a, b in zip(cuts, cuts[1:])])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -110,18 +121,24 @@ def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = get()
         for batch in batches:
-            texts = [decoder(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                texts = [decoder(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return kept.mapInArrow(run, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Number of ids and hashes of ids, spans and decoded text."""
-    return decoded.select(
+def digests(encoded: DataFrame, model: PieceModel) -> DataFrame:
+    """Number of ids and hashes of ids, spans and the text decoded from the ids.
+
+    Spans are hashed before decoding, so they do not travel through it.
+    """
+    slim = encoded.select("doc_id", "ids", F.sha2("spans", 256).alias("spans_sha256"))
+    return decode(slim, model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.sha2("spans", 256).alias("spans_sha256"),
+        "spans_sha256",
     )

@@ -15,12 +15,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_MARK = "▁"
 _MARK = SPACE_MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 _REPLACEMENT = "�".encode()
+EMPTY = np.zeros((0, 2), "<u4")
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -273,12 +276,12 @@ class Merger:
     """Ids of stretches of normalised text.
 
     A stretch may be cut between two characters that no piece holds next to each other: no
-    merge crosses such a place.  Texts are cut before space marks where that holds for all
-    of them, then at every such pair.  Both kinds of stretches are worked out once and
-    looked up after that.
+    merge crosses such a place.  Texts are cut before space marks, as far as that holds for
+    the character before, and stretches that are new once more at every such pair.  Both
+    kinds are worked out once and looked up after that.
     """
 
-    ENTRIES, LONG = 300_000, 100  # of a memo: about 80 MB
+    WORDS, STEMS, LONG = 150_000, 300_000, 100  # entries of the memos: about 120 MB
     SHORT = 64  # characters up to which a plain search for the next merge beats a heap
 
     def __init__(self, model: PieceModel):
@@ -296,44 +299,73 @@ class Merger:
             int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE
         }
         self.pairs = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
-        crossing = {p[0] for p in self.pairs if p[1] == SPACE_MARK and p[0] != SPACE_MARK}
-        # A mark after a character that some piece has before a mark is no place to cut.
+        crossing = sorted({p[0] for p in self.pairs if p[1] == SPACE_MARK and p[0] != SPACE_MARK})
         self.at_marks = not crossing
-        inner = "".join(f"(?:{re.escape(c)}{SPACE_MARK}+)|" for c in sorted(crossing))
-        word = f"(?:{inner}[^{SPACE_MARK}])+" if inner else f"[^{SPACE_MARK}]+"
-        self.cut = re.compile(f"{SPACE_MARK}*{word}|{SPACE_MARK}+")
-        self.words = Memo(self.divided, self.ENTRIES, self.LONG)
-        self.stems = Memo(self.merged, self.ENTRIES, self.LONG)
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Rows (id, bytes of normalised text) of the pieces."""
-        if self.at_marks and SPACE_MARK * 2 not in text and "\0" not in text:
-            parts = text.replace(SPACE_MARK, "\0" + SPACE_MARK).split("\0")
-            if not parts[0]:
-                del parts[0]
-        else:
-            parts = self.cut.findall(text)
-        found = np.frombuffer(b"".join(map(self.words.__getitem__, parts)), "<u4").reshape(-1, 2)
-        if self.model.byte_fallback or not len(found):
+        self.cut = re.compile(self._pattern(crossing))
+        self.stretches = Memo(self.divided, self.WORDS, self.LONG)
+        self.stems = Memo(self.merged, self.STEMS, self.LONG)
+
+    @staticmethod
+    def _pattern(crossing: list[str]) -> str:
+        """Pattern of stretches cut before marks; a mark after one of ``crossing`` is no place to cut."""
+        if not crossing:
+            return f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+"
+        inner = "".join(f"(?:{re.escape(c)}{SPACE_MARK}+)|" for c in crossing)
+        return f"{SPACE_MARK}*(?:{inner}[^{SPACE_MARK}])+|{SPACE_MARK}+"
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Rows (id, bytes of normalised text) of the pieces of each text.
+
+        The words of all texts that have single marks are numbered by Arrow, so each
+        different word is looked up once.
+        """
+        out: list[np.ndarray] = [EMPTY] * len(texts)
+        plain = []
+        for n, t in enumerate(texts):
+            if self.at_marks and t.startswith(SPACE_MARK) and not t.endswith(SPACE_MARK) and SPACE_MARK * 2 not in t:
+                plain.append(n)
+            elif t:
+                out[n] = np.frombuffer(b"".join(map(self.stretches.__getitem__, self.cut.findall(t))), "<u4").reshape(-1, 2)
+        if plain:
+            split = pc.split_pattern(pa.array([texts[n][1:] for n in plain], pa.large_string()), SPACE_MARK)
+            coded = split.flatten().dictionary_encode()
+            packed = [self.stretches[SPACE_MARK + w] for w in coded.dictionary.to_pylist()]
+            flat = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2)
+            many = np.array([len(x) for x in packed]) // 8
+            first = np.cumsum(many) - many
+            word = coded.indices.to_numpy()
+            count = many[word]
+            stop = np.cumsum(count)
+            rows = flat[np.repeat(first[word] - (stop - count), count) + np.arange(int(stop[-1]))]
+            ends = stop[split.offsets.to_numpy()[1:] - 1].tolist()
+            for n, a, b in zip(plain, [0, *ends], ends):
+                out[n] = rows[a:b]
+        return out if self.model.byte_fallback else [self._joined(x) for x in out]
+
+    def _joined(self, found: np.ndarray) -> np.ndarray:
+        """Neighbours without a piece are one unknown piece."""
+        if not len(found):
             return found
-        # Neighbours without a piece are one unknown piece.
         lost = found[:, 0] == self.model.unknown
         heads = np.flatnonzero(~(lost & np.concatenate(([False], lost[:-1]))))
         return np.stack((found[heads, 0], np.add.reduceat(found[:, 1], heads)), axis=1).astype("<u4")
 
     def divided(self, part: str) -> bytes:
         """A stretch cut once more, between characters that are nowhere neighbours in a piece."""
-        pairs, stems, out, at = self.pairs, self.stems, [], 0
-        for n in range(1, len(part)):
-            if part[n - 1 : n + 1] not in pairs:
-                out.append(stems[part[at:n]])
-                at = n
-        out.append(stems[part[at:]])
-        return b"".join(out)
+        pairs, stems = self.pairs, self.stems
+        cuts = [n for n, (a, b) in enumerate(zip(part, part[1:]), 1) if a + b not in pairs]
+        if not cuts:
+            return stems[part]
+        return b"".join([stems[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])])
 
     def merged(self, part: str) -> bytes:
         found, packed = [], self.packed
-        for piece in self.quick(part) if self.simple and len(part) <= self.SHORT else self.pieces(part):
+        pieces = self.quick(part) if self.simple and len(part) <= self.SHORT else self.pieces(part)
+        try:
+            return b"".join([packed[p] for p in pieces])
+        except KeyError:
+            pass
+        for piece in pieces:
             known = packed.get(piece)
             if known is not None:
                 found.append(known)
@@ -349,20 +381,20 @@ class Merger:
 
     def quick(self, part: str) -> list[str]:
         """``pieces`` of a short stretch: the best neighbours, leftmost first, are looked for anew."""
-        rank, never = self.rank, self.never
+        get, never = self.rank.get, self.never
         symbols = list(part)
-        ranks = [rank.get(part[n : n + 2], never) for n in range(len(part) - 1)]
+        ranks = [get(a + b, never) for a, b in zip(part, part[1:])]
         while ranks:
             best = min(ranks)
             if best == never:
                 break
             n = ranks.index(best)
-            symbols[n] += symbols.pop(n + 1)
-            del ranks[n]
+            symbols[n] = both = symbols[n] + symbols[n + 1]
+            del symbols[n + 1], ranks[n]
             if n:
-                ranks[n - 1] = rank.get(symbols[n - 1] + symbols[n], never)
+                ranks[n - 1] = get(symbols[n - 1] + both, never)
             if n < len(ranks):
-                ranks[n] = rank.get(symbols[n] + symbols[n + 1], never)
+                ranks[n] = get(both + symbols[n + 1], never)
         return symbols
 
     def _symbols(self, part: str) -> tuple[list[str], list[bool]]:

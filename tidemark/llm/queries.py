@@ -110,5 +110,4 @@ def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     model = piece_encode.load_model(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = piece_encode.encode(read(spark, sf, "documents"), model)
-    return piece_encode.digests(piece_encode.decode(encoded, model))
+    return piece_encode.digests(piece_encode.encode(read(spark, sf, "documents"), model), model)
