@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.piece_model import Decoder, Merger, Normalizer, PieceModel, read_model
 from tidemark.llm.tokens import pieces
 
-TOGETHER = 4 << 20  # bytes of text encoded at a time: their words are looked up once
+TOGETHER = 3 << 19  # bytes of text encoded at a time: their words are looked up once
 ROWS = 256  # decoded at a time
 
 

@@ -281,7 +281,7 @@ class Merger:
     kinds are worked out once and looked up after that.
     """
 
-    WORDS, STEMS, LONG = 150_000, 300_000, 100  # entries of the memos: about 120 MB
+    WORDS, STEMS, LONG = 50_000, 200_000, 100  # entries of the memos: about 60 MB
     SHORT = 64  # characters up to which a plain search for the next merge beats a heap
 
     def __init__(self, model: PieceModel):
