@@ -152,6 +152,26 @@ def test_shapley_adds_up(spark, toy):
         assert r.contribution == pytest.approx(exact[(r.athlete_id, r.feature)], abs=1e-9)
 
 
+def test_shapley_of_texts_and_repeated_sets(spark, toy):
+    """Texts enter as they are, a set of features is scored once, and the error is that of the pairs."""
+    seen = []
+
+    def score(df):
+        seen.append(df)
+        bonus = F.when(F.col("team") == "x", 1.0).when(F.col("team").isNull(), 5.0).otherwise(0.0)
+        return df.withColumn("prob", F.col("a") * (1 + bonus) + F.col("b"))
+
+    part = spark.createDataFrame([(1, 2.0, 1.0, "x"), (2, None, 3.0, None), (3, 1.0, 0.0, "y")], "athlete_id long, a double, b double, team string")
+    got = X.sampled_shapley(part, ["a", "b", "team"], {"a": 1.0, "b": 0.0, "team": "y"}, score, samples=16).collect()
+    sums = {}
+    for r in got:
+        sums[r.athlete_id] = sums.get(r.athlete_id, 0) + r.contribution
+        assert r.std_error >= 0
+    assert sums == pytest.approx({1: 2 * 2 + 1 - 1, 2: 1 * 6 + 3 - 1, 3: 0.0})
+    assert {r.std_error for r in got if r.feature == "b"} == {0.0}
+    assert seen[0].count() <= 3 * 2**3
+
+
 def test_top_and_global_attributions(spark):
     rows = [(1, "f", -3.0), (1, "g", 1.0), (1, "h", 2.0), (2, "f", 0.5)]
     df = spark.createDataFrame(rows, "athlete_id long, feature string, contribution double")

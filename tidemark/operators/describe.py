@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import durable, join_checked, settle
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-PAIRS_AT_ONCE = 300  # pairs of one aggregate; more pairs are more aggregates
+PAIRS_AT_ONCE = 300  # pairs of one built-in aggregate; more are blocks of co-moments
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
@@ -149,22 +151,102 @@ def dataset_kpis(df: DataFrame, label: str) -> DataFrame:
     )
 
 
+def _upper(vals: DataFrame, names: list[str]) -> DataFrame:
+    """(x, y, corr) of every pair of few columns, x not after y, by one built-in aggregate."""
+    pairs = [*combinations(names, 2), *[(n, n) for n in names]]
+
+    def corr(a: str, b: str) -> Column:
+        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(cell(a), cell(b)).alias("corr"))
+
+    return vals.agg(F.array(*[corr(a, b) for a, b in pairs]).alias("p")).select(F.inline("p"))
+
+
+def comoments(vals: DataFrame, names: list[str]) -> DataFrame:
+    """(x, y, n, mx, my, cxx, cyy, cxy) per pair of columns and partition, from one scan.
+
+    Means and sums of products are those of the rows where both columns have a value.  A
+    partition is a few matrix products over batches of rows; batches are merged by their
+    means, so large values do not cancel.  Pairs without rows in a partition are left out.
+    """
+    size = len(names)
+    first, second = np.triu_indices(size)
+
+    def merged(a: list[np.ndarray] | None, b: list[np.ndarray]) -> list[np.ndarray]:
+        if a is None:
+            return b
+        n = a[0] + b[0]
+        safe = np.maximum(n, 1)
+        dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * b[0] / safe
+        return [
+            n, a[1] + dx * b[0] / safe, a[2] + dy * b[0] / safe,
+            a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w,
+        ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            known = ~np.isnan(block)
+            there = known.astype(float)
+            shift = np.where(known, block, 0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+            x = np.where(known, block - shift, 0.0)
+            n = there.T @ there
+            safe = np.maximum(n, 1)
+            sx, sxx, sxy = x.T @ there, (x * x).T @ there, x.T @ x
+            mx, my = sx / safe, sx.T / safe
+            part = [
+                n, mx + shift[:, None], my + shift[None, :],
+                sxx - n * mx * mx, sxx.T - n * my * my, sxy - n * mx * my,
+            ]
+            total = merged(total, part)
+        if total is None:
+            return
+        keep = total[0][first, second] > 0
+        i, j = first[keep], second[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j], pa.float64()) for m in total]],
+            names=["x", "y", "n", "mx", "my", "cxx", "cyy", "cxy"],
+        )
+
+    schema = "x int, y int, n double, mx double, my double, cxx double, cyy double, cxy double"
+    return vals.mapInArrow(run, schema)
+
+
+def _upper_wide(vals: DataFrame, names: list[str]) -> DataFrame:
+    """(x, y, corr) of every pair from partition co-moments: as many rows as partitions times pairs."""
+    parts = durable(comoments(vals, names))
+    means = parts.groupBy("x", "y").agg(
+        (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ox"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("oy")
+    )
+    dx, dy, n = F.col("mx") - F.col("ox"), F.col("my") - F.col("oy"), F.col("n")
+    sums = parts.join(means, ["x", "y"]).groupBy("x", "y").agg(
+        F.sum(F.col("cxx") + n * dx * dx).alias("xx"),
+        F.sum(F.col("cyy") + n * dy * dy).alias("yy"),
+        F.sum(F.col("cxy") + n * dx * dy).alias("xy"),
+    )
+    corr = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    size = len(names)
+    every = vals.sparkSession.range(size).select(F.col("id").cast("int").alias("x")).select(
+        "x", F.explode(F.sequence(F.col("x"), F.lit(size - 1))).alias("y")
+    )
+    named = F.array(*[F.lit(c) for c in names])
+    return every.join(sums.select("x", "y", corr.alias("corr")), ["x", "y"], "left").select(
+        named[F.col("x")].alias("x"), named[F.col("y")].alias("y"), "corr"
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation as (x, y, corr), both triangles and diagonal.
 
-    Every pair is in the result, with a null where no row has both values.  Pairs are taken
-    in slices, one aggregate row each, whatever their number.
+    Every pair is in the result, with a null where no row has both values or one of them has
+    no spread.  The rows are read once: few pairs are one aggregate, many are blocks of
+    co-moments per partition.
     """
     names = columns or numeric_columns(df)
     vals = df.select(*[number(c).alias(c) for c in names])
-    pairs = [*combinations(names, 2), *[(n, n) for n in names]]
-
-    def corr(a: str, b: str) -> Column:
-        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(cell(a), cell(b)).alias("corr"))
-
-    slices = [pairs[i : i + PAIRS_AT_ONCE] for i in range(0, len(pairs), PAIRS_AT_ONCE)]
-    parts = [vals.agg(F.array(*[corr(a, b) for a, b in part]).alias("p")).select(F.inline("p")) for part in slices]
-    upper = reduce(DataFrame.unionByName, parts)
+    upper = _upper(vals, names) if len(names) * (len(names) + 1) // 2 <= PAIRS_AT_ONCE else _upper_wide(vals, names)
     both = F.array(F.struct("x", "y", "corr"),
                    F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "corr"))
     same = F.array(F.struct("x", "y", "corr"))

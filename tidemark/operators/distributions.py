@@ -51,49 +51,71 @@ def histogram(
     )
 
 
+REACH = 6.0  # bandwidths a value is felt: what lies beyond adds less than 2e-8 of a value's peak
+FINE = 64  # bins per bandwidth
+
+
 def density_curve(
-    df: DataFrame, value: str, by: list[str], points: int = 100, bins: int = 512, cut: float = 3.0
+    df: DataFrame, value: str, by: list[str], points: int = 100, cut: float = 3.0, fine: int = FINE
 ) -> DataFrame:
     """Gaussian density per class, each normalised to 1, bandwidth ``std * n^(-1/5)``.
 
-    Values are first folded to ``bins`` fine bins per class, so the curve is summed
-    over at most ``bins`` centres per class whatever the number of rows.
+    Values are folded to the bins they fall into, ``fine`` to a bandwidth, and only bins with
+    values exist, so a heavy tail costs as many bins as it has values at most.  A bin keeps
+    its count and the first three moments about its middle, and the kernel is expanded to the
+    third order there: the curve is within ``(1 / fine)**4 / 600`` of a value's peak per value
+    (1e-10 at 64), however many rows.  A bin meets only the points within REACH bandwidths.
     """
     x = cell(value).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*by, x.alias("_x"))
     spec = rows.groupBy(*by).agg(
         F.count("*").alias("_n"),
         F.min("_x").alias("_lo"),
         F.max("_x").alias("_hi"),
         F.stddev_samp("_x").alias("_s"),
     )
+    h = F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     spec = settle(
         spec.where(F.col("_s") > 0).select(
-            *by, "_n", "_lo", "_hi",
-            (F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"),
-            ((F.col("_hi") - F.col("_lo")) / bins).alias("_w"),
+            *by, "_n", "_lo", h.alias("_h"),
+            (F.col("_lo") - cut * h).alias("_start"),
+            ((F.col("_hi") - F.col("_lo") + 2 * cut * h) / (points - 1)).alias("_step"),
         )
     )
     with_size = Settled(spec.df.withColumn("_rows", F.col("_n")), None, spec.small)
-    slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
+    place = (F.col("_x") - F.col("_lo")) / F.col("_h") * fine
+    off = (F.col("_place") - F.col("_b") - 0.5) / fine  # from the middle of the bin, in bandwidths
     binned = (
         join_checked(rows, with_size, by, sizes="_rows")
-        .groupBy(*by, slot.alias("_b"))
-        .agg(F.count("*").alias("_c"))
-    )
-    start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
-    step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    centre = F.col("_lo") + (F.col("_b") + 0.5) * F.col("_w")
-    met = join_checked(binned, spec, by, even=True).select("*", centre.alias("_m"), step)
-    at = start + F.col("point") * (stop - start) / (points - 1)
-    z = (at - F.col("_m")) / F.col("_h")
-    return (
-        met.withColumns({"_at": at, "_g": F.col("_c") * F.exp(-0.5 * z * z)})
-        .groupBy(*by, "point")
+        .select(*by, place.alias("_place"), F.floor(place).alias("_b"))
+        .groupBy(*by, "_b")
         .agg(
-            F.first("_at").alias("x"),
-            (F.sum("_g") / (F.first("_n") * F.first("_h") * math.sqrt(2 * math.pi))).alias(
-                "density"
-            ),
+            F.count("*").alias("_m0"),
+            F.sum(off).alias("_m1"),
+            F.sum(off * off).alias("_m2"),
+            F.sum(off * off * off).alias("_m3"),
         )
     )
+    middle = F.col("_lo") + (F.col("_b") + 0.5) * F.col("_h") / fine
+    nearest = lambda side: (middle + side * REACH * F.col("_h") - F.col("_start")) / F.col("_step")
+    reach = F.sequence(
+        F.greatest(F.ceil(nearest(-1)), F.lit(0)).cast("int"), F.least(F.floor(nearest(1)), F.lit(points - 1)).cast("int")
+    )
+    some = F.ceil(nearest(-1)) <= F.floor(nearest(1))
+    met = join_checked(binned, spec, by, even=True).where(some).withColumn("point", F.explode(reach))
+    z = (F.col("_start") + F.col("point") * F.col("_step") - middle) / F.col("_h")
+    felt = F.exp(-0.5 * F.col("_z") * F.col("_z")) * (
+        F.col("_m0")
+        + F.col("_m1") * F.col("_z")
+        + F.col("_m2") / 2 * (F.col("_z") * F.col("_z") - 1)
+        + F.col("_m3") / 6 * (F.col("_z") * F.col("_z") * F.col("_z") - 3 * F.col("_z"))
+    )
+    sums = met.withColumn("_z", z).groupBy(*by, "point").agg(F.sum(felt).alias("_g"))
+    grid = spec.df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    # At most ``points`` rows per class on either side.
+    return grid.join(sums, [*by, "point"], "left").select(
+        *by,
+        "point",
+        (F.col("_start") + F.col("point") * F.col("_step")).alias("x"),
+        (F.coalesce("_g", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"),
+    )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import cell
 from tidemark.schema import KEY
@@ -58,53 +59,54 @@ def global_attribution(attributions: DataFrame, k: int = 20) -> DataFrame:
 def sampled_shapley(
     features: DataFrame,
     columns: list[str],
-    background: dict[str, float],
+    background: dict[str, object],
     score: Callable[[DataFrame], DataFrame],
     samples: int = 16,
     key: str = KEY,
     prob: str = "prob",
 ) -> DataFrame:
-    """Permutation-sampled Shapley values of any scorer.
-
-    For each entity and sample the features enter in a pseudo-random order, fixed by
-    a hash of (key, sample, feature).  After ``j`` entries the first ``j`` features
-    show the entity's value, the others the background's.  The step's score counts
-    for the feature that just entered and against the one entering next, so the sum
-    per feature needs no ordering of rows.  Contributions of one entity add up to
-    its score minus the background's.
+    """Permutation-sampled Shapley values of any scorer, for features of any type.
+
+    For each entity and sample the features enter in a pseudo-random order, fixed by a hash
+    of (key, pair of samples, feature); the second sample of a pair takes the reverse order,
+    which cancels much of the error.  After ``j`` entries the first ``j`` features show the
+    entity's value, the others the background's (null where it names none).  A set of entered
+    features is scored once per entity, however many samples come past it (``samples`` is rounded up to pairs).  The step's score
+    counts for the feature that just entered and against the one entering next, so the sum
+    per feature needs no ordering of rows.  Contributions of one entity add up to its score
+    minus the background's; ``std_error`` is that of the mean over pairs.
     """
-    m = len(columns)
-    order = F.transform(
+    m, pairs = len(columns), -(-samples // 2)
+    types = {f.name: f.dataType for f in features.schema}
+    drawn = F.transform(
         F.array_sort(
-            F.array(
-                *[
-                    F.struct(F.xxhash64(cell(key), F.col("_s"), F.lit(i)).alias("h"),
-                             F.lit(i).alias("i"))
-                    for i in range(m)
-                ]
-            )
+            F.array(*[F.struct(F.xxhash64(cell(key), F.col("_s"), F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(m)])
         ),
         lambda e: e["i"],
     )
+    walks = features.select(key, F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("_s")).select(
+        key, "_s", drawn.alias("_order")
+    )
+    turns = F.array(F.struct(F.lit(0).alias("t"), F.col("_order").alias("o")), F.struct(F.lit(1).alias("t"), F.reverse("_order").alias("o")))
     steps = (
-        features.select(
-            key,
-            F.array(
-                *[F.coalesce(cell(c).cast("double"), F.lit(float(background[c]))) for c in columns]
-            ).alias("_v"),
-            F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"),
-        )
-        .withColumn("_order", order)
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(m))))
+        walks.select(key, "_s", F.explode(turns).alias("_w"))
+        .select(key, "_s", F.col("_w.t").alias("_t"), F.col("_w.o").alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_j"))
+        .withColumn("_set", F.array_sort(F.slice("_order", F.lit(1), F.col("_j"))))
     )
-    mixed = {
-        c: F.when(
-            F.array_position("_order", F.lit(i)) <= F.col("_j"), F.col("_v")[i]
-        ).otherwise(F.lit(float(background[c])))
-        for i, c in enumerate(columns)
-    }
-    scored = score(steps.withColumns(mixed))
-    p = cell(prob)
+    held = features.select(key, *[cell(c).alias(f"_f{i}") for i, c in enumerate(columns)])
+    sets = steps.select(key, "_set").distinct().join(held, key)
+
+    def shown_value(i: int, c: str) -> Column:
+        base = F.lit(background.get(c)).cast(types[c])
+        own = F.col(f"_f{i}")
+        # A missing number is imputed and so shows the background; a missing text is a level of its own.
+        own = F.coalesce(own, base) if isinstance(types[c], T.NumericType) else own
+        return F.when(F.array_contains("_set", F.lit(i)), own).otherwise(base)
+
+    mixed = {c: shown_value(i, c) for i, c in enumerate(columns)}
+    shown = sets.select(key, "_set", *[v.alias(c) for c, v in mixed.items()])
+    scored = score(shown).select(key, "_set", cell(prob).alias("_p"))
+    p = F.col("_p")
     credit = F.array_compact(
         F.array(
             F.when(
@@ -119,8 +121,11 @@ def sampled_shapley(
     )
     names = F.array(*[F.lit(c) for c in columns])
     return (
-        scored.select(key, F.inline(credit))
+        steps.join(scored, [key, "_set"])
+        .select(key, "_s", F.inline(credit))
+        .groupBy(key, "i", "_s")
+        .agg((F.sum("v") / 2).alias("v"))
         .groupBy(key, "i")
-        .agg((F.sum("v") / samples).alias("contribution"))
-        .select(key, names[F.col("i")].alias("feature"), "contribution")
+        .agg(F.avg("v").alias("contribution"), (F.stddev_samp("v") / F.sqrt(F.lit(float(pairs)))).alias("std_error"))
+        .select(key, names[F.col("i")].alias("feature"), "contribution", "std_error")
     )

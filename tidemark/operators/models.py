@@ -28,7 +28,16 @@ from tidemark.operators.folds import (
     inner_ranks,
     with_folds,
 )
-from tidemark.operators.prep import WHOLE, PrepStats, build_prep, feature_names, fit_stats
+from tidemark.operators.prep import (
+    WHOLE,
+    PrepStats,
+    build_prep,
+    feature_names,
+    fit_stats,
+    level_dictionary,
+    slot_column,
+    with_slots,
+)
 from tidemark.operators.score import fold_mean
 from tidemark.schema import KEY
 from tidemark.session import durable
@@ -283,7 +292,11 @@ def _tagged(
         with_folds(known.select(key, target, *[cell(c) for c in columns]), folds, key)
     )
     assert_folds_disjoint(tagged, key)
-    return tagged, fit_stats(tagged, columns, list(range(k)))
+    stats = fit_stats(tagged, columns, list(range(k)))
+    if wide := stats[0].wide:
+        # Rows to be scored later take their slots from the same dictionary, by ``with_slots``.
+        tagged = durable(with_slots(tagged, level_dictionary(tagged, list(wide)), wide))
+    return tagged, stats
 
 
 def class_groups(tagged: DataFrame, key: str = KEY) -> dict[tuple[int, int], int]:
@@ -305,7 +318,7 @@ def train_classification(
     """Group-disjoint folds; every candidate calibrated and scored out of fold."""
     tagged, stats = _tagged(df, columns, target, k, key, seed)
     dealt = class_groups(tagged, key)
-    schema_only = tagged.select(*[cell(c) for c in columns])
+    schema_only = tagged.select(*[cell(c) for c in [*columns, *map(slot_column, stats[0].wide)]])
     models: dict[str, list[PipelineModel]] = {}
     parts: list[DataFrame] = []
 
@@ -363,7 +376,7 @@ def train_regression(
              F.sum(cell(target) * cell(target)).alias("q"))
         .collect()
     }
-    schema_only = tagged.select(*[cell(c) for c in columns])
+    schema_only = tagged.select(*[cell(c) for c in [*columns, *map(slot_column, stats[0].wide)]])
     models: dict[str, list[PipelineModel]] = {}
     parts: list[DataFrame] = []
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -361,6 +362,20 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.correlation_matrix(li, cols), 9)
 
 
+@query
+def correlation_matrix_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """63 columns made of the line items' numbers, with gaps, one of them always null."""
+    li = B.table(spark, sf, "lineitem")
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    made = [
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % (i % 7 + 2) > 0, F.col(base[i % 4]) * (i + 1) + F.col(base[i // 4 % 4]) * (i % 5))
+        .alias(f"c{i}")
+        for i in range(62)
+    ]
+    wide = li.select(*made, F.lit(None).cast("double").alias("c62"))
+    return rounded(D.correlation_matrix(wide, [f"c{i}" for i in range(63)]), 6)
+
+
 @query
 def linear_fit(spark: SparkSession, sf: str) -> DataFrame:
     li = B.table(spark, sf, "lineitem")
@@ -381,7 +396,15 @@ def histogram_by_class(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def kde_by_class(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events")
-    return rounded(H.density_curve(e, "value", ["event_type"], 60, 256), 8)
+    return rounded(H.density_curve(e, "value", ["event_type"], 60), 8)
+
+
+@query
+def kde_heavy_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Density of a long-tailed value, far wider than its bandwidth, by event type."""
+    tail = F.pow(F.col("value"), F.lit(4.0)) / 1e6
+    e = B.table(spark, sf, "events").select("event_type", tail.alias("tail"))
+    return rounded(H.density_curve(e, "tail", ["event_type"], 80), 8)
 
 
 @query
@@ -763,6 +786,35 @@ def standardise(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.standardise(d, cols), 8)
 
 
+@query
+def one_hot_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the ones for a status and a clerk key of some 12,000 levels, per order."""
+    o = B.table(spark, sf, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.concat(F.lit("Clerk#"), F.lpad((F.col("o_orderkey") % 12007).cast("string"), 9, "0")).alias("clerk"),
+    )
+    out = P.one_hot_sparse(o, "o_orderkey", ["o_orderstatus", "clerk"])
+    return out.select("o_orderkey", "size", F.array_join("slots", ",").alias("slots"))
+
+
+@query
+def training_side_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Median, mean and deviation of four columns with gaps on each of five training sides."""
+    o = B.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_partkey") % 3 > 0, F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount")).alias("discount"),
+        F.when(F.col("l_suppkey") % 7 == 1, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("tax"),
+    )
+    columns = ["quantity", "price", "discount", "tax"]
+    stats = P.fit_stats(o, columns, list(range(5)))
+    rows = [(s, c, x.medians[c], x.means[c], x.stds[c]) for s, x in stats.items() for c in x.medians]
+    out = spark.createDataFrame(rows, "side int, feature string, median double, mean double, std double")
+    return rounded(out, 6)
+
+
 @query
 def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     c = B.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
@@ -940,6 +992,33 @@ def tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def shapley_additivity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled attributions of all 68 features, texts among them, add up to score minus background score."""
+    f = _training_features(spark, sf)
+    columns = FT.feature_columns(f)
+    stats = P.fit_stats(f, columns)[P.WHOLE]
+    prep = P.build_prep(f.select(*columns), stats, True)
+    train = prep.transform(f).select(F.col(TARGETS[0]).cast("double").alias("_y"), "features")
+    model = [c for c in M.classifiers() if c.name == "LogisticRegression"][0].make({"n": train.count()}).setLabelCol("_y").fit(train)
+    base = {**stats.medians, **{c: v[0] for c, v in stats.levels.items()}}
+
+    def score(df: DataFrame) -> DataFrame:
+        out = model.transform(prep.transform(df))
+        return out.withColumn("prob", vector_to_array("probability")[1])
+
+    rows = f.select("athlete_id", *columns)
+    kinds = {x.name: x.dataType for x in rows.schema}
+    shown = rows.select("athlete_id", *[F.lit(base.get(c)).cast(kinds[c]).alias(c) for c in columns])
+    parts = X.sampled_shapley(rows, columns, base, score, samples=16)
+    total = parts.groupBy("athlete_id").agg(F.count("*").alias("features"), F.sum("contribution").alias("total"))
+    gap = F.col("total") - (F.col("prob") - F.col("base"))
+    both = total.join(score(rows).select("athlete_id", "prob"), "athlete_id").join(
+        score(shown).select("athlete_id", F.col("prob").alias("base")), "athlete_id"
+    )
+    return both.select("athlete_id", "features", (F.abs(gap) < 1e-9).alias("adds_up"))
+
+
 @query
 def submission_model(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job: features, benchmark, stored models, submission."""

