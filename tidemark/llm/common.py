@@ -21,9 +21,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stored`` and the folder it is in, for a table that is to be discarded."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -126,23 +131,37 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column); broadcast if it is small."""
-    side = settle(ids.distinct())
-    return docs.join(F.broadcast(side.df) if side.small else side.df, "doc_id", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+def text_hash() -> Column:
+    """Hash of a row's text, null as empty: what a row is known by beside its doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of ``docs`` that ``gone`` does not name; ``keys`` are its columns and what they equal in a row.
+
+    Nulls equal each other.  ``gone`` is broadcast if it is small.
+    """
+    side = settle(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct())
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_own_{k}").eqNullSafe(F.col(f"_gone_{k}"))
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(f"_own_{k}") for k, c in keys.items()])
+    return rows.join(F.broadcast(side.df) if side.small else side.df, same, "left_anti").select("row.*")
 
 
 def one_per_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with rows of equal doc_id and text only once.
+    """``docs`` with rows of equal doc_id and text only once; null ids equal each other.
 
-    Only ids that occur more than once are looked at; the others pass without a shuffle.
+    Only rows that occur more than once are looked at; the others pass without a shuffle.
     """
+    keys = {"id": F.col("doc_id"), "hash": text_hash()}
     twice = stored(
-        docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "twice"
+        docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1"),
+        "twice",
     )
     if twice.limit(1).count() == 0:
         return docs
-    again = docs.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return without_ids(docs, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    same = F.col("_own_id").eqNullSafe(F.col("id")) & (F.col("_own_hash") == F.col("hash"))
+    own = docs.select(F.struct("*").alias("row"), *[c.alias(f"_own_{k}") for k, c in keys.items()])
+    again = own.join(twice, same, "left_semi").dropDuplicates(["_own_id", "_own_hash"]).select("row.*")
+    return without(docs, twice, **keys).unionByName(again)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_group, components, stored
+from tidemark.llm.common import by_group, components, discard, stored, stored_at, text_hash
 from tidemark.llm.tokens import mix, pieces, runs, signed, word_bounds, words
 from tidemark.session import join_checked, settle
 
@@ -109,8 +109,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, with_signatures: bool = True) -> DataFrame:
-    """doc_id, n_shingles, fp, fp2 and routing keys of every text."""
-    schema = "doc_id long, n_shingles long, fp long, fp2 long, keys array<long>"
+    """doc_id, text_hash, n_shingles, fp, fp2 and routing keys of every text."""
+    schema = "doc_id long, text_hash long, n_shingles long, fp long, fp2 long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,15 +129,16 @@ def profiles(docs: DataFrame, k: int, percent: int, with_signatures: bool = True
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(ns, pa.int64()),
                         pa.array(f1, pa.int64()),
                         pa.array(f2, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "fp", "fp2", "keys"],
+                    names=["doc_id", "text_hash", "n_shingles", "fp", "fp2", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash()).mapInArrow(
         run, schema
     )
 
@@ -395,19 +396,24 @@ def rest_groups(everyone: DataFrame, asking: DataFrame, sizes: DataFrame, shingl
     return index.union(askers_).groupBy("anchor", "block", "fp", "comp").agg(F.max("asks").alias("asks"))
 
 
-def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: bool = False) -> DataFrame:
     """One row per text: doc_id, n_shingles, component_id (smallest doc_id reachable).
 
+    ``rows`` adds text_hash and part, a number of the component that does not hang on ids:
+    ids that several texts share or that are null tell neither rows nor components apart.
+
     Texts without words have n_shingles 0 and are alone; null doc_ids stay null and
     count as larger than any other.
     """
-    profile = stored(profiles(docs, k, percent), "ngram-profile")
+    routed, routed_at = stored_at(profiles(docs, k, percent), "ngram-routing")
+    profile = stored(routed.drop("keys"), "ngram-profile")
     classes = (
         profile.where("n_shingles > 0")
         .groupBy("fp", "fp2")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     )
-    keys = profile.select("fp", F.explode("keys").alias("key"))
+    # Keys are dealt out once: the smallest set of a key and the others that have it are looked up there.
+    keys = routed.select("fp", F.explode("keys").alias("key")).repartition("key")
     meets = (
         keys.groupBy("key")
         .agg(F.min("fp").alias("anchor"), F.max("fp").alias("last"))
@@ -421,6 +427,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         .agg(F.count("*").alias("shared")),
         "ngram-edges",
     )
+    discard(docs.sparkSession, routed_at)  # most keys belong to one set only
     nodes = edges.select("fp").union(edges.select("anchor")).distinct()
     needed = stored(classes.join(nodes, "fp").select("fp", "rep", "n_shingles"), "ngram-nodes")
     wanted = needed.select(F.col("rep").alias("doc_id"), "fp")
@@ -445,7 +452,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
         unnamed = plain.where("doc_id is null and text is not null").mapInPandas(nameless, texts.schema)
         texts = texts.union(join_checked(unnamed, settle(lost), ["fp"], even=True).select(*texts.columns).dropDuplicates(["fp"]))
-    texts = stored(texts, "ngram-texts")
+    texts, texts_at = stored_at(texts, "ngram-texts")
     sizes = needed.select("fp", "n_shingles")
 
     def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -491,14 +498,16 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         more = stored(_links(rest, texts, k, percent, "rest"), "ngram-rest")
         if more.limit(1).count():
             labels = components(links.union(more))
+    discard(docs.sparkSession, texts_at)
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     linked = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("low"))
     component = named.join(linked, "label", "left").select(
-        "fp", "fp2", F.coalesce("low", "rep").alias("component_id")
+        "fp", "fp2", F.coalesce("low", "rep").alias("component_id"), F.coalesce("label", "fp").alias("part")
     )
-    full = profile.select("doc_id", "n_shingles", "fp", "fp2")
+    full = profile.select("doc_id", "text_hash", "n_shingles", "fp", "fp2")
     return full.join(component, ["fp", "fp2"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *(["text_hash", "part"] if rows else []),
     )
