@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -56,6 +57,50 @@ def test_long_chain_and_empty(spark):
     assert linked(spark, [], []) == {}
 
 
+def brute_levels(needs):
+    """Longest paths by repeated relaxation; None on or behind a cycle."""
+    level = {}
+    while True:
+        more = {c: max((level[n] + 2 for n in ns), default=0) for c, ns in needs.items() if c not in level and all(n in level for n in ns)}
+        if not more:
+            return level
+        level.update(more)
+
+
+def test_levels_of_any_graph(spark):
+    r = random.Random(4)
+    needs = {}
+    for conv in range(12):
+        n = 40
+        for i in range(n):
+            many = r.choice([0, 1, 1, 1, 1, 2, 3]) if conv % 2 else 1
+            low = 0 if conv % 3 == 0 and r.random() < 0.1 else max(0, i - 4)  # some lead back or on
+            high = n if conv % 4 == 1 and r.random() < 0.05 else i
+            needs[conv, i] = set() if i == 0 else {r.randrange(low, max(high, low + 1)) for _ in range(many)}
+    calls = [(c, i, str(i), "search", json.dumps({"query": [f"${x}" for x in sorted(ns)]})) for (c, i), ns in needs.items()]
+    got = linked(spark, calls, [])
+    for conv in range(12):
+        want = brute_levels({i: ns for (c, i), ns in needs.items() if c == conv})
+        assert {i: got[conv, i, "call"]["level"] for i in range(40)} == {i: want.get(i) for i in range(40)}
+
+
+def test_a_very_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 3000, []
+    keep = C.stored_at
+    monkeypatch.setattr(C, "stored_at", lambda df, label: rounds.append(label) or keep(df, label))
+    calls = [(1, 2 * i, f"c{i}", "search", json.dumps({"query": f"$c{i - 1}" if i else "x"})) for i in range(n)]
+    got = linked(spark, calls, [])
+    assert all(got[1, 2 * i, "call"]["level"] == 2 * i for i in range(n))
+    assert len(rounds) <= 15
+
+
+def test_null_conversation_and_very_long_content(spark):
+    long = "x" * 2_000_000
+    got = linked(spark, [(None, 0, "a", "search", '{"query":"1"}'), (1, 0, "a", "search", json.dumps({"query": long}))], [(None, 1, "a", "r"), (1, 1, "a", long)])
+    assert got[None, 0, "call"]["status"] == "open" and got[None, 1, "result"]["status"] == "orphan"
+    assert json.loads(got[1, 1, "result"]["json"])["content"] == long and got[1, 0, "call"]["valid"]
+
+
 @pytest.mark.parametrize("turns", [[(1, 0, "user", None), (1, 1, "assistant", ""), (1, 2, None, "x"), (1, 3, "tool", None), (1, 5, "user", "a")]])
 def test_plain_conversations(spark, turns):
     frame = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, json string")

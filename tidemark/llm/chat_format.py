@@ -4,8 +4,9 @@ Native expressions only.  Calls (conv_id, turn, call_id, name, arguments as JSON
 results (conv_id, turn, call_id, content) are hash-joined by conversation and identifier.
 A call may refer to an earlier call's result by an argument string ``"$<call id>"``; calls
 are ordered topologically along these references: level 0 has none, a result is one level
-above its call, a call one above the results it needs.  Levels are settled round by round
-(as many rounds as the longest chain); calls on a cycle never settle.  Arguments are
+above its call, a call one above the results it needs.  Chains of calls with one reference
+each are settled by pointers that double, calls with several round by round; calls on a
+cycle never settle.  Arguments are
 checked against the tool's schema (types, required and unknown names).  Every message
 becomes one JSON object with sorted names; nested arguments are sorted too.
 
@@ -14,7 +15,8 @@ One row per message: a conversation is never gathered, however long it is; its o
 ones are "duplicate"; likewise for results; a result without a call is "orphan", a call
 without a result "open", with a reference that leads to no call "unresolved", on a cycle
 or behind one "cyclic".  Null arguments are an empty object; arguments that are no JSON
-object are invalid and written as a string.  Null identifiers never link.  Empty tables
+object are invalid and written as a string.  Null identifiers never link, and neither do
+rows of a null conversation: their calls are "open", their results "orphan".  Empty tables
 give an empty result; extra columns are not looked at.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import discard, stored, stored_at
 
 # Argument types of the tools: name -> argument -> (type, required).
 TOOLS = {
@@ -65,19 +67,64 @@ def json_string(text: Column) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
+def chain_tops(single: DataFrame) -> DataFrame:
+    """conv_id, call_id, top, dist: where the chain of calls with one reference each ends, and how far.
+
+    ``single`` has (conv_id, call_id, need_id).  Every row points ``dist`` calls up and takes
+    over the pointer of the call it points to, so pointers double: a chain of n calls takes
+    log2(n) rounds.  A pointer that has gone further than its conversation has such calls is
+    on a cycle or behind one; it is dropped, and what points to it never gets a level.
+    """
+    spark = single.sparkSession
+    sizes = single.groupBy("conv_id").agg(F.count("*").alias("most"))
+    hops, path = stored_at(
+        single.join(sizes, "conv_id").select("conv_id", "call_id", F.col("need_id").alias("top"), F.lit(1).cast("long").alias("dist"), "most"),
+        "chat-hops",
+    )
+    while True:
+        step = hops.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("dist").alias("more"))
+        moved, new = stored_at(
+            hops.join(step, ["conv_id", "top"], "left")
+            .select(
+                "conv_id", "call_id", F.coalesce("next", "top").alias("top"),
+                (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), "most", F.col("next").isNotNull().alias("on"),
+            )
+            .where(F.col("dist") <= F.col("most")),
+            "chat-hops",
+        )
+        discard(spark, path)
+        hops, path = moved.drop("on"), new
+        if moved.where("on").limit(1).count() == 0:
+            return hops.drop("most")
+
+
 def settle_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of every call whose references end; ``needs`` adds need_id."""
+    """conv_id, call_id, level of every call whose references end; ``needs`` adds need_id.
+
+    Chains of calls with one reference each are contracted first; then as many rounds settle
+    the calls with several as the longest path has of these.
+    """
     key = ["conv_id", "call_id"]
     done = stored(
-        calls.join(needs, key, "left_anti").select(*key, F.lit(0).alias("level")), "chat-levels"
+        calls.join(needs, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")), "chat-levels"
+    )
+    counted = needs.groupBy(*key).agg(F.count("*").alias("n"), F.min("need_id").alias("need_id"))
+    hops = chain_tops(counted.where("n = 1").select(*key, "need_id"))
+    via = hops.select("conv_id", F.col("call_id").alias("need_id"), "top", "dist")
+    several = needs.join(counted.where("n > 1").select(*key), key, "left_semi").join(via, ["conv_id", "need_id"], "left")
+    pending = stored(
+        several.select(
+            *key, F.coalesce("top", "need_id").alias("need_id"), (2 * F.coalesce("dist", F.lit(0))).alias("extra"),
+            F.lit(None).cast("long").alias("sofar"), F.lit(False).alias("met"),
+        ),
+        "chat-needs",
     )
-    pending = stored(needs, "chat-needs")
     fresh = done
-    while True:
+    while pending.limit(1).count():
         reached = fresh.select("conv_id", F.col("call_id").alias("need_id"), (F.col("level") + 2).alias("from"))
         # References met in this round leave; what a call has met so far stays on its rows.
         met = pending.join(reached, ["conv_id", "need_id"], "left")
-        best = F.greatest("sofar", "from")
+        best = F.greatest("sofar", F.col("from") + F.col("extra"))
         state = stored(
             met.withColumn("sofar", best).withColumn("met", F.col("met") | F.col("from").isNotNull()).drop("from"),
             "chat-needs",
@@ -88,9 +135,12 @@ def settle_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
             "chat-levels",
         )
         if fresh.limit(1).count() == 0:
-            return done
-        done = stored(done.union(fresh), "chat-levels")
-        pending = state.join(fresh, key, "left_anti")
+            break
+        done = done.union(fresh)
+        pending = stored(state.join(fresh, key, "left_anti"), "chat-needs")
+    tops = done.select("conv_id", F.col("call_id").alias("top"), "level")
+    chained = hops.join(tops, ["conv_id", "top"]).select(*key, (F.col("level") + 2 * F.col("dist")).alias("level"))
+    return stored(done.union(chained).withColumn("level", F.col("level").cast("int")), "chat-levels")
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
@@ -109,7 +159,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame
     wants = stored(wants.join(known, ["conv_id", "need_id"], "left"), "chat-wants")
     lost = wants.where("known is null").select(*key).distinct().withColumn("lost", F.lit(True))
     needs = wants.where("known").select(
-        *key, "need_id", F.lit(None).cast("int").alias("sofar"), F.lit(False).alias("met")
+        *key, "need_id"
     )
     levels = settle_levels(ids.where("call_turn is not null"), needs)
     facts = ids.join(lost, key, "left").join(levels, key, "left")
