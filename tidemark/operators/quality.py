@@ -91,39 +91,78 @@ def table_audit(
     date: str = DATE,
     dup_keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """One report row per table: size, entities, duplicates, missing columns and details."""
+    """One report row per table: size, entities, duplicates, missing columns and details.
+
+    Each table is read once.  Rows are summed per duplicate key and entity first; these sums
+    carry counts, gaps, anomalies and ends of every column, and the report merges them.
+    """
     reports = []
     for name, df in tables.items():
-        subset = (dup_keys or {}).get(name) or duplicate_key(name, df.columns, key, date)
+        wanted = (dup_keys or {}).get(name) or duplicate_key(name, df.columns, key, date)
+        subset = [c for c in wanted if c in df.columns]
+        held = [key] if key in df.columns else []
         numeric = numeric_columns(df)
-        entities = F.count_distinct(cell(key)) if key in df.columns else F.lit(0).cast("long")
-        body = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            entities.alias("unique_entities"),
-            F.array(*_null_structs(df)).alias("missing"),
-            (
-                F.array(*_anomaly_structs(df, numeric))
-                if numeric
-                else F.expr(
-                    "cast(array() as array<struct<column:string,_n:bigint,negative_count:bigint,"
-                    "infinite_count:bigint,min_val:double,max_val:double>>)"
-                )
-            ).alias("numbers"),
+        sums = [F.count(F.lit(1)).alias("_rows"), *[F.count_if(_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)]]
+        for i, c in enumerate(numeric):
+            x = F.when(~_missing(df, c), cell(c)).cast("double")
+            sums += [
+                F.count(x).alias(f"_n{i}"),
+                F.count_if(x < 0).alias(f"_neg{i}"),
+                F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"_inf{i}"),
+                F.min(x).alias(f"_min{i}"),
+                F.max(x).alias(f"_max{i}"),
+            ]
+        keys = list(dict.fromkeys([*subset, *held]))
+        named = df.select("*", *[cell(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        per_key = named.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(*sums)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        place = {k: F.col(f"_k{i}") for i, k in enumerate(keys)}
+        # Without an entity beside the duplicate key, every row of ``per_key`` is a key of its own.
+        distinct = F.count(F.lit(1)) if set(held) <= set(subset) else F.count_distinct(F.struct(*[place[c] for c in subset]))
+        rows = total("_rows")
+        missing = [
+            F.struct(
+                F.lit(c).alias("column"),
+                total(f"_m{i}").alias("missing_count"),
+                F.bround(F.try_divide(total(f"_m{i}") * F.lit(100.0), rows), 2).alias("missing_percentage"),
+            )
+            for i, c in enumerate(df.columns)
+        ]
+        numbers = [
+            F.struct(
+                F.lit(c).alias("column"),
+                total(f"_n{i}").alias("_n"),
+                total(f"_neg{i}").alias("negative_count"),
+                total(f"_inf{i}").alias("infinite_count"),
+                F.min(f"_min{i}").alias("min_val"),
+                F.max(f"_max{i}").alias("max_val"),
+            )
+            for i, c in enumerate(numeric)
+        ]
+        none = F.expr(
+            "cast(array() as array<struct<column:string,_n:bigint,negative_count:bigint,"
+            "infinite_count:bigint,min_val:double,max_val:double>>)"
         )
-        found = F.filter("missing", lambda m: m["missing_count"] > 0)
-        held = F.transform(
-            F.filter("numbers", lambda a: a["_n"] > 0), lambda a: a.dropFields("_n")
+        body = per_key.agg(
+            rows.alias("rows"),
+            (F.count_distinct(place[key]) if held else F.lit(0).cast("long")).alias("unique_entities"),
+            (rows - distinct if subset else F.lit(0).cast("long")).alias("duplicates"),
+            F.array(*missing).alias("missing"),
+            (F.array(*numbers) if numbers else none).alias("numbers"),
         )
-        one = body.select(
-            F.lit(name).alias("table"),
-            F.when(F.col("rows") > 0, "OK").otherwise("EMPTY_OR_NOT_FOUND").alias("status"),
-            "rows",
-            F.lit(len(df.columns)).alias("columns"),
-            "unique_entities",
-            F.size(found).alias("missing_columns_count"),
-            found.alias("missing_summary"),
-            held.alias("anomalies"),
+        found = F.filter("missing", lambda m: m["missing_count"] > 0)
+        kept = F.transform(F.filter("numbers", lambda a: a["_n"] > 0), lambda a: a.dropFields("_n"))
+        reports.append(
+            body.select(
+                F.lit(name).alias("table"),
+                F.when(F.col("rows") > 0, "OK").otherwise("EMPTY_OR_NOT_FOUND").alias("status"),
+                "rows",
+                F.lit(len(df.columns)).alias("columns"),
+                "unique_entities",
+                F.size(found).alias("missing_columns_count"),
+                found.alias("missing_summary"),
+                kept.alias("anomalies"),
+                "duplicates",
+            )
         )
-        dup = duplicate_count(df, subset).withColumn("table", F.lit(name))
-        reports.append(one.join(dup, "table"))
     return reduce(lambda a, b: a.unionByName(b), reports)

@@ -252,11 +252,21 @@ def anomaly_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def table_audit(spark: SparkSession, sf: str) -> DataFrame:
-    t = B.bundle(spark, sf)
-    kept = ["daily_activity", "sleep_day", "training_sessions", "weight_logs", "athlete_metadata"]
-    return Q.table_audit({n: t[n] for n in kept}).select(
-        "table", "status", "rows", "columns", "unique_entities", "duplicates",
-        "missing_columns_count",
+    """The report over all seven tables, its two nested lists written as text."""
+    milli = lambda x: F.round(x, 3).cast("decimal(24,3)").cast("string")
+    gaps = F.transform(
+        "missing_summary",
+        lambda m: F.concat_ws(":", m["column"], m["missing_count"].cast("string"), m["missing_percentage"].cast("decimal(9,2)").cast("string")),
+    )
+    odd = F.transform(
+        "anomalies",
+        lambda a: F.concat_ws(
+            ":", a["column"], a["negative_count"].cast("string"), a["infinite_count"].cast("string"), milli(a["min_val"]), milli(a["max_val"])
+        ),
+    )
+    return Q.table_audit(B.bundle(spark, sf)).select(
+        "table", "status", "rows", "columns", "unique_entities", "duplicates", "missing_columns_count",
+        F.array_join(gaps, ";").alias("missing_summary"), F.array_join(odd, ";").alias("anomalies"),
     )
 
 

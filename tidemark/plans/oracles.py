@@ -433,26 +433,50 @@ Q["anomaly_audit"] = " UNION ALL ".join(
                  ("l_extendedprice", "lineitem"), ("l_discount", "lineitem")])
 
 
-def _audit(name: str, src: str, cols: list[str], keys: str, width: int) -> str:
-    holes = " + ".join(f"(CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END)" for c in cols)
-    return f"""SELECT '{name}' AS "table", 'OK' AS status, count(*) AS rows, {width} AS columns,
+def _audit(name: str, src: str, cols: str, texts: str, keys: str) -> str:
+    """Report row of ``src``: ``cols`` are its columns in order, ``texts`` those that are no numbers."""
+    names = cols.split()
+    gap = lambda c: f"count(*) - count({c})"
+    holes = " + ".join(f"(CASE WHEN {gap(c)} > 0 THEN 1 ELSE 0 END)" for c in names)
+    gaps = ", ".join(
+        f"CASE WHEN {gap(c)} > 0 THEN '{c}:' || ({gap(c)}) || ':' || CAST(round_even(({gap(c)}) * 100.0::DOUBLE / count(*), 2) AS DECIMAL(9,2)) END"
+        for c in names)
+    odd = ", ".join(
+        f"CASE WHEN count({c}) > 0 THEN '{c}:' || (count(*) FILTER ({c} < 0)) || ':' || (count(*) FILTER (abs({c}::DOUBLE) = 'inf'::DOUBLE))"
+        f" || ':' || CAST(round(min({c})::DOUBLE, 3) AS DECIMAL(24,3)) || ':' || CAST(round(max({c})::DOUBLE, 3) AS DECIMAL(24,3)) END"
+        for c in names if c not in texts.split())
+    return f"""SELECT '{name}' AS "table", 'OK' AS status, count(*) AS rows, {len(names)} AS columns,
   count(DISTINCT athlete_id) AS unique_entities,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT {keys} FROM {src})) AS duplicates,
-  ({holes})::INT AS missing_columns_count FROM {src}"""
+  ({holes})::INT AS missing_columns_count,
+  array_to_string(list_filter([{gaps}], lambda x: x IS NOT NULL), ';') AS missing_summary,
+  array_to_string(list_filter([{odd}], lambda x: x IS NOT NULL), ';') AS anomalies FROM {src}"""
 
 
 Q["table_audit"] = (
-    _ctes(DAILY, SLEEP, SESSIONS, PROFILE)
-    + """, logs AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS date, o_orderkey,
-  o_totalprice FROM orders) """
+    _ctes(LABELS, DAILY, HOURLY, SLEEP, PROFILE)
+    + f""", t_daily AS (SELECT athlete_id, date, steps, distance, calories, very AS very_active_minutes,
+    fairly AS fairly_active_minutes, lightly AS lightly_active_minutes, sedentary AS sedentary_minutes FROM daily),
+  t_hourly AS (SELECT athlete_id, hr AS datetime, date, rate AS heart_rate, low AS min_heart_rate, high AS max_heart_rate FROM hourly),
+  t_sleep AS (SELECT athlete_id, date, asleep AS sleep_minutes, bed AS time_in_bed FROM sleep),
+  t_sessions AS (SELECT event_id AS session_id, user_id AS athlete_id, date, event_type AS sport_session_type,
+    hour(ts)::DOUBLE AS start_hour, hour(ts)::DOUBLE + value / 100 AS end_hour FROM ev),
+  t_logs AS (SELECT o_custkey AS athlete_id, CAST(o_orderdate AS DATE) AS date, o_orderkey AS log_id, o_totalprice AS weight FROM orders),
+  t_labels AS (SELECT *, {ANCHOR} AS obs_window_end FROM labelled) """
     + " UNION ALL ".join([
-        _audit("daily_activity", "daily", ["calories", "very", "fairly", "lightly", "steps"],
-               "athlete_id, date", 9),
-        _audit("sleep_day", "sleep", ["asleep", "bed"], "athlete_id, date", 4),
-        _audit("training_sessions", "sessions", ["event_id", "hours"], "event_id", 6),
-        _audit("weight_logs", "logs", ["o_totalprice"], "athlete_id, date", 4),
-        _audit("athlete_metadata", "profile", ["sport", "team_id", "weight_kg_baseline"],
-               "athlete_id", 4)]))
+        _audit("daily_activity", "t_daily",
+               "athlete_id date steps distance calories very_active_minutes fairly_active_minutes "
+               "lightly_active_minutes sedentary_minutes", "date", "athlete_id, date"),
+        _audit("hourly_heartrate", "t_hourly", "athlete_id datetime date heart_rate min_heart_rate max_heart_rate",
+               "datetime date", "athlete_id, date"),
+        _audit("sleep_day", "t_sleep", "athlete_id date sleep_minutes time_in_bed", "date", "athlete_id, date"),
+        _audit("training_sessions", "t_sessions", "session_id athlete_id date sport_session_type start_hour end_hour",
+               "date sport_session_type", "session_id"),
+        _audit("weight_logs", "t_logs", "athlete_id date log_id weight", "date", "athlete_id, date"),
+        _audit("athlete_metadata", "profile", "athlete_id sport team_id weight_kg_baseline", "sport team_id", "athlete_id"),
+        _audit("train_labels", "t_labels",
+               "athlete_id injured_in_risk_window onset_day_offset recovery_duration obs_window_end", "obs_window_end",
+               "athlete_id")]))
 Q["table_preview"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 100"
 Q["class_balance"] = _ctes(LABELS) + """ SELECT injured_in_risk_window, count(*) AS count,
   round(count(*) / sum(count(*)) OVER ()::DOUBLE, 9) AS share FROM labelled GROUP BY 1"""
