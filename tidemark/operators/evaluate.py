@@ -293,10 +293,18 @@ def leaderboard(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def best_per_task(board: DataFrame) -> DataFrame:
-    """Winner of each task: highest F1, or lowest error; name order breaks ties."""
+def _place(order: list[str] | None) -> Column:
+    """Place of a model in candidate order; those it does not name come after, by name."""
+    if not order:
+        return F.lit(0)
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    return F.when(place > 0, place).otherwise(F.lit(len(order) + 1))
+
+
+def best_per_task(board: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Winner of each task: highest F1, or lowest error; the earlier candidate wins a tie."""
     value = F.when(F.col("metric") == "F1", -F.col("score")).otherwise(F.col("score"))
-    pick = F.min(F.struct(value.alias("v"), "model", "score", "metric"))
+    pick = F.min(F.struct(value.alias("v"), _place(order).alias("p"), "model", "score", "metric"))
     return board.groupBy("task").agg(pick.alias("b")).select(
         "task", F.col("b.model").alias("model"), F.col("b.metric").alias("metric"),
         F.col("b.score").alias("score"),
@@ -317,10 +325,10 @@ def model_comparison(board: DataFrame) -> DataFrame:
     return board.groupBy("model").pivot("task", tasks).agg(F.first("score"))
 
 
-def ranked_board(board: DataFrame) -> DataFrame:
-    """Rank within each task, F1 falling and errors rising (a few rows per task)."""
+def ranked_board(board: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Rank within each task, F1 falling and errors rising, ties in candidate order (a few rows per task)."""
     value = F.when(F.col("metric") == "F1", -F.col("score")).otherwise(F.col("score"))
-    w = W.partitionBy("task").orderBy(value, "model")
+    w = W.partitionBy("task").orderBy(value, _place(order), "model")
     return board.withColumn("place", F.row_number().over(w))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import as_anchor, clip, half_even_int, meets, same_entity
+from tidemark.functions import as_anchor, clip, day_of, half_even_int, meets, parse_moment, same_entity
 from tidemark.operators import describe as D
 from tidemark.operators import distributions as H
 from tidemark.operators import evaluate as E
@@ -660,6 +660,17 @@ def best_model_per_task(spark: SparkSession, sf: str) -> DataFrame:
     return E.best_per_task(_board(spark, sf))
 
 
+@query
+def tied_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Winner and rank where every model comes twice with the same score: the earlier candidate is first."""
+    board = _board(spark, sf)
+    order = ["zz_w7", "w7", "zz_w14", "w14", "zz_w30", "w30"]
+    twice = board.unionByName(board.withColumn("model", F.concat(F.lit("zz_"), "model"))).where(F.col("model").isin(order))
+    best = E.best_per_task(twice, order).select("task", F.col("model").alias("best"))
+    ranked = E.ranked_board(twice, order).join(best, "task")
+    return ranked.select("task", "model", "place", "best")
+
+
 @query
 def top3_models(spark: SparkSession, sf: str) -> DataFrame:
     """The three best single models by tuned F1; the earlier candidate wins a tie."""
@@ -711,6 +722,17 @@ def high_risk_share(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(SC.high_risk_share(_scored(spark, sf), 0.5), 9)
 
 
+@query
+def custom_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of high risks under a user's cutoff and under the default, where no tuned one is known."""
+    scored = _scored(spark, sf)
+    parts = [
+        SC.high_risk_share(scored, cut).select(F.lit(name).alias("cutoff"), F.lit(cut).alias("value"), "*")
+        for name, cut in (("user", SC.checked_cutoff(0.2, 0.5)), ("tuned", SC.checked_cutoff(None, 0.5)), ("default", SC.checked_cutoff(None, None)))
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), 9)
+
+
 @query
 def risk_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return SC.risk_ranking(_scored(spark, sf), 0.5, ["sport", "team_id"])
@@ -865,6 +887,33 @@ def csv_source_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wide, 9, **COARSE)
 
 
+@query
+def mixed_date_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders' moments written in eight layouts and as noise, and the days read back from them."""
+    ts = F.col("o_orderdate") + F.make_dt_interval(mins=F.col("o_orderkey") % 1440)
+    layouts = [
+        "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d",
+    ]
+    text = F.when(F.col("o_orderkey") % 8 == 7, F.concat(F.lit("about "), F.date_format(ts, "yyyy")))
+    for i, p in enumerate(layouts):
+        text = text.when(F.col("o_orderkey") % 8 == i, F.date_format(ts, p))
+    o = B.table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    return o.select("o_orderkey", day_of(F.col("text")).alias("day"), F.hour(parse_moment(F.col("text"))).alias("hour"))
+
+
+@query
+def csv_quoted_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Session types with quotes and line breaks inside, through CSV files and back."""
+    folder = scratch_path(spark, "breaks")
+    kinds = F.concat(F.col("sport_session_type"), F.lit('\n"part" '), (F.col("session_id") % 3).cast("string"))
+    t = B.training_sessions(spark, sf).withColumn("sport_session_type", kinds).withColumnRenamed("athlete_id", "Id")
+    t.write.option("header", True).option("escape", '"').csv(f"{folder}/training_sessions.csv")
+    raw = RD.load_table(spark, folder, "training_sessions", multiline=True)
+    return raw.groupBy(F.replace("sport_session_type", F.lit("\n"), F.lit("|")).alias("kind")).agg(
+        F.count("*").alias("rows"), F.countDistinct("athlete_id").alias("entities"), F.max("session_id").alias("last")
+    )
+
+
 @query
 def raw_table_overview(spark: SparkSession, sf: str) -> DataFrame:
     """Which of the expected raw files exist, and rows and columns of the loaded tables."""

@@ -852,6 +852,20 @@ Q["training_side_stats"] = """WITH l AS (SELECT l_orderkey % 5 AS fold,
   SELECT side, feature, round(any_value(med), 6) AS median, round(avg(coalesce(x, med)), 6) AS mean,
     round(stddev_pop(coalesce(x, med)), 6) AS std FROM v JOIN m USING (side, feature) GROUP BY 1, 2"""
 Q["shapley_additivity"] = _ctes(LABELS) + " SELECT athlete_id, 68::BIGINT AS features, true AS adds_up FROM labelled"
+Q["tied_models"] = BOARD_CTES + """, two AS (SELECT task, metric, score, model, list_position(['w7', 'w14', 'w30'], model) * 2 AS p FROM board
+    UNION ALL SELECT task, metric, score, 'zz_' || model, list_position(['w7', 'w14', 'w30'], model) * 2 - 1 FROM board),
+  r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN metric = 'F1' THEN -score ELSE score END, p)::INT AS place
+    FROM two WHERE p IS NOT NULL)
+  SELECT task, model, place, first_value(model) OVER (PARTITION BY task ORDER BY place) AS best FROM r"""
+Q["custom_cutoff"] = SCORED_CTES + " " + " UNION ALL ".join(
+    f"""SELECT '{n}' AS cutoff, {c}::DOUBLE AS value, count(*) AS entities, count(*) FILTER (prob >= {c}) AS high_risk,
+  round(avg(CASE WHEN prob >= {c} THEN 1.0 ELSE 0.0 END), 9) AS share FROM scored"""
+    for n, c in (("user", 0.2), ("tuned", 0.5), ("default", 0.43)))
+Q["mixed_date_layouts"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 8 < 7 THEN CAST(o_orderdate AS DATE) END AS day,
+  CASE WHEN o_orderkey % 8 IN (1, 2, 3, 4) THEN ((o_orderkey % 1440) // 60)::INT WHEN o_orderkey % 8 < 7 THEN 0 END AS hour FROM orders"""
+Q["csv_quoted_breaks"] = """SELECT event_type || '|"part" ' || (event_id % 3) AS kind, count(*) AS rows,
+  count(DISTINCT user_id) AS entities, max(event_id)::VARCHAR AS last FROM events GROUP BY 1"""
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
 Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY

@@ -96,15 +96,19 @@ def load_table(
     default_anchor: str | None = DEFAULT_ANCHOR,
     aliases: dict[str, list[str]] | None = None,
     keep_extra: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """One canonical table; a missing optional file is an empty table of its schema."""
+    """One canonical table; a missing optional file is an empty table of its schema.
+
+    ``multiline`` is for files whose quoted texts hold line breaks.
+    """
     spec = TABLES[name]
     path = raw_path(spark, folder, spec.file_key)
     if not exists(spark, path):
         if spec.required_file:
             raise FileNotFoundError(f"{name} expected at {path}")
         return spark.createDataFrame([], spec.schema)
-    return canonical(scan_csv(spark, path), name, default_anchor, aliases, keep_extra)
+    return canonical(scan_csv(spark, path, multiline), name, default_anchor, aliases, keep_extra)
 
 
 def load_raw(
@@ -112,9 +116,11 @@ def load_raw(
     folder: str,
     default_anchor: str | None = DEFAULT_ANCHOR,
     aliases: dict[str, list[str]] | None = None,
+    multiline: bool | list[str] = False,
 ) -> dict[str, DataFrame]:
-    """All seven tables, lazily."""
-    return {n: load_table(spark, folder, n, default_anchor, aliases) for n in TABLES}
+    """All seven tables, lazily; ``multiline`` for all of them or for those named."""
+    broken = (lambda n: n in multiline) if isinstance(multiline, list) else (lambda n: multiline)
+    return {n: load_table(spark, folder, n, default_anchor, aliases, multiline=broken(n)) for n in TABLES}
 
 
 IMPORTANCE_SCHEMA = "feature string, importance double"
