@@ -36,10 +36,11 @@ def test_rollup_continues_from_its_checkpoint(spark, sf, tmp_path):
 def test_gate_keeps_every_row_once(spark, sf, tmp_path):
     p = str(tmp_path)
     s = stream(spark, sf).withColumn("date", F.col("ts").cast("date"))
-    for _ in range(2):
-        ST.gate(s, B.ANCHOR_DAY, f"{p}/ok", f"{p}/late", f"{p}/c")
+    seen = [ST.gate_metrics(ST.gate(s, B.ANCHOR_DAY, f"{p}/ok", f"{p}/late", f"{p}/c")) for _ in range(2)]
     ok, late = spark.read.parquet(f"{p}/ok"), spark.read.parquet(f"{p}/late")
     assert ok.count() + late.count() == B.table(spark, sf, "events").count()
+    assert seen[0] == {"rows": ok.count() + late.count(), "rows_after": late.count(), "latest": late.agg(F.max("date")).first()[0]}
+    assert seen[1]["rows"] == 0 and seen[1]["latest"] is None
     assert ok.agg(F.max("date")).first()[0] <= B.ANCHOR_DAY < late.agg(F.min("date")).first()[0]
 
 

@@ -56,6 +56,15 @@ def boundary_report(
     ).select("table", "rows_after", "latest")
 
 
+def boundary_metrics(anchor: str | dt.date | Column, date: str = DATE) -> list[Column]:
+    """rows, rows_after and latest as aggregates that can be observed while rows pass by."""
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(col(date) > as_anchor(anchor)).alias("rows_after"),
+        F.max(col(date)).alias("latest"),
+    ]
+
+
 def assert_boundary(
     df: DataFrame, anchor: str | dt.date, date: str = DATE, table: str = "table"
 ) -> None:

@@ -215,6 +215,21 @@ def boundary_violations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def observed_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    """The boundary report of two tables as counted while they are written, and of a gated stream."""
+    path = scratch_path(spark, "observed")
+    e = B.table(spark, sf, "events").withColumn("date", F.col("ts").cast("date"))
+    seen = {
+        "events": SK.write_observed(e, f"{path}/events", A),
+        "orders": SK.write_observed(B.weight_logs(spark, sf), f"{path}/orders", B.ORDERS_ANCHOR),
+    }
+    s = _event_stream(spark, sf).withColumn("date", F.col("ts").cast("date"))
+    seen["stream"] = ST.gate_metrics(ST.gate(s, A, f"{path}/ok", f"{path}/late", f"{path}/log"))
+    rows = [(n, m["rows"], m["rows_after"], m["latest"]) for n, m in seen.items()]
+    return spark.createDataFrame(rows, "table string, rows long, rows_after long, latest date")
+
+
 @query
 def guard_offenders(spark: SparkSession, sf: str) -> DataFrame:
     """Rows behind each column name the guard refuses (labels attached, none allowed)."""

@@ -866,6 +866,10 @@ Q["mixed_date_layouts"] = """SELECT o_orderkey,
   CASE WHEN o_orderkey % 8 IN (1, 2, 3, 4) THEN ((o_orderkey % 1440) // 60)::INT WHEN o_orderkey % 8 < 7 THEN 0 END AS hour FROM orders"""
 Q["csv_quoted_breaks"] = """SELECT event_type || '|"part" ' || (event_id % 3) AS kind, count(*) AS rows,
   count(DISTINCT user_id) AS entities, max(event_id)::VARCHAR AS last FROM events GROUP BY 1"""
+Q["observed_boundary"] = " UNION ALL ".join(
+    f"""SELECT '{n}' AS "table", count(*) AS rows, count(*) FILTER (CAST({d} AS DATE) > {a}) AS rows_after,
+  max(CAST({d} AS DATE)) AS latest FROM {t}"""
+    for n, t, d, a in (("events", "events", "ts", ANCHOR), ("orders", "orders", "o_orderdate", ORDERS_ANCHOR), ("stream", "events", "ts", ANCHOR)))
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
 Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY

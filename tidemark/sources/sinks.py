@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.guards import boundary_metrics
+from tidemark.schema import DATE
+
 
 def write_features(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -13,6 +18,18 @@ def write_features(df: DataFrame, path: str, partition_by: list[str] | None = No
     writer.parquet(path)
 
 
+def write_observed(
+    df: DataFrame, path: str, anchor: str | dt.date, date: str = DATE, partition_by: list[str] | None = None
+) -> dict[str, object]:
+    """Write ``df`` and count on the way: rows, rows_after the anchor and the latest date.
+
+    The counts come from the write itself, so the rows are neither read nor computed twice.
+    """
+    seen = Observation()
+    write_features(df.observe(seen, *boundary_metrics(anchor, date)), path, partition_by)
+    return seen.get
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV as a folder of part files, written in parallel."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -12,10 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.functions import cell
-from tidemark.operators.guards import within_boundary
+from tidemark.operators.guards import boundary_metrics, within_boundary
 from tidemark.schema import KEY
 from tidemark.sources.files import is_folder
 
+GATE = "gate"  # name of the gate's observed metrics
+
 
 def read_stream(
     spark: SparkSession, path: str, schema: StructType, ts: str = "ts"
@@ -118,7 +120,8 @@ def gate(
     """Rows up to the anchor go on, later ones to quarantine.
 
     Both folders are partitioned by batch and a batch overwrites only its own
-    partition, so a replayed batch leaves each row once.
+    partition, so a replayed batch leaves each row once.  The counts of ``boundary_metrics``
+    are observed as the rows come in; ``gate_metrics`` reads them.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
@@ -136,7 +139,7 @@ def gate(
             batch.unpersist()
 
     q = (
-        df.writeStream.foreachBatch(split)
+        df.observe(GATE, *boundary_metrics(anchor, date)).writeStream.foreachBatch(split)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -145,6 +148,18 @@ def gate(
     return q
 
 
+def gate_metrics(query: StreamingQuery) -> dict[str, object]:
+    """rows, rows_after and latest over all batches that ``query`` remembers (spark.sql.streaming.numRecentProgressUpdates)."""
+    seen = [p.observedMetrics[GATE] for p in query.recentProgress if GATE in p.observedMetrics]
+    # Progress reports carry dates as text.
+    dates = [dt.date.fromisoformat(str(m["latest"])[:10]) for m in seen if m["latest"] is not None]
+    return {
+        "rows": sum(m["rows"] for m in seen),
+        "rows_after": sum(m["rows_after"] for m in seen),
+        "latest": max(dates, default=None),
+    }
+
+
 def score_stream(
     features: DataFrame,
     score: Callable[[DataFrame], DataFrame],
