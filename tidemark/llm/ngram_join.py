@@ -412,8 +412,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
         .groupBy("fp", "fp2")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     )
-    # Keys are dealt out once: the smallest set of a key and the others that have it are looked up there.
-    keys = routed.select("fp", F.explode("keys").alias("key")).repartition("key")
+    # Keys are dealt out once: the smallest set of a key and the others that have it are looked up
+    # there.  The join would ask for keys that are not null below the exchange and so get one of
+    # its own; asked for beforehand, both read the same.
+    keys = routed.select("fp", F.explode("keys").alias("key")).where("key is not null and fp is not null").repartition("key")
     meets = (
         keys.groupBy("key")
         .agg(F.min("fp").alias("anchor"), F.max("fp").alias("last"))
