@@ -302,3 +302,18 @@ def test_the_range_of_all_anchors_reaches_the_scan(at_own, spark, tmp_path):
     own = {(e, a) for e, a in pairs}
     want = sum(e == r.athlete_id and a - dt.timedelta(29) <= r.date <= a for e, a in own for r in raw["daily_activity"].collect())
     assert near.count() == want
+
+
+def test_distinct_entities_of_every_window(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.randrange(40) if r.random() > 0.05 else None, day(r.choice([0, 1, 2, 5, 9, 10, 25, 60])) if r.random() > 0.05 else None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "athlete_id long, date date").repartition(3)
+    got = {(x.day, x.days): (x.exact, x.estimate) for x in WN.distinct_by_window(df, (3, 30)).collect()}
+    known = [(k, d) for k, d in rows if k is not None and d is not None]
+    assert len(got) == 2 * 61
+    for (d, w), (exact, estimate) in got.items():
+        want = len({k for k, x in known if dt.timedelta(0) <= d - x < dt.timedelta(w)})
+        assert exact == want and abs(estimate - want) <= 1
+    assert WN.distinct_by_window(df.where("false")).count() == 0

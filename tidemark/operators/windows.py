@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_anchor, col
+from tidemark.functions import as_anchor, cell, col
 from tidemark.schema import ANCHOR, DATE, KEY
 from tidemark.session import Settled, join_checked, settle
 
@@ -227,3 +227,44 @@ def moments_at_anchors(
             F.max(F.when(here, F.col("high"))).alias(f"max_{s.name}"),
         ]
     return met.withColumns(means).groupBy(key, anchor).agg(*aggs)
+
+
+LG_K = 14  # sketch of 2^14 registers: relative error 0.8 %
+SKETCH_ERROR = 1.04 / 2 ** (LG_K / 2)
+
+
+def distinct_by_window(
+    df: DataFrame, days: tuple[int, ...] = (7, 14, 30), key: str = KEY, date: str = DATE
+) -> DataFrame:
+    """Entities seen in the last ``days`` days of every day of the data, exact and from sketches.
+
+    day, days, exact, estimate.  Exact: an entity seen on a day is in the windows that end on
+    it and the following ones, until it is seen again or the window has passed; so each
+    (entity, day) row adds one and takes one away, and the counts are running sums over days.
+    Estimate: one sketch a day, merged over the window, for tables whose (entity, day) rows
+    are too many or gone.  Rows without entity or day are left out.
+    """
+    one = F.lit(1).cast("long")
+    seen = df.select(cell(key).alias("_k"), col(date).alias("day")).dropna().distinct()
+    ends = seen.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    again = F.lead("day").over(W.partitionBy("_k").orderBy("day"))
+    widths = F.array(*[F.lit(d) for d in days])
+    stays = seen.withColumn("again", again).select("day", "again", F.explode(widths).alias("days"))
+    leaves = F.least(F.coalesce("again", F.date_add("day", F.col("days"))), F.date_add("day", F.col("days")))
+    steps = F.array(F.struct(F.col("day").alias("at"), one.alias("n")), F.struct(leaves.alias("at"), (-one).alias("n")))
+    moves = stays.select("days", F.inline(steps)).groupBy("days", "at").agg(F.sum("n").alias("n"))
+    # From here on a row is a day: their number is that of the calendar, not of the data.
+    calendar = ends.select(F.explode(F.sequence("first", "last")).alias("day")).select("day", F.explode(widths).alias("days"))
+    upto = W.partitionBy("days").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    exact = (
+        calendar.join(moves.withColumnRenamed("at", "day"), ["days", "day"], "left")
+        .select("days", "day", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("long").alias("exact"))
+    )
+    sketches = seen.groupBy("day").agg(F.hll_sketch_agg("_k", LG_K).alias("sketch"))
+    reached = sketches.select("sketch", "day", F.explode(widths).alias("days")).select(
+        "sketch", "days", F.explode(F.sequence("day", F.date_add("day", F.col("days") - 1))).alias("day")
+    )
+    merged = reached.groupBy("days", "day").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return exact.join(merged, ["days", "day"], "left").select(
+        "day", "days", "exact", F.coalesce("estimate", F.lit(0).cast("long")).alias("estimate")
+    )

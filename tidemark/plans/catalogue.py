@@ -183,6 +183,15 @@ def combined_own_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 9, **COARSE)
 
 
+@query
+def distinct_by_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of the last 7, 14 and 30 days on every day, and whether the sketches come within four errors of it."""
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("athlete_id"), F.col("ts").cast("date").alias("date"))
+    out = WN.distinct_by_window(e)
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 4 * WN.SKETCH_ERROR * F.col("exact") + 1
+    return out.select("day", "days", "exact", near.alias("near"))
+
+
 @query
 def empty_input_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """A session table with no row before the anchor: the whole block is zero."""

@@ -870,6 +870,9 @@ Q["observed_boundary"] = " UNION ALL ".join(
     f"""SELECT '{n}' AS "table", count(*) AS rows, count(*) FILTER (CAST({d} AS DATE) > {a}) AS rows_after,
   max(CAST({d} AS DATE)) AS latest FROM {t}"""
     for n, t, d, a in (("events", "events", "ts", ANCHOR), ("orders", "orders", "o_orderdate", ORDERS_ANCHOR), ("stream", "events", "ts", ANCHOR)))
+Q["distinct_by_window"] = f"""WITH {EV}, cal AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS day FROM ev),
+  w AS (SELECT day, d::INT AS days FROM cal, (VALUES (7), (14), (30)) v(d))
+  SELECT day, days, (SELECT count(DISTINCT user_id) FROM ev WHERE date BETWEEN w.day - (w.days - 1) AND w.day) AS exact, true AS near FROM w"""
 Q["board_kpis"] = BOARD_CTES + """ SELECT task, metric, count(*) AS models,
   max(score) AS max_score, min(score) AS min_score FROM board GROUP BY 1, 2"""
 Q["ranked_board"] = BOARD_CTES + """ SELECT *, row_number() OVER (PARTITION BY task ORDER BY
