@@ -61,3 +61,9 @@ def test_rules_and_odd_urls(spark):
         else:
             assert r["verdict"] == ("block" if "casino" in host or path.endswith(".exe") else "allow")
     assert judge_urls(frame.limit(0)).count() == 0
+
+
+def test_large_and_null_ids_stay_as_they_are(spark):
+    ids = [2**60 + 1, None, 2**63 - 1, -5, None]
+    frame = spark.createDataFrame([(i, "x://a.org/", "", "c", "c") for i in ids], SCHEMA).coalesce(1)
+    assert sorted(str(r["page_id"]) for r in rows(judge_urls(frame))) == sorted(map(str, ids))

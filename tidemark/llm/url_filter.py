@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,18 +161,23 @@ def judge_urls(
     verdicts = [v for v, _, _ in ranked] + [v for v, _ in globs]
     glob_names = [g for _, g in globs]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = run_automaton(machine, ("." + pdf["host"] + pdf["path"]).tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = ["." + h + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            got = run_automaton(machine, urls)
             by_rule = got[:, :n].any(axis=1)
             by_glob = got[:, n:].any(axis=1)
             first = np.where(by_rule, got[:, :n].argmax(axis=1) if n else 0, n + (got[:, n:].argmax(axis=1) if globs else 0))
-            pdf["rule"] = [names[f] if r else None for r, f in zip(by_rule, first)]
-            pdf["verdict"] = [verdicts[f] if r or g else default for r, g, f in zip(by_rule, by_glob, first)]
-            pdf["glob"] = [glob_names[f - n] if g and not r else None for r, g, f in zip(by_rule, by_glob, first)]
-            yield pdf
+            made = [
+                [names[f] if r else None for r, f in zip(by_rule, first)],
+                [verdicts[f] if r or g else default for r, g, f in zip(by_rule, by_glob, first)],
+                [glob_names[f - n] if g and not r else None for r, g, f in zip(by_rule, by_glob, first)],
+            ]
+            # Ids, hosts and paths are handed on as they came.
+            columns = [*batch.columns, *[pa.array(m, pa.string()) for m in made]]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict", "glob"])
 
     host, path = url_parts(F.col("url").cast("string"))
-    return pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")).mapInPandas(
+    return pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")).mapInArrow(
         run, "page_id long, host string, path string, rule string, verdict string, glob string"
     )
