@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_group, components, discard, stored, stored_at, text_hash
+from tidemark.llm.common import by_group, components, discard, release, stored, stored_at, text_hash
 from tidemark.llm.tokens import mix, pieces, runs, signed, word_bounds, words
 from tidemark.session import join_checked, settle
 
@@ -396,22 +396,10 @@ def rest_groups(everyone: DataFrame, asking: DataFrame, sizes: DataFrame, shingl
     return index.union(askers_).groupBy("anchor", "block", "fp", "comp").agg(F.max("asks").alias("asks"))
 
 
-def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: bool = False) -> DataFrame:
-    """One row per text: doc_id, n_shingles, component_id (smallest doc_id reachable).
-
-    ``rows`` adds text_hash and part, a number of the component that does not hang on ids:
-    ids that several texts share or that are null tell neither rows nor components apart.
-
-    Texts without words have n_shingles 0 and are alone; null doc_ids stay null and
-    count as larger than any other.
-    """
+def _routed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all texts without their keys, and edges (fp, anchor, shared) between sets that met."""
     routed, routed_at = stored_at(profiles(docs, k, percent), "ngram-routing")
     profile = stored(routed.drop("keys"), "ngram-profile")
-    classes = (
-        profile.where("n_shingles > 0")
-        .groupBy("fp", "fp2")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    )
     # Keys are dealt out once: the smallest set of a key and the others that have it are looked up
     # there.  The join would ask for keys that are not null below the exchange and so get one of
     # its own; asked for beforehand, both read the same.
@@ -430,6 +418,25 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
         "ngram-edges",
     )
     discard(docs.sparkSession, routed_at)  # most keys belong to one set only
+    return profile, edges
+
+
+def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: bool = False) -> DataFrame:
+    """One row per text: doc_id, n_shingles, component_id (smallest doc_id reachable).
+
+    ``rows`` adds text_hash and part, a number of the component that does not hang on ids:
+    ids that several texts share or that are null tell neither rows nor components apart.
+
+    Texts without words have n_shingles 0 and are alone; null doc_ids stay null and
+    count as larger than any other.
+    """
+    profile, edges = _routed(docs, k, percent)
+    release(docs.sparkSession)  # of the keys' exchange, the largest of all
+    classes = (
+        profile.where("n_shingles > 0")
+        .groupBy("fp", "fp2")
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    )
     nodes = edges.select("fp").union(edges.select("anchor")).distinct()
     needed = stored(classes.join(nodes, "fp").select("fp", "rep", "n_shingles"), "ngram-nodes")
     wanted = needed.select(F.col("rep").alias("doc_id"), "fp")
@@ -483,12 +490,14 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
     labels = components(links)
 
     # Then with every other anchor it met.
+    release(docs.sparkSession)
     open_ = opened()
     members = dealt(open_.select("anchor", "fp"), _blocks(open_, sizes, REST_SHINGLES))
     links = links.union(stored(_links(with_heads(members), texts, k, percent, "anchor"), "ngram-links"))
     labels = components(links)
 
     # What no anchor bridges is searched against whole clusters.
+    release(docs.sparkSession)
     open_ = opened()
     if open_.limit(1).count():
         clusters = open_.select("anchor").distinct()
