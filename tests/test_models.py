@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators import explain as X
@@ -294,3 +295,19 @@ def test_whole_job_from_csv_files(spark, tmp_path):
     wide = spark.read.parquet(str(tmp_path / "out" / "features"))
     assert wide.count() == 40 and len(wide.columns) == 73
     assert {r[0] for r in wide.select("obs_window_end").distinct().collect()} == {dt.date(2026, 2, 3)}
+
+
+def test_models_score_after_the_session_observed_a_plan(spark, toy):
+    """A training summary holds the session, which no task can be sent after an observation."""
+    seen = Observation()
+    toy.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 120
+    prep = P.build_prep(toy, P.fit_stats(toy, COLS)[P.WHOLE], True)
+    rows = prep.transform(toy).withColumn(M.LABEL, F.col("injured_in_risk_window").cast("double"))
+    small = M.classifiers(overrides={"RandomForest": {"numTrees": 3}})
+    for c in (c for c in small if c.name != "GBT"):
+        fitted = c.make({"n": 120}).setLabelCol(M.LABEL).fit(rows)
+        kept = M.without_summary(fitted)
+        assert kept.uid == fitted.uid and not kept.hasSummary
+        assert kept.transform(rows).select("probability").count() == 120
+        assert all(0 <= r[0] <= 1 for r in kept.transform(rows).select(vector_to_array("probability")[1]).collect())

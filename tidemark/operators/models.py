@@ -40,7 +40,7 @@ from tidemark.operators.prep import (
 )
 from tidemark.operators.score import fold_mean
 from tidemark.schema import KEY
-from tidemark.session import durable
+from tidemark.session import durable, scratch_path
 
 FEATURES = "features"
 LABEL = "_y"
@@ -130,6 +130,19 @@ def platt_rows(scored: DataFrame, margin: str, positives: int, negatives: int) -
     return scored.select(margin, F.inline(sides))
 
 
+def without_summary(model: Any) -> Any:
+    """The model as it comes back from storage: without the summary of its training.
+
+    Some summaries hold the session, which cannot be sent to tasks once it has observed a
+    plan, and a model that scores is sent with all it holds.
+    """
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(SparkSession.getActiveSession(), "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def fit_calibrated(
     train: DataFrame, candidate: Candidate, seed: int = 42
 ) -> tuple[list[Any], list[str]]:
