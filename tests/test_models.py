@@ -311,3 +311,12 @@ def test_models_score_after_the_session_observed_a_plan(spark, toy):
         assert kept.uid == fitted.uid and not kept.hasSummary
         assert kept.transform(rows).select("probability").count() == 120
         assert all(0 <= r[0] <= 1 for r in kept.transform(rows).select(vector_to_array("probability")[1]).collect())
+
+
+def test_calibrated_members_score_after_the_session_observed_a_plan(spark, toy):
+    seen = Observation()
+    toy.observe(seen, F.count("*").alias("n")).collect()
+    small = M.classifiers(overrides={"LogisticRegression": {"maxIter": 10}})[-1:]
+    out = M.train_classification(toy, COLS, "injured_in_risk_window", small, k=2)
+    assert out.oof.where("prob between 0 and 1").count() == 120
+    assert not any(getattr(s, "hasSummary", False) for m in out.models["LogisticRegression"] for s in m.stages)

@@ -167,7 +167,7 @@ def fit_calibrated(
         est = candidate.make({"n": pos + neg})
         est = est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(f"_pred{i}")
         est = est.setRawPredictionCol(raw).setProbabilityCol(prob)
-        base = est.fit(train.where(F.col("_inner") != i))
+        base = without_summary(est.fit(train.where(F.col("_inner") != i)))
         source = raw if candidate.margin == "raw" else prob
         cut = VectorSlicer(inputCol=source, outputCol=slot, indices=[1])
         scored = cut.transform(base.transform(train.where(F.col("_inner") == i)))
@@ -176,7 +176,7 @@ def fit_calibrated(
             rawPredictionCol=f"_pr{i}", probabilityCol=out, regParam=0.0, maxIter=100, tol=1e-9,
             standardization=True,
         ).fit(platt_rows(scored, slot, *held))
-        stages += [base, cut, platt]
+        stages += [base, cut, without_summary(platt)]
         outs.append(out)
     return stages, outs
 
