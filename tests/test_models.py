@@ -320,3 +320,23 @@ def test_calibrated_members_score_after_the_session_observed_a_plan(spark, toy):
     out = M.train_classification(toy, COLS, "injured_in_risk_window", small, k=2)
     assert out.oof.where("prob between 0 and 1").count() == 120
     assert not any(getattr(s, "hasSummary", False) for m in out.models["LogisticRegression"] for s in m.stages)
+
+
+def test_shapley_deals_entities_once(spark, toy, capsys):
+    """Steps, sets and scores of an entity stay where the entity is: nothing but entities is shuffled."""
+    part = toy.select("athlete_id", "a", "b", "team")
+    got = X.sampled_shapley(part, ["a", "b", "team"], {"a": 0.0}, lambda d: d.withColumn("prob", F.col("b") + F.length("team")), samples=8)
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_shapley_of_more_features_than_a_word_has_bits(spark):
+    names = [f"x{i}" for i in range(2 * X.WORD + 5)]
+    df = spark.createDataFrame([(1, *map(float, range(len(names))))], "athlete_id long, " + ", ".join(f"{c} double" for c in names))
+    weights = [1.0 + i % 7 for i in range(len(names))]
+    score = lambda d: d.withColumn("prob", sum((F.col(c) * w for c, w in zip(names, weights)), F.lit(0.0)))
+    got = X.sampled_shapley(df, names, dict.fromkeys(names, 0.0), score, samples=2).collect()
+    want = {c: i * w for i, (c, w) in enumerate(zip(names, weights))}
+    assert {r.feature: r.contribution for r in got} == pytest.approx(want, abs=1e-6)

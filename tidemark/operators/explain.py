@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from tidemark.functions import cell
 from tidemark.schema import KEY
 
+PART_STEPS = 100_000
+WORD = 60  # features in a long of bits
+
 
 def linear_attribution(
     features: DataFrame,
@@ -56,6 +59,13 @@ def global_attribution(attributions: DataFrame, k: int = 20) -> DataFrame:
     return means.orderBy(F.desc("mean_abs"), F.asc("feature")).limit(k)
 
 
+def _bits(numbers: str, word: int) -> Column:
+    """The numbers from ``word * WORD`` to the next word's first, as bits of a long."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x - word * WORD).cast("int"))
+    own = F.filter(numbers, lambda x: (x >= word * WORD) & (x < (word + 1) * WORD))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
+
+
 def sampled_shapley(
     features: DataFrame,
     columns: list[str],
@@ -75,12 +85,17 @@ def sampled_shapley(
     counts for the feature that just entered and against the one entering next, so the sum
     per feature needs no ordering of rows.  Contributions of one entity add up to its score
     minus the background's; ``std_error`` is that of the mean over pairs.
+
+    Entities are dealt once, in parts of about ``PART_STEPS`` steps: sets, scores and sums of
+    an entity all stay in its part, so only the entities themselves are shuffled.
     """
     m, pairs = len(columns), -(-samples // 2)
     types = {f.name: f.dataType for f in features.schema}
+    parts = max(-(-features.count() * 2 * pairs * (m + 1) // PART_STEPS), features.sparkSession.sparkContext.defaultParallelism)
+    features = features.select(key, *[cell(c).alias(f"_f{i}") for i, c in enumerate(columns)]).repartition(parts, key)
     drawn = F.transform(
         F.array_sort(
-            F.array(*[F.struct(F.xxhash64(cell(key), F.col("_s"), F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(m)])
+            F.array(*[F.struct(F.xxhash64(cell(key), F.col("_s"), F.lit(i)).alias("h"), F.lit(i).cast("short").alias("i")) for i in range(m)])
         ),
         lambda e: e["i"],
     )
@@ -93,37 +108,44 @@ def sampled_shapley(
         .select(key, "_s", F.col("_w.t").alias("_t"), F.col("_w.o").alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_j"))
         .withColumn("_set", F.array_sort(F.slice("_order", F.lit(1), F.col("_j"))))
     )
-    held = features.select(key, *[cell(c).alias(f"_f{i}") for i, c in enumerate(columns)])
-    sets = steps.select(key, "_set").distinct().join(held, key)
+    # What a step's score counts for: the feature that just entered and the one entering next.
+    credit = F.struct(
+        F.col("_s").alias("s"),
+        F.when(F.col("_j") > 0, F.try_element_at("_order", F.col("_j"))).alias("last"),
+        F.when(F.col("_j") < m, F.try_element_at("_order", F.col("_j") + 1)).alias("next"),
+    )
+    sets = (
+        steps.groupBy(key, "_set")
+        .agg(F.collect_list(credit).alias("_credits"))  # as many as the entity's walks at most
+        .join(features.hint("shuffle_hash"), key)
+        # The set once more as bits, so that a feature is looked up in one step.
+        .select("*", *[_bits("_set", w).alias(f"_bits{w}") for w in range(-(-m // WORD))])
+    )
 
     def shown_value(i: int, c: str) -> Column:
         base = F.lit(background.get(c)).cast(types[c])
         own = F.col(f"_f{i}")
         # A missing number is imputed and so shows the background; a missing text is a level of its own.
         own = F.coalesce(own, base) if isinstance(types[c], T.NumericType) else own
-        return F.when(F.array_contains("_set", F.lit(i)), own).otherwise(base)
+        return F.when(F.col(f"_bits{i // WORD}").bitwiseAND(F.lit(1 << i % WORD).cast("long")) != 0, own).otherwise(base)
 
     mixed = {c: shown_value(i, c) for i, c in enumerate(columns)}
-    shown = sets.select(key, "_set", *[v.alias(c) for c, v in mixed.items()])
-    scored = score(shown).select(key, "_set", cell(prob).alias("_p"))
-    p = F.col("_p")
-    credit = F.array_compact(
-        F.array(
-            F.when(
-                F.col("_j") > 0,
-                F.struct(F.try_element_at("_order", F.col("_j")).alias("i"), p.alias("v")),
-            ),
-            F.when(
-                F.col("_j") < m,
-                F.struct(F.try_element_at("_order", F.col("_j") + 1).alias("i"), (-p).alias("v")),
-            ),
-        )
+    shown = sets.select(key, "_credits", *[v.alias(c) for c, v in mixed.items()])
+    scored = score(shown).select(key, "_credits", cell(prob).alias("_p"))
+    credits = scored.select(key, "_p", F.inline("_credits")).select(
+        key, F.col("s").alias("_s"),
+        F.inline(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("last").isNotNull(), F.struct(F.col("last").alias("i"), F.col("_p").alias("v"))),
+                    F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("i"), (-F.col("_p")).alias("v"))),
+                )
+            )
+        ),
     )
     names = F.array(*[F.lit(c) for c in columns])
     return (
-        steps.join(scored, [key, "_set"])
-        .select(key, "_s", F.inline(credit))
-        .groupBy(key, "i", "_s")
+        credits.groupBy(key, "i", "_s")
         .agg((F.sum("v") / 2).alias("v"))
         .groupBy(key, "i")
         .agg(F.avg("v").alias("contribution"), (F.stddev_samp("v") / F.sqrt(F.lit(float(pairs)))).alias("std_error"))
