@@ -340,3 +340,11 @@ def test_shapley_of_more_features_than_a_word_has_bits(spark):
     got = X.sampled_shapley(df, names, dict.fromkeys(names, 0.0), score, samples=2).collect()
     want = {c: i * w for i, (c, w) in enumerate(zip(names, weights))}
     assert {r.feature: r.contribution for r in got} == pytest.approx(want, abs=1e-6)
+
+
+def test_calibration_without_a_class_is_refused_before_any_fit(spark):
+    """One positive for three inner folds: the first member would learn from negatives alone."""
+    rows = [(i, float(i % 4), int(i == 2)) for i in range(15)]
+    df = spark.createDataFrame(rows, "athlete_id long, a double, injured_in_risk_window int")
+    with pytest.raises(ValueError, match="3 groups of each class"):
+        M.calibration_report(df, ["a"], "injured_in_risk_window", M.classifiers()[-1])

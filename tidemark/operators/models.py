@@ -156,13 +156,14 @@ def fit_calibrated(
         (r["_inner"], int(r[LABEL])): r["n"]
         for r in train.groupBy("_inner", LABEL).agg(F.count("*").alias("n")).collect()
     }
+    # Looked at before any fit: without a class the margins are infinite.
+    if not all(counts.get((i, y)) for i in range(INNER_FOLDS) for y in (0, 1)):
+        raise ValueError(f"calibration needs {INNER_FOLDS} groups of each class on every training side")
     stages, outs = [], []
     for i in range(INNER_FOLDS):
         pos = sum(n for (f, y), n in counts.items() if f != i and y == 1)
         neg = sum(n for (f, y), n in counts.items() if f != i and y == 0)
         held = counts.get((i, 1), 0), counts.get((i, 0), 0)
-        if not all(held):
-            raise ValueError(f"calibration needs {INNER_FOLDS} groups of each class on every training side")
         raw, prob, slot, out = f"_raw{i}", f"_prob{i}", f"_m{i}", f"_cal{i}"
         est = candidate.make({"n": pos + neg})
         est = est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(f"_pred{i}")
