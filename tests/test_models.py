@@ -307,7 +307,7 @@ def test_models_score_after_the_session_observed_a_plan(spark, toy):
     small = M.classifiers(overrides={"RandomForest": {"numTrees": 3}})
     for c in (c for c in small if c.name != "GBT"):
         fitted = c.make({"n": 120}).setLabelCol(M.LABEL).fit(rows)
-        kept = M.without_summary(fitted)
+        kept = M.without_summary(spark, fitted)
         assert kept.uid == fitted.uid and not kept.hasSummary
         assert kept.transform(rows).select("probability").count() == 120
         assert all(0 <= r[0] <= 1 for r in kept.transform(rows).select(vector_to_array("probability")[1]).collect())

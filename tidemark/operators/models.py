@@ -130,7 +130,7 @@ def platt_rows(scored: DataFrame, margin: str, positives: int, negatives: int) -
     return scored.select(margin, F.inline(sides))
 
 
-def without_summary(model: Any) -> Any:
+def without_summary(spark: SparkSession, model: Any) -> Any:
     """The model as it comes back from storage: without the summary of its training.
 
     Some summaries hold the session, which cannot be sent to tasks once it has observed a
@@ -138,7 +138,7 @@ def without_summary(model: Any) -> Any:
     """
     if not getattr(model, "hasSummary", False):
         return model
-    path = scratch_path(SparkSession.getActiveSession(), "model")
+    path = scratch_path(spark, "model")
     model.write().save(path)
     return type(model).load(path)
 
@@ -168,7 +168,7 @@ def fit_calibrated(
         est = candidate.make({"n": pos + neg})
         est = est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(f"_pred{i}")
         est = est.setRawPredictionCol(raw).setProbabilityCol(prob)
-        base = without_summary(est.fit(train.where(F.col("_inner") != i)))
+        base = without_summary(train.sparkSession, est.fit(train.where(F.col("_inner") != i)))
         source = raw if candidate.margin == "raw" else prob
         cut = VectorSlicer(inputCol=source, outputCol=slot, indices=[1])
         scored = cut.transform(base.transform(train.where(F.col("_inner") == i)))
@@ -177,7 +177,7 @@ def fit_calibrated(
             rawPredictionCol=f"_pr{i}", probabilityCol=out, regParam=0.0, maxIter=100, tol=1e-9,
             standardization=True,
         ).fit(platt_rows(scored, slot, *held))
-        stages += [base, cut, without_summary(platt)]
+        stages += [base, cut, without_summary(train.sparkSession, platt)]
         outs.append(out)
     return stages, outs
 
