@@ -110,3 +110,42 @@ def test_align_along_a_chain():
 def test_empty(spark):
     assert P.repeated_passages(docs(spark, [])).count() == 0
     assert P.repeated_passages(docs(spark, ODD)).count() == 0
+
+
+def test_seeds_of_a_passage_have_different_homes(spark):
+    passage, row = words(60, 31), words(70, 32)
+    table = [
+        (1, " ".join(words(30, 41) + passage[:45] + words(30, 42))),
+        (2, " ".join(words(30, 43) + passage[15:] + words(30, 44))),
+        (3, " ".join(words(20, 45) + passage + words(20, 46))),
+        (4, " ".join(words(25, 47) + passage + words(35, 48))),
+        # the home has parts of the passage before the whole of it
+        (5, " ".join(words(9, 49) + row[40:] + words(9, 50) + row[:40] + words(30, 51) + row)),
+        (6, " ".join(words(12, 52) + row + words(12, 53))),
+    ]
+    got = rows(P.repeated_passages(docs(spark, table, clash=True)), "doc_id", "start")
+    met = {(r["doc_id"], r["home_id"]): r for r in got if r["end"] - r["start"] >= 60}
+    assert {(r["doc_id"], r["home_id"]) for r in got} == {(4, 3), (6, 5)}
+    r = met[4, 3]
+    assert (r["start"], r["end"], r["home_start"], r["home_end"], r["same"]) == (25, 85, 20, 80, 1.0)
+    assert any(r["doc_id"] == 6 and (r["start"], r["end"]) == (12, 82) for r in got)
+
+
+def test_ends_do_not_take_a_passage_below_the_limit():
+    a = np.arange(120)
+    b = a.copy()
+    b[[x for x in range(120) if not 35 <= x < 85 and x % 9 in (1, 3, 5, 7)]] = 500  # five of nine are equal
+    x = np.arange(35, 78, 6)
+    i, j, p, q, same = P._passage(a, b, x, x, P.MIN_WORDS, P.MIN_SAME)
+    assert i <= 35 and j >= 85 and (i, j) == (p, q) and same >= P.MIN_SAME
+
+
+def test_seeds_of_many_texts_at_once():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes = [r.choice([0, 3, 8, 9, 19, 20, 21, 40, 100]) for _ in range(r.randint(1, 6))] + [8]
+        h = np.array([r.randrange(r.choice([2, 2**63])) for _ in range(sum(sizes))], np.uint64)
+        at = np.cumsum([0, *sizes])
+        want = [int(a + p) for a, n in zip(at, sizes) if n >= P.K for p in P.winnow(h[a : a + n])]
+        begin, end = at[:-1], np.maximum(at[:-1], at[1:] - P.K + 1)
+        assert P.winnow_all(P.runs(h, P.K), begin, end).tolist() == want
