@@ -149,3 +149,33 @@ def test_seeds_of_many_texts_at_once():
         want = [int(a + p) for a, n in zip(at, sizes) if n >= P.K for p in P.winnow(h[a : a + n])]
         begin, end = at[:-1], np.maximum(at[:-1], at[1:] - P.K + 1)
         assert P.winnow_all(P.runs(h, P.K), begin, end).tolist() == want
+
+
+def test_lone_seeds_align_as_chains_of_one():
+    r = random.Random(6)
+    flat = np.array([r.randrange(4) for _ in range(4000)], np.uint32)
+    x, y = np.array([r.randrange(10, 1900) for _ in range(300)]), np.array([r.randrange(2010, 3900) for _ in range(300)])
+    for a, b in zip(x.tolist(), y.tolist()):
+        flat[b - 26 : b + 34] = np.where(np.array([r.random() < 0.85 for _ in range(60)]), flat[max(a - 26, 0) : max(a - 26, 0) + 60], 9)
+        flat[b : b + P.K] = flat[a : a + P.K]
+    x0, x1 = np.maximum(x - r.randrange(30), 0), x + P.K + np.array([r.randrange(10, 40) for _ in x])
+    y0, y1 = y - np.array([r.randrange(10, 40) for _ in y]), y + P.K + 30
+    good, found = P._lone_passages(flat, x, x0, x1, y, y0, y1, 40, 0.8)
+    want = []
+    for i in range(len(x)):
+        lo, hi = max(x0[i], x[i] - P.REACH), min(x1[i], x[i] + P.K + P.REACH)
+        low, high = max(y0[i], y[i] - P.REACH), min(y1[i], y[i] + P.K + P.REACH)
+        got = P._passage(flat[lo:hi], flat[low:high], x[i : i + 1] - lo, y[i : i + 1] - low, 40, 0.8)
+        assert good[i] == (got is not None)
+        if got:
+            want.append((got[0] + lo, got[1] + lo, got[2] + low, got[3] + low, got[4]))
+    assert want and [tuple(r) for r in zip(*(c.tolist() for c in found))] == want
+
+
+def test_needed_runs_cover_the_same_words():
+    r = random.Random(7)
+    for _ in range(300):
+        runs = sorted(((r.randrange(3), r.randrange(2), a := r.randrange(60), a + r.randrange(5, 20)) for _ in range(r.randint(1, 25))), key=lambda v: (*v[:3], -v[3]))
+        kept = P.needed_runs(*(np.array(c) for c in zip(*runs)))
+        covers = [{(d, h, w) for d, h, a, b in some for w in range(a, b)} for some in (runs, [runs[i] for i in kept])]
+        assert covers[0] == covers[1] and len(set(kept)) == len(kept)

@@ -14,8 +14,8 @@
    and aligned in the band that the chain's seeds span; a passage is kept when at least ``MIN_WORDS`` words on both sides
    align with at least ``MIN_SAME`` of them equal.
 5. *Other holders.*  Neighbouring seeds of a passage may have different homes, each with less
-   than a passage of it.  Seeds that no sure chain with their home covers are looked at again in
-   all texts that have them: there every run of ``min_words`` words is a key of its own, and meets
+   than a passage of it.  Seeds whose home has no passage that covers what is shared around them
+   are looked at again in all texts that have them: there every run of ``min_words`` words is a key of its own, and meets
    at the first text that has all of it.  So of texts that share a run of ``min_words`` words
    each is linked with another, whatever homes its seeds have.
 
@@ -343,19 +343,75 @@ def _passage(
     return None
 
 
-CHAINS = "doc_id long, home_id long, x0 long, x1 long, y0 long, y1 long, points binary, open array<long>"
+def _lone_passages(
+    flat: np.ndarray, x: np.ndarray, x0: np.ndarray, x1: np.ndarray, y: np.ndarray, y0: np.ndarray, y1: np.ndarray,
+    min_words: int, min_same: float,
+) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """``_passage`` of many chains of one seed: which are one, and (begin, end, begin, end, same) of these.
+
+    Seeds lie at ``x`` and ``y`` of ``flat``, among the words x0 to x1 and y0 to y1 there.
+    """
+    steps = np.arange(REACH)
+
+    def equal(a: np.ndarray, b: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """1, 0 for equal and other words, -1 beyond the end of either side."""
+        same = flat[np.where(inside, a, 0)] == flat[np.where(inside, b, 0)]
+        return np.where(inside, same.astype(np.int64), -1)
+
+    core = (flat[np.minimum(x[:, None] + np.arange(K), len(flat) - 1)] == flat[np.minimum(y[:, None] + np.arange(K), len(flat) - 1)]).sum(axis=1)
+    room = np.minimum(x1 - x, y1 - y) - K, np.minimum(x - x0, y - y0)
+    fits = (room[0] >= 0) & (room[1] >= 0)
+    ahead = equal(x[:, None] + K + steps, y[:, None] + K + steps, steps < room[0][:, None])
+    back = equal(x[:, None] - 1 - steps, y[:, None] - 1 - steps, steps < room[1][:, None])
+
+    def on(ends: np.ndarray, loss: int) -> tuple[np.ndarray, np.ndarray]:
+        gain = np.cumsum(np.where(ends == 1, 1, np.where(ends == 0, -loss, -(10**6))), axis=1)
+        best = gain.argmax(axis=1)
+        rows = np.arange(len(ends))
+        some = gain[rows, best] > 0
+        hits = np.cumsum(ends == 1, axis=1)[rows, best]
+        return np.where(some, best + 1, 0), np.where(some, hits, 0)
+
+    good = np.zeros(len(x), bool)
+    longer, shorter, same = (np.zeros(len(x), np.int64) for _ in range(3))
+    for loss in (1, max(1, round(min_same / max(1e-9, 1 - min_same)))):
+        (more, hits), (less, before) = on(ahead, loss), on(back, loss)
+        total, kept = K + more + less, core + hits + before
+        new = ~good & fits & (total >= min_words) & (kept >= min_same * total)
+        longer[new], shorter[new], same[new] = more[new], less[new], kept[new]
+        good |= new
+    x, y, longer, shorter, same = (c[good] for c in (x, y, longer, shorter, same))
+    return good, (x - shorter, x + K + longer, y - shorter, y + K + longer, same / (K + longer + shorter))
+
+
+CHAINS = "doc_id long, home_id long, x0 long, x1 long, y0 long, y1 long, low long, points binary, seed long"
 
 
 def _chain_row(doc: int, home: int, xs: np.ndarray, ys: np.ndarray) -> tuple:
     ends = max(0, int(xs[0]) - REACH), int(xs[-1]) + K + REACH, max(0, int(ys[0]) - REACH), int(ys[-1]) + K + REACH
-    return doc, home, *ends, np.concatenate([xs, ys]).astype(np.int32).tobytes(), None
+    return doc, home, *ends, int(xs[0]), np.concatenate([xs, ys]).astype(np.int32).tobytes(), None
 
 
 def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 6 + [pa.binary(), pa.list_(pa.int64())]
-    columns = list(zip(*rows)) or [()] * len(types)
+    return _chain_arrays(*(list(zip(*rows)) or [()] * 9))
+
+
+def _chain_arrays(*columns: object) -> pa.RecordBatch:
+    """Rows of ``CHAINS`` from its columns; None is a column of nulls."""
+    types = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
     names = [x.strip().split(" ")[0] for x in CHAINS.split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    n = len(columns[0])
+    made = [c if isinstance(c, pa.Array) else pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)]
+    return pa.RecordBatch.from_arrays(made, names=names)
+
+
+def _lone_chains(doc: np.ndarray, home: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """``_chain_row`` of many chains of one seed each."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    both = np.stack([x, y], axis=1).astype(np.int32)
+    cuts = np.arange(len(x) + 1, dtype=np.int32) * 8
+    points = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(cuts), pa.py_buffer(both.ravel())])
+    return _chain_arrays(doc, home, np.maximum(x - REACH, 0), x + K + REACH, np.maximum(y - REACH, 0), y + K + REACH, x, points, None)
 
 
 def _straight(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]] | None:
@@ -373,10 +429,11 @@ def _sure(x: np.ndarray, min_words: int, min_same: float) -> bool:
 
 
 def _chained(met: DataFrame, min_words: int, min_same: float) -> DataFrame:
-    """Chains of every text with each of its homes, and the seeds of a text that are ``open``.
+    """Chains of every text with each of its homes, and rows (doc_id, home_id, x0, x1, seed) of open seeds.
 
-    Open are those that no sure chain covers, in a stretch of shared seeds that may be a
-    passage: seeds of a text are at most ``WINDOW`` apart, and all seeds of a passage are shared.
+    Open are those in a stretch of shared seeds that may be a passage (seeds of a text are at most
+    ``WINDOW`` apart, and all seeds of a passage are shared), unless a sure chain covers the words
+    x0 to x1: what may be in one run of ``min_words`` words with the seed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,18 +444,25 @@ def _chained(met: DataFrame, min_words: int, min_same: float) -> DataFrame:
             # a place has one seed, unless the id is on several texts
             keep = new | np.append(True, at[1:] != at[:-1])
             doc, home, at, there, seed, new = (c[keep] for c in (doc, home, at, there, seed, new))
-            sure = doc == home
-            cuts = [*np.flatnonzero(new).tolist(), len(doc)]
-            for a, b in zip(cuts, cuts[1:]):
-                if sure[a]:
-                    continue
+            own = doc == home
+            # words that a sure chain of the row covers
+            lows, highs = np.where(own, 0, 2**31), np.where(own, 2**31, 0)
+            starts = np.flatnonzero(new)
+            size = np.diff(np.append(starts, len(doc)))
+            lone = starts[(size == 1) & ~own[starts] & (K + 2 * REACH >= min_words)]
+            if len(lone):
+                yield _lone_chains(doc[lone], home[lone], at[lone], there[lone])
+            more = (size > 1) & ~own[starts]
+            for a, b in zip(starts[more].tolist(), (starts + size)[more].tolist()):
                 x, y = at[a:b].astype(np.int64), there[a:b].astype(np.int64)
                 d, h = int(doc[a]), int(home[a])
                 found = _straight(x, y)
                 if found is not None:
                     for i, j in found:
-                        out.append(_chain_row(d, h, x[i:j], y[i:j]))
-                        sure[a + i : a + j] = _sure(x[i:j], min_words, min_same)
+                        if int(x[j - 1] - x[i]) + K + 2 * REACH >= min_words:
+                            out.append(_chain_row(d, h, x[i:j], y[i:j]))
+                        if _sure(x[i:j], min_words, min_same):
+                            lows[a + i : a + j], highs[a + i : a + j] = x[i], x[j - 1] + K
                     continue
                 xl, yl = x.tolist(), y.tolist()
                 for c in [piece for whole in chains(xl, yl) for piece in cut_wide(whole, xl, yl)]:
@@ -406,9 +470,11 @@ def _chained(met: DataFrame, min_words: int, min_same: float) -> DataFrame:
                     if min(xs[-1] - xs[0], ys[-1] - ys[0]) + K + 2 * REACH < min_words:
                         continue
                     out.append(_chain_row(d, h, xs, ys))
-                    if len(c) > 1 and (xs - ys == xs[0] - ys[0]).all():
-                        sure[a + np.array(c)] = _sure(xs, min_words, min_same)
-            out.extend(open_seeds(doc, at, seed, ~sure, min_words))
+                    if (xs - ys == xs[0] - ys[0]).all() and _sure(xs, min_words, min_same):
+                        lows[a + np.array(c)], highs[a + np.array(c)] = xs[0], xs[-1] + K
+            left, low, high = open_seeds(doc, at, lows, highs, min_words)
+            if len(left):
+                yield _chain_arrays(doc[left], home[left], low, high, None, None, at[left].astype(np.int64), None, seed[left])
             if len(out) > 5000:
                 yield _chain_batch(out)
                 out = []
@@ -430,20 +496,20 @@ def stretches(doc: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarr
     return first[fits], last[fits]
 
 
-def open_seeds(doc: np.ndarray, at: np.ndarray, seed: np.ndarray, left: np.ndarray, min_words: int) -> list[tuple]:
-    """One row (…, open) per text with those of its seeds that are ``left`` and in a stretch."""
-    if not left.any():
-        return []
-    some = np.isin(doc, doc[left])
-    doc, at, seed, left = (c[some] for c in (doc, at, seed, left))
+def open_seeds(
+    doc: np.ndarray, at: np.ndarray, lows: np.ndarray, highs: np.ndarray, min_words: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of seeds in a stretch, and the words of it around each, where ``lows`` to ``highs`` lack some of these."""
     order = np.lexsort((at, doc))
-    doc, at, seed, left = (c[order] for c in (doc, at, seed, left))
-    out = []
-    for a, b in zip(*stretches(doc, at, min_words)):
-        open_ = np.unique(seed[a : b + 1][left[a : b + 1]])
-        if len(open_):
-            out.append((int(doc[a]), None, None, None, None, None, None, open_.tolist()))
-    return out
+    first, last = stretches(doc[order], at[order], min_words)
+    n = last - first + 1
+    rows = order[np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    place = at[rows].astype(np.int64)
+    around = max(0, min_words - K)
+    low = np.maximum(np.repeat(at[order][first], n), place - around)
+    high = np.minimum(np.repeat(at[order][last], n) + K, place + K + around)
+    left = (lows[rows] > low) | (highs[rows] < high)
+    return rows[left], low[left], high[left]
 
 
 def _aligned(found: DataFrame, table: DataFrame, min_words: int, min_same: float) -> DataFrame:
@@ -485,10 +551,29 @@ def _aligned(found: DataFrame, table: DataFrame, min_words: int, min_same: float
             data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             cuts = [*np.flatnonzero(np.append(True, chain[1:] != chain[:-1])).tolist(), len(chain)]
             other = np.searchsorted(sides + 2 * np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), 2 * np.arange(len(cuts) - 1) + 1)
+            begin, middle, end = np.array(cuts[:-1]), other, np.array(cuts[1:])
+            whole = (middle > begin) & (middle < end)
+            begin, middle, end = begin[whole], middle[whole], end[whole]
+            _, point_offsets, point_data = points.buffers()
+            point_offsets = np.frombuffer(point_offsets, np.int32)[points.offset : points.offset + len(points) + 1]
+            # of a block that is there twice the longest counts: those chains are looked at one by one
+            again = np.append(False, (chain[1:] == chain[:-1]) & (sides[1:] == sides[:-1]) & (block[1:] == block[:-1]))
+            twice = np.cumsum(again)
+            lone = (point_offsets[begin + 1] - point_offsets[begin] == 8) & (twice[end - 1] == twice[begin])
             out = []
-            for a, m, b in zip(cuts, other.tolist(), cuts[1:]):
-                if m == a or m == b:
-                    continue
+            if lone.any():
+                a, m, b = begin[lone], middle[lone], end[lone]
+                pairs = np.frombuffer(point_data, np.int32).astype(np.int64)
+                x, y = pairs[point_offsets[a] // 4], pairs[point_offsets[a] // 4 + 1]
+                word, flat = offsets // 4, data[: int(offsets[-1])].view(np.uint32)
+                hx, hy = word[a] - block[a].astype(np.int64) * BLOCK, word[m] - block[m].astype(np.int64) * BLOCK
+                good, found_ = _lone_passages(flat, hx + x, word[a], word[m], hy + y, word[m], word[b], min_words, min_same)
+                i, j, p, q, same = found_
+                a, m, hx, hy = a[good], m[good], hx[good], hy[good]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip([doc[a], i - hx, j - hx, doc[m], p - hy, q - hy, same], types)], names=names
+                )
+            for a, m, b in zip(begin[~lone].tolist(), middle[~lone].tolist(), end[~lone].tolist()):
                 xy = np.frombuffer(points[a].as_py(), np.int32).astype(np.int64)
                 xs, ys = xy[: len(xy) // 2], xy[len(xy) // 2 :]
                 here, a0 = side(block, offsets, data, a, m)
@@ -570,6 +655,31 @@ def _long_runs(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text", "lows", "highs").mapInArrow(run, "seed long, doc_id long, at int")
 
 
+def needed_runs(doc: np.ndarray, home: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[int]:
+    """Those of the ranges that cover all words of a text that a home's ranges cover: others lie in these.
+
+    Ranges come by text, home and beginning.  A text that repeats itself has a range for each
+    of its repeats, most of them within the others.
+    """
+    out: list[int] = []
+    own: tuple | None = None
+    covered, reach, best = 0, 0, -1  # up to where it is covered, and the range that goes on farthest
+    for i, (d, h, a, b) in enumerate(zip(doc.tolist(), home.tolist(), low.tolist(), high.tolist())):
+        if (d, h) != own or a > covered:
+            if best >= 0:
+                out.append(best)
+                covered, best = reach, -1
+            if (d, h) != own or a > covered:
+                own, covered, reach = (d, h), b, b
+                out.append(i)
+                continue
+        if b > max(reach, covered):
+            reach, best = b, i
+    if best >= 0:
+        out.append(best)
+    return out
+
+
 def _run_chains(met: DataFrame, min_words: int) -> DataFrame:
     """Chains of long runs that follow each other in a text and its home."""
 
@@ -580,8 +690,12 @@ def _run_chains(met: DataFrame, min_words: int) -> DataFrame:
             order = np.lexsort((at, at - there, home, doc))
             doc, home, at, there = (c[order] for c in (doc, home, at, there))
             new = np.append(True, (np.diff(doc) != 0) | (np.diff(home) != 0) | (np.diff(at - there) != 0) | (np.diff(at) > 1))
-            cuts = [*np.flatnonzero(new).tolist(), len(doc)]
-            for a, b in zip(cuts, cuts[1:]):
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(doc))
+            order = np.lexsort((-at[ends - 1], at[starts], home[starts], doc[starts]))
+            starts, ends = starts[order], ends[order]
+            kept = needed_runs(doc[starts], home[starts], at[starts], at[ends - 1] + min_words)
+            for a, b in zip(starts[kept].tolist(), ends[kept].tolist()):
                 steps = np.unique(np.append(np.arange(0, int(at[b - 1] - at[a]) + min_words - K, K), at[b - 1] - at[a] + min_words - K))
                 out.append(_chain_row(int(doc[a]), int(home[a]), at[a] + steps, there[a] + steps))
             if len(out) > 5000:
@@ -601,19 +715,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
     met = stored(_met(_seeds(plain)), "seeds-met")
     found = stored(_chained(met, min_words, min_same), "chains")
     passages = _aligned(found.where("points is not null"), _blocks(plain), min_words, min_same)
-
-    asks = stored(found.where("open is not null").select(F.explode("open").alias("seed")).distinct(), "seeds-open")
-    if asks.limit(1).count() == 0:
+    open_ = found.where("points is null").select("doc_id", "home_id", F.col("x0").alias("low"), F.col("x1").alias("high"), "seed")
+    if open_.limit(1).count() == 0:
         return passages
-    ranges = settle(_ranges(met.join(asks, "seed", "left_semi"), min_words))
-    ranged = join_checked(plain, ranges, ["doc_id"], even=True)
-    more = stored(_run_chains(_met(_long_runs(ranged, min_words)), min_words), "chains-open")
-    wanted = more.select("doc_id").union(more.select("home_id")).distinct()
-    some = join_checked(plain, settle(wanted), ["doc_id"], even=True)
+
     passages = stored(passages, "passages")
     known = passages.select(
         F.col("doc_id").alias("d"), F.col("home_id").alias("h"), F.col("start").alias("lo"), F.col("end").alias("hi")
     )
-    again = _aligned(more, _blocks(some), min_words, min_same)
-    covered = (F.col("doc_id") == F.col("d")) & (F.col("home_id") == F.col("h")) & (F.col("lo") <= F.col("start")) & (F.col("end") <= F.col("hi"))
-    return passages.union(again.join(known, covered, "left_anti"))
+
+    def not_in_known(rows: DataFrame, high: str) -> DataFrame:
+        inside = F.expr(f"doc_id = d and home_id = h and lo <= low and {high} <= hi")
+        return rows.join(known, inside, "left_anti")
+
+    asks = stored(not_in_known(open_, "high").select("seed").distinct(), "seeds-open")
+    ranges = settle(_ranges(met.join(asks, "seed", "left_semi"), min_words))
+    ranged = join_checked(plain, ranges, ["doc_id"], even=True)
+    runs_ = _run_chains(_met(_long_runs(ranged, min_words)), min_words)
+    more = stored(not_in_known(runs_, f"x1 - {REACH}"), "chains-open")
+    wanted = more.select("doc_id").union(more.select("home_id")).distinct()
+    some = join_checked(plain, settle(wanted), ["doc_id"], even=True)
+    return passages.union(_aligned(more, _blocks(some), min_words, min_same))
