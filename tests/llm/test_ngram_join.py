@@ -126,3 +126,23 @@ def test_links_of_texts_without_an_id(spark):
     check(spark, [*table, (9, text(50, 3))])
     low = {r["doc_id"]: r["component_id"] for r in rows(N.similar_components(docs(spark, table), k=4, percent=90))}
     assert (low[1], low[2]) == (1, 1)
+
+
+def test_copies_of_texts_are_shuffled_in_turns(spark, monkeypatch):
+    """As many copies a turn as there are texts, about, and the links of all groups at once."""
+    base = words(60, 71)
+    every = family(base, 12, 3, 2)
+    texts = spark.createDataFrame([(i, t, hash(t)) for i, t in enumerate(every)], "fp long, text string, n_text long")
+    members = [(a, b, f, f, True) for a in range(12) for b in range(2) for f in {a, *range(b, 12, 2)}]
+    asked = spark.createDataFrame(members, "anchor long, block long, fp long, comp long, asks boolean")
+    whole, sizes = N._links, []
+
+    def counted(part, *more):
+        sizes.append(part.count())
+        return whole(part, *more)
+
+    want = {(r["a"], r["b"]) for r in whole(asked, texts, 4, 60, "anchor").collect()}
+    monkeypatch.setattr(N, "_links", counted)
+    got = {(r["a"], r["b"]) for r in N._links_in_turns(asked, texts, 4, 60, "anchor").collect()}
+    assert want and got == want
+    assert sum(sizes) == len(members) and max(sizes) < len(members) / 3

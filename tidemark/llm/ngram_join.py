@@ -33,6 +33,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -362,6 +363,24 @@ def _links(rows: DataFrame, texts: DataFrame, k: int, percent: int, how: str) ->
     return by_group(joined, ["anchor", "block"], run, "a long, b long")
 
 
+def _links_in_turns(rows: DataFrame, texts: DataFrame, k: int, percent: int, how: str) -> DataFrame:
+    """``_links`` of all groups, in as many turns as a text has copies on average.
+
+    A text is shuffled to every group it is in; a turn's copies are deleted before the next
+    turn's are written, so about one copy of each text is on disk at a time.
+    """
+    spark = rows.sparkSession
+    kept, kept_at = stored_at(rows, "ngram-asked")
+    turns = max(1, math.ceil(kept.count() / max(1, texts.count())))
+    found = []
+    for turn in range(turns):
+        own = kept.where(F.pmod(F.xxhash64("anchor", "block"), F.lit(turns)) == turn)
+        found.append(stored(_links(own, texts, k, percent, how), f"ngram-{how}"))
+        release(spark)
+    discard(spark, kept_at)
+    return reduce(DataFrame.union, found)
+
+
 def _blocks(rows: DataFrame, sizes: DataFrame, shingles: int) -> DataFrame:
     """Number of blocks of every anchor's cluster, from its members' shingles."""
     return (
@@ -486,14 +505,14 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
     # First every set with the anchor it shares most with, and that anchor's other sets.
     best = edges.groupBy("fp").agg(F.max_by("anchor", F.struct("shared", -F.col("anchor"))).alias("anchor"))
     members = dealt(best, _blocks(best, sizes, BLOCK_SHINGLES))
-    links = stored(_links(with_heads(members), texts, k, percent, "all"), "ngram-links")
+    links = _links_in_turns(with_heads(members), texts, k, percent, "all")
     labels = components(links)
 
     # Then with every other anchor it met.
     release(docs.sparkSession)
     open_ = opened()
     members = dealt(open_.select("anchor", "fp"), _blocks(open_, sizes, REST_SHINGLES))
-    links = links.union(stored(_links(with_heads(members), texts, k, percent, "anchor"), "ngram-links"))
+    links = links.union(_links_in_turns(with_heads(members), texts, k, percent, "anchor"))
     labels = components(links)
 
     # What no anchor bridges is searched against whole clusters.
@@ -506,7 +525,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
             inside.select("anchor", F.col("anchor").alias("fp"), F.col("home").alias("comp")).distinct()
         )
         rest = rest_groups(everyone, open_.select("anchor", "fp", "comp"), sizes, REST_SHINGLES)
-        more = stored(_links(rest, texts, k, percent, "rest"), "ngram-rest")
+        more = _links_in_turns(rest, texts, k, percent, "rest")
         if more.limit(1).count():
             labels = components(links.union(more))
     discard(docs.sparkSession, texts_at)
