@@ -146,3 +146,43 @@ def test_copies_of_texts_are_shuffled_in_turns(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in N._links_in_turns(asked, texts, 4, 60, "anchor").collect()}
     assert want and got == want
     assert sum(sizes) == len(members) and max(sizes) < len(members) / 3
+
+
+def test_sketches_differ_no_more_than_sets():
+    r = np.random.default_rng(7)
+    sets = []
+    for n in (1, 5, 42, 43, 90, 300):  # numbers of bins change at 42 and between 300 and its copies
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(12):
+            own = r.integers(0, 2**63, int(r.integers(0, 2 + n // 3))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[: len(base) - int(r.integers(0, 1 + n // 8))], own])))
+    sets.append(np.unique(np.concatenate([sets[-1], r.integers(0, 2**63, 50).astype(np.uint64)])))
+    comps = np.arange(len(sets))
+    linked = set()
+    for a, b in combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            linked |= {(a, b), (b, a)}
+    sizes, bits = np.array([len(s) for s in sets]), [N.sketch(s) for s in sets]
+    assert linked and any(len(bits[a]) != len(bits[b]) for a, b in linked)
+    for a in range(len(sets)):  # one asks, as in the last two searches
+        hit = N.possible(sizes, bits, comps, comps == a, 80)
+        assert {b for x, b in linked if x == a} <= set(np.flatnonzero(hit).tolist())
+    assert not N.possible(sizes, bits, comps * 0, comps >= 0, 80).any()  # connected already
+    far = [np.unique(r.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(20)]
+    alone = N.possible(np.full(20, 200), [N.sketch(s) for s in far], comps[:20], comps[:20] >= 0, 80)
+    assert not alone.any()
+
+
+def test_texts_that_only_share_a_passage_are_not_copied(spark, monkeypatch):
+    passage = words(60, 9)
+    texts = [" ".join(passage + words(50, 100 + n)) for n in range(30)] + family(words(80, 4), 3, 5, 1)
+    asked, whole = [], N._links
+
+    def counted(part, *more):
+        asked.append(part.count())
+        return whole(part, *more)
+
+    monkeypatch.setattr(N, "_links", counted)
+    check(spark, list(enumerate(texts)))
+    assert sum(asked) < 20  # the three of the family, a few times; met are 33

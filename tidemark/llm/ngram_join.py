@@ -22,6 +22,11 @@ word shingles.  No link between different texts is lost:
    Those that ask are dealt into blocks as well, and every pair of an asking and an index
    block is a group of its own: a group's size does not follow the cluster's.
 
+Most sets that met do not link.  Before texts are copied to a group, its members' sketches
+are: one parity bit for each of so many bins of shingles.  Two sketches differ in no more
+bits than the sets differ in shingles, so members that differ too much from all others
+(of step 3: from all that ask, or that are asked) are left out and no link is lost.
+
 Equal sets are one node.  Empty or null texts link with nothing.  Repeated rows are
 copies of each other.  Texts with fewer words than a shingle have one, their whole
 sequence.
@@ -49,6 +54,7 @@ from tidemark.session import join_checked, settle
 BAND = 1.4
 BLOCK_SHINGLES = 32_000  # shingles of a block in which all members ask each other
 REST_SHINGLES = 256_000  # of one that is asked by those not connected: fewer copies of these
+SKETCH_SHINGLES = 4_000_000  # of one of sketches, two or three bits a shingle
 MU = 0.0085  # weight of the logarithm in DivideSkip's choice of long lists
 
 
@@ -66,6 +72,57 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(signed(a.sum(keepdims=True))[0]), int(signed(b.sum(keepdims=True))[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of a set's shingles in each of 64 or more bins, 1.5 to 3 bins a shingle.
+
+    Their number is a power of two, so the halves of a sketch folded by XOR are the sketch
+    with half as many bins.
+    """
+    bins = 64
+    while 2 * bins < 3 * len(s):
+        bins *= 2
+    at = (mix(s + np.uint64(0x2127599BF4325C37)) % np.uint64(bins)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def possible(
+    sizes: np.ndarray, sketches: list[bytes], comps: np.ndarray, asks: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which members may link, by size and sketch, with one of another component; one of the two asks."""
+    hit = np.zeros(len(sizes), bool)
+    by_length: dict[int, list[int]] = {}
+    for i in np.argsort(sizes, kind="stable").tolist():
+        by_length.setdefault(len(sketches[i]), []).append(i)
+    bits = {n: np.frombuffer(b"".join(sketches[i] for i in m), np.uint64).reshape(len(m), -1) for n, m in by_length.items()}
+    places = {n: np.array(m) for n, m in by_length.items()}
+
+    def meet(askers: np.ndarray, theirs: np.ndarray, others: np.ndarray, index: np.ndarray) -> None:
+        size, comp = sizes[others], comps[others]
+        for q in np.flatnonzero(asks[askers]):
+            me = askers[q]
+            n = int(sizes[me])
+            lo = np.searchsorted(size, -(-percent * n // 100), "left")
+            hi = np.searchsorted(size, 100 * n // percent, "right")
+            near = comp[lo:hi] != comps[me]
+            if hit[me]:
+                near &= ~hit[others[lo:hi]]
+            near = np.flatnonzero(near) + lo
+            if len(near):
+                differ = np.bitwise_count(index[near] ^ theirs[q]).sum(axis=1, dtype=np.int64)
+                near = near[(100 + percent) * differ <= (100 - percent) * (n + size[near])]
+                hit[others[near]] = True
+                hit[me] |= len(near) > 0
+
+    for length, own in places.items():
+        meet(own, bits[length], own, bits[length])
+        if 2 * length in places:  # linked sets' sketches are of one length or of two neighbouring ones
+            wide = bits[2 * length].reshape(len(places[2 * length]), 2, -1)
+            folded = wide[:, 0] ^ wide[:, 1]
+            meet(own, bits[length], places[2 * length], folded)
+            meet(places[2 * length], folded, own, bits[length])
+    return hit
+
+
 def _band_start(j: int) -> int:
     return math.ceil(BAND**j - 1e-9)
 
@@ -338,6 +395,47 @@ def _sets(texts: pd.Series, k: int) -> list[np.ndarray]:
     return out
 
 
+def sketched(rows: DataFrame, k: int) -> DataFrame:
+    """fp, text, n_text (its hash), size of the set and sketch of every row (asked, text); asked stays."""
+    schema = "asked long, fp long, text string, n_text long, size long, sketch binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in pieces(batch.column(1)):
+                h, start, _ = words(data, offs)
+                at = word_bounds(start, offs)
+                sets = [shingle_set(h[a:b], k) for a, b in zip(at, at[1:])]
+                text = batch.column(1).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array([fingerprints(s)[0] for s in sets], pa.int64()),
+                        text,
+                        pa.array([hash(t) for t in text.to_pylist()], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
+                    ],
+                    names=["asked", "fp", "text", "n_text", "size", "sketch"],
+                )
+
+    return rows.select("asked", "text").mapInArrow(run, schema)
+
+
+def may_link(rows: DataFrame, texts: DataFrame, percent: int, how: str) -> DataFrame:
+    """Those of ``rows`` (see ``_links``) that by the sketches may have a link in their group."""
+    names = ["anchor", "block", "fp", "comp", "asks"]
+
+    def run(key: tuple, part: pd.DataFrame) -> list[tuple]:
+        asks = part["fp"] == key[0] if how == "anchor" else part["asks"]
+        hit = possible(
+            part["size"].to_numpy(), part["sketch"].tolist(), part["comp"].to_numpy(), asks.to_numpy(bool), percent
+        )
+        return list(part.loc[hit, names].drop_duplicates().itertuples(index=False, name=None))
+
+    joined = rows.join(texts.select("fp", "size", "sketch"), "fp")
+    return by_group(joined, ["anchor", "block"], run, "anchor long, block long, fp long, comp long, asks boolean")
+
+
 def _links(rows: DataFrame, texts: DataFrame, k: int, percent: int, how: str) -> DataFrame:
     """Search every (anchor, block) group of ``rows`` (anchor, block, fp, comp, asks).
 
@@ -359,7 +457,7 @@ def _links(rows: DataFrame, texts: DataFrame, k: int, percent: int, how: str) ->
             found = search_rest(sets, comps, [i for i, x in enumerate(asks) if x], percent)
         return [(fps[a], fps[b]) for a, b in found]
 
-    joined = rows.join(texts, "fp")
+    joined = join_checked(texts.select("fp", "text", "n_text"), settle(rows), ["fp"], even=True)
     return by_group(joined, ["anchor", "block"], run, "a long, b long")
 
 
@@ -463,23 +561,12 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
     # A doc_id may be on several rows: the text that has the fingerprint is the one meant.
     found = join_checked(plain, settle(wanted), ["doc_id"], even=True)
 
-    def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [fingerprints(s)[0] == f for s, f in zip(_sets(pdf["text"], k), pdf["fp"])]
-            pdf = pdf[ok]
-            yield pdf.assign(n_text=[hash(t) for t in pdf["text"]])[["fp", "text", "n_text"]]
-
-    texts = found.mapInPandas(right, "fp long, text string, n_text long")
+    texts = sketched(found.withColumnRenamed("fp", "asked"), k).where("fp = asked").drop("asked")
     lost = needed.where("rep is null").select("fp")
     if lost.limit(1).count():  # texts that only rows without an id have are known by their fingerprint alone
-
-        def nameless(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                fps = [fingerprints(s)[0] for s in _sets(pdf["text"], k)]
-                yield pdf[["text"]].assign(fp=fps, n_text=[hash(t) for t in pdf["text"]])[["fp", "text", "n_text"]]
-
-        unnamed = plain.where("doc_id is null and text is not null").mapInPandas(nameless, texts.schema)
-        texts = texts.union(join_checked(unnamed, settle(lost), ["fp"], even=True).select(*texts.columns).dropDuplicates(["fp"]))
+        unnamed = plain.where("doc_id is null and text is not null").withColumn("asked", F.lit(None).cast("long"))
+        more = join_checked(sketched(unnamed, k), settle(lost), ["fp"], even=True)
+        texts = texts.union(more.select(*texts.columns).dropDuplicates(["fp"]))
     texts, texts_at = stored_at(texts, "ngram-texts")
     sizes = needed.select("fp", "n_shingles")
 
@@ -502,17 +589,20 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
         known = labelled(labelled(edges.select("fp", "anchor"), "fp", "comp"), "anchor", "home")
         return stored(known.where("comp <> home"), "ngram-open")
 
+    def linked(rows: DataFrame, how: str) -> DataFrame:
+        return _links_in_turns(may_link(rows, texts, percent, how), texts, k, percent, how)
+
     # First every set with the anchor it shares most with, and that anchor's other sets.
     best = edges.groupBy("fp").agg(F.max_by("anchor", F.struct("shared", -F.col("anchor"))).alias("anchor"))
     members = dealt(best, _blocks(best, sizes, BLOCK_SHINGLES))
-    links = _links_in_turns(with_heads(members), texts, k, percent, "all")
+    links = linked(with_heads(members), "all")
     labels = components(links)
 
     # Then with every other anchor it met.
     release(docs.sparkSession)
     open_ = opened()
     members = dealt(open_.select("anchor", "fp"), _blocks(open_, sizes, REST_SHINGLES))
-    links = links.union(_links_in_turns(with_heads(members), texts, k, percent, "anchor"))
+    links = links.union(linked(with_heads(members), "anchor"))
     labels = components(links)
 
     # What no anchor bridges is searched against whole clusters.
@@ -524,14 +614,16 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, rows: boo
         everyone = inside.select("anchor", "fp", "comp").union(
             inside.select("anchor", F.col("anchor").alias("fp"), F.col("home").alias("comp")).distinct()
         )
-        rest = rest_groups(everyone, open_.select("anchor", "fp", "comp"), sizes, REST_SHINGLES)
+        met = may_link(rest_groups(everyone, open_.select("anchor", "fp", "comp"), sizes, SKETCH_SHINGLES), texts, percent, "rest")
+        near = stored(met.groupBy("anchor", "fp", "comp").agg(F.max("asks").alias("asks")), "ngram-near")
+        rest = rest_groups(near.drop("asks"), near.where("asks").drop("asks"), sizes, REST_SHINGLES)
         more = _links_in_turns(rest, texts, k, percent, "rest")
         if more.limit(1).count():
             labels = components(links.union(more))
     discard(docs.sparkSession, texts_at)
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("low"))
-    component = named.join(linked, "label", "left").select(
+    lows = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("low"))
+    component = named.join(lows, "label", "left").select(
         "fp", "fp2", F.coalesce("low", "rep").alias("component_id"), F.coalesce("label", "fp").alias("part")
     )
     full = profile.select("doc_id", "text_hash", "n_shingles", "fp", "fp2")
