@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.frames import ODD, ascii_lower, docs, rows, split_words, text, words
 from tidemark.llm import ngram_join as N
 
@@ -186,3 +187,20 @@ def test_texts_that_only_share_a_passage_are_not_copied(spark, monkeypatch):
     monkeypatch.setattr(N, "_links", counted)
     check(spark, list(enumerate(texts)))
     assert sum(asked) < 20  # the three of the family, a few times; met are 33
+
+
+def test_the_pipeline_copies_texts_that_may_link(spark, monkeypatch):
+    passage = words(60, 9)
+    texts = [" ".join(passage + words(50, 300 + n)) for n in range(30)]
+    near = words(80, 4)
+    asked, whole = [], N._links
+
+    def counted(part, *more):
+        asked.append(part.count())
+        return whole(part, *more)
+
+    monkeypatch.setattr(N, "_links", counted)
+    table = list(enumerate([*texts, " ".join(near), " ".join([*near, "x1"])]))
+    kept = corpus_pipeline.near_copies(spark, docs(spark, table), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(31))
+    assert sum(asked) < 10
