@@ -332,6 +332,17 @@ def test_shapley_deals_entities_once(spark, toy, capsys):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_shapley_keeps_wide_projections_out_of_whole_stage_code(spark, toy):
+    """One method for all features is too long for the JVM to compile; the join passes features as one column."""
+    part = toy.select("athlete_id", "a", "b", "team")
+    got = X.sampled_shapley(part, ["a", "b", "team"], {"a": 0.0}, lambda d: d.withColumn("prob", F.col("b") + F.length("team")), samples=8)
+    assert got.count() == 3 * part.count()
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    wide = [x for x in plan.split("\n") if "Project [" in x and ("_bits0" in x or "_own" in x)]
+    assert wide and not any("*(" in x for x in wide if "CASE WHEN" in x)
+
+
 def test_shapley_of_more_features_than_a_word_has_bits(spark):
     names = [f"x{i}" for i in range(2 * X.WORD + 5)]
     df = spark.createDataFrame([(1, *map(float, range(len(names))))], "athlete_id long, " + ", ".join(f"{c} double" for c in names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -59,11 +60,10 @@ def global_attribution(attributions: DataFrame, k: int = 20) -> DataFrame:
     return means.orderBy(F.desc("mean_abs"), F.asc("feature")).limit(k)
 
 
-def _bits(numbers: str, word: int) -> Column:
-    """The numbers from ``word * WORD`` to the next word's first, as bits of a long."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x - word * WORD).cast("int"))
-    own = F.filter(numbers, lambda x: (x >= word * WORD) & (x < (word + 1) * WORD))
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
+def _bits(inside: list[Column], word: int) -> Column:
+    """Whether features are in a set, those from ``word * WORD`` to the next word's first, as bits of a long."""
+    own = [F.when(x, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(inside[word * WORD : (word + 1) * WORD])]
+    return reduce(lambda a, x: a.bitwiseOR(x), own)
 
 
 def sampled_shapley(
@@ -92,7 +92,9 @@ def sampled_shapley(
     m, pairs = len(columns), -(-samples // 2)
     types = {f.name: f.dataType for f in features.schema}
     parts = max(-(-features.count() * 2 * pairs * (m + 1) // PART_STEPS), features.sparkSession.sparkContext.defaultParallelism)
-    features = features.select(key, *[cell(c).alias(f"_f{i}") for i, c in enumerate(columns)]).repartition(parts, key)
+    # One column for all features: the join of sets and entities is whole-stage code of few columns.
+    own = F.struct(*[cell(c).alias(f"f{i}") for i, c in enumerate(columns)])
+    features = features.select(key, own.alias("_own")).repartition(parts, key)
     drawn = F.transform(
         F.array_sort(
             F.array(*[F.struct(F.xxhash64(cell(key), F.col("_s"), F.lit(i)).alias("h"), F.lit(i).cast("short").alias("i")) for i in range(m)])
@@ -102,52 +104,55 @@ def sampled_shapley(
     walks = features.select(key, F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("_s")).select(
         key, "_s", drawn.alias("_order")
     )
-    turns = F.array(F.struct(F.lit(0).alias("t"), F.col("_order").alias("o")), F.struct(F.lit(1).alias("t"), F.reverse("_order").alias("o")))
-    steps = (
-        walks.select(key, "_s", F.explode(turns).alias("_w"))
-        .select(key, "_s", F.col("_w.t").alias("_t"), F.col("_w.o").alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_j"))
-        .withColumn("_set", F.array_sort(F.slice("_order", F.lit(1), F.col("_j"))))
+    # Where each feature comes in an order.
+    placed = F.transform(
+        F.array_sort(F.transform("_order", lambda x, at: F.struct(x.alias("i"), at.cast("short").alias("at")))), lambda e: e["at"]
     )
-    # What a step's score counts for: the feature that just entered and the one entering next.
-    credit = F.struct(
-        F.col("_s").alias("s"),
-        F.when(F.col("_j") > 0, F.try_element_at("_order", F.col("_j"))).alias("last"),
-        F.when(F.col("_j") < m, F.try_element_at("_order", F.col("_j") + 1)).alias("next"),
+    steps = (
+        walks.select(key, "_s", F.explode(F.array("_order", F.reverse("_order"))).alias("_order"))
+        .select(key, "_s", "_order", placed.alias("_at"))
+        .select(key, "_s", "_order", "_at", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_j"))
     )
+    # What a step's score counts for: the feature that just entered and, with the bits of its
+    # number turned, the one entering next.  The lambdas here and below also keep these projections out of
+    # whole-stage code: its one method for all features is too long for the JVM to compile.
+    place = lambda i: F.col("_s") * m + F.get("_order", i)
+    ends = F.array(F.when(F.col("_j") > 0, place(F.col("_j") - 1)), F.when(F.col("_j") < m, F.bitwise_not(place(F.col("_j")))))
+    credit = F.filter(ends, lambda x: x.isNotNull())
+    inside = [F.get("_at", F.lit(i)) < F.col("_j") for i in range(m)]
+    bits = [f"_bits{w}" for w in range(-(-m // WORD))]
     sets = (
-        steps.groupBy(key, "_set")
-        .agg(F.collect_list(credit).alias("_credits"))  # as many as the entity's walks at most
+        steps.select(key, credit.alias("_credit"), *[_bits(inside, w).alias(b) for w, b in enumerate(bits)])
+        .groupBy(key, *bits)
+        .agg(F.collect_list("_credit").alias("_credits"))  # as many as the entity's walks at most
         .join(features.hint("shuffle_hash"), key)
-        # The set once more as bits, so that a feature is looked up in one step.
-        .select("*", *[_bits("_set", w).alias(f"_bits{w}") for w in range(-(-m // WORD))])
     )
 
     def shown_value(i: int, c: str) -> Column:
         base = F.lit(background.get(c)).cast(types[c])
-        own = F.col(f"_f{i}")
+        own = F.col("_own")[f"f{i}"]
         # A missing number is imputed and so shows the background; a missing text is a level of its own.
         own = F.coalesce(own, base) if isinstance(types[c], T.NumericType) else own
         return F.when(F.col(f"_bits{i // WORD}").bitwiseAND(F.lit(1 << i % WORD).cast("long")) != 0, own).otherwise(base)
 
     mixed = {c: shown_value(i, c) for i, c in enumerate(columns)}
-    shown = sets.select(key, "_credits", *[v.alias(c) for c, v in mixed.items()])
-    scored = score(shown).select(key, "_credits", cell(prob).alias("_p"))
-    credits = scored.select(key, "_p", F.inline("_credits")).select(
-        key, F.col("s").alias("_s"),
-        F.inline(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("last").isNotNull(), F.struct(F.col("last").alias("i"), F.col("_p").alias("v"))),
-                    F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("i"), (-F.col("_p")).alias("v"))),
-                )
-            )
-        ),
+    shown = sets.select(key, F.array_sort(F.flatten("_credits")).alias("_credits"), *[v.alias(c) for c, v in mixed.items()])
+    signed = F.transform(
+        "_credits",
+        lambda x: F.struct(F.when(x < 0, F.bitwise_not(x)).otherwise(x).alias("at"), F.when(x < 0, -1.0).otherwise(1.0).alias("sign")),
+    )
+    # No set is without credits; a plain inline() would put a filter for that between the scorer's projections.
+    credits = (
+        score(shown)
+        .select(key, signed.alias("_credits"), cell(prob).alias("_p"))
+        .select(key, "_p", F.inline_outer("_credits"))
+        .select(key, "at", (F.col("sign") * F.col("_p")).alias("v"))
     )
     names = F.array(*[F.lit(c) for c in columns])
     return (
-        credits.groupBy(key, "i", "_s")
+        credits.groupBy(key, "at")
         .agg((F.sum("v") / 2).alias("v"))
-        .groupBy(key, "i")
+        .groupBy(key, (F.col("at") % m).cast("int").alias("i"))
         .agg(F.avg("v").alias("contribution"), (F.stddev_samp("v") / F.sqrt(F.lit(float(pairs)))).alias("std_error"))
         .select(key, names[F.col("i")].alias("feature"), "contribution", "std_error")
     )
