@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from tidemark.session import scratch_path, settle
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+RELEASE_S = 10  # seconds between two releases of the driver's memory while steps are stored
+_released = -float("inf")
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +33,7 @@ def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``stored`` and the folder it is in, for a table that is to be discarded."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    release(df.sparkSession, RELEASE_S)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -38,13 +43,40 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, every: float = 0) -> bool:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
     It does so when the driver collects its garbage, which may be long after a large step.
+    The driver's heap shrinks to what is in use, and freed native memory goes back as well.
+    ``every``: not within so many seconds of the last time.  Returns whether it was done.
     """
+    global _released
+    if time.monotonic() - _released < every:
+        return False
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+    _released = time.monotonic()
+    return True
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give native memory that the driver's JVM has freed back to the system.
+
+    Compiling plans and the threads of broadcasts and exchanges leave it in the allocator's pools,
+    where it stays.  False where the JVM has no such command (before Java 17.0.9, other than Linux).
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # Called by way of the interface: the server's own class is not open to Py4J.
+        invoke = next(x for x in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if x.getName() == "invoke")
+        values = array(jvm.java.lang.Object, 4)
+        values[0], values[1] = bean, "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
 
 
 def ascii_lower(text: Column) -> Column:
